@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality_rules, simhash, token_counts, token_output
+from . import exact_dedup, mixing, packing, perplexity, personal_data, quality_rules, simhash, substring_dedup, token_counts, token_output
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_perplexity_classifier": perplexity.op7_perplexity_classifier,
     "op8_token_output": token_output.op8_token_output,
+    "op9_personal_data": personal_data.op9_personal_data,
+    "op10_suffix_array_dedup": substring_dedup.op10_suffix_array_dedup,
 }
 SQL = {"op6_exact_dedup": exact_dedup.SQL}
