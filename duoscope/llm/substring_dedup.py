@@ -30,8 +30,8 @@ def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return up, down, np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def anchors(data: np.ndarray, window: int) -> pd.DataFrame:
-    """Runs of window starts with one anchor: ``v`` (hash of the anchor), ``pos`` of it, ``first`` start, ``n`` starts.
+def anchors(data: np.ndarray, window: int) -> np.ndarray:
+    """Runs of window starts with one anchor, a column each: hash of the anchor, its place, first start, number of starts.
 
     The anchor of a window is its gram with the least hash, the leftmost of several: windows with equal
     bytes have equal anchors at equal places. Every window start is in one run.
@@ -54,8 +54,8 @@ def anchors(data: np.ndarray, window: int) -> pd.DataFrame:
         best = best.astype(np.int64)
         begin = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1])
         size = np.diff(np.concatenate([begin, [len(best)]]))
-        found.append(pd.DataFrame({"v": g[best[begin]].view(np.int64), "pos": best[begin] + a, "first": begin + a, "n": size}))
-    return pd.concat(found) if found else pd.DataFrame({"v": [], "pos": [], "first": [], "n": []}).astype("int64")
+        found.append(np.stack([g[best[begin]].view(np.int64), best[begin] + a, begin + a, size]))
+    return np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
 
 
 def digest(*parts: bytes) -> bytes:
@@ -98,9 +98,10 @@ def repeated_spans(texts: DataFrame, window: int, common: int, batch: int) -> Da
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for h, text in zip(b["h"], b["text"], strict=True):
-                if len(found := anchors(np.frombuffer(text.encode(), np.uint8), window)):
-                    yield found.assign(h=h)
+            found = [anchors(np.frombuffer(t.encode(), np.uint8), window) for t in b["text"]]
+            rows = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
+            h = np.repeat(b["h"].to_numpy(), [x.shape[1] for x in found])
+            yield pd.DataFrame(dict(zip(("v", "pos", "first", "n"), rows, strict=True)) | {"h": h})
 
     places = settle(texts.mapInPandas(anchored, "v long, pos long, first long, n long, h binary"))
     shared = settle(places.groupBy("v").agg(F.count("*").alias("places")).where("places > 1"))
