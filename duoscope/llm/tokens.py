@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -51,30 +52,30 @@ def byte_ids(path: str) -> Encoder:
 
 
 @lru_cache(maxsize=4)
-def word_ids(path: str, held: int = 400_000) -> Encoder:
+def word_ids(path: str, held: int = 1_000_000) -> Encoder:
     """``held`` bounds the words a task keeps; beyond it the memory of words starts anew."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*").fullmatch
-    memo: dict[str, tuple[int, ...]] = {}
+    memo: dict[str, bytes] = {}  # a word's ids as little-endian 32-bit numbers
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         if len(memo) > held:
             memo.clear()
-        lowered = [t.lower() if plain(t) and "<|" not in t else None for t in texts]
-        fresh = list({w for t in lowered if t is not None for w in t.split() if w not in memo})
+        split = [t.lower().split() if plain(t) and "<|" not in t else None for t in texts]
+        fresh = [w for w in set().union(*(x for x in split if x is not None)) if w not in memo]
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
-            memo.update(zip(part, (tuple(e.ids) for e in library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            ids = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
+            memo.update((w, array("I", x).tobytes()) for w, x in zip(part, ids, strict=True))
         out = []
-        for t, low in zip(texts, lowered, strict=True):
-            if low is None:
-                ids = library.encode(t, add_special_tokens=False).ids
+        for t, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(np.asarray(library.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
             else:
-                ids = [k for w in map(memo.__getitem__, low.split()) for k in w]
-            out.append(np.asarray(ids, dtype=np.uint32))
+                out.append(np.frombuffer(b"".join(map(memo.__getitem__, words)), dtype=np.uint32))
         return out
 
     return encode
