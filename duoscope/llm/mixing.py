@@ -51,13 +51,13 @@ def slots(spark: SparkSession, sources: DataFrame, seed: int, per_shard: int) ->
     multinomial. Draws beyond a source's quota fall out; slots that no draw reached fill last shards.
     """
     held = settle(sources.where("quota > 0").select("s", "quota", "n_blocks", "len"))
-    # One small row for all sources: it grows with the number of sources only.
-    share = F.sum("quota").over(Window.orderBy("s")) / F.sum("quota").over(Window.partitionBy())
-    table = held.select("s", share.alias("upto")).agg(F.sort_array(F.collect_list(F.struct("upto", "s"))).alias("table"))
-    total = held.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    drawn = spark.range(total).select("id", F.floor(F.col("id") / per_shard).alias("shard"), unit(F.lit(seed), F.col("id")).alias("u"), F.lit(1).alias("one"))
-    drawn = drawn.join(F.broadcast(table.withColumn("one", F.lit(1))), "one")
-    found = F.get("table", F.least(F.size(F.filter("table", lambda x: x["upto"] <= F.col("u"))), F.size("table") - 1))["s"]
+    # As many numbers as there are sources, whatever their sizes are.
+    share = F.sum("quota").over(Window.orderBy("s"))
+    upto = sorted((r["upto"], r["s"]) for r in held.select("s", share.alias("upto")).collect())
+    total = upto[-1][0] if upto else 0
+    table = F.array(*[F.struct(F.lit(u / total).alias("upto"), F.lit(s).alias("s")) for u, s in upto]) if upto else F.lit(None).cast("array<struct<upto:double,s:int>>")
+    drawn = spark.range(total).select("id", F.floor(F.col("id") / per_shard).alias("shard"), unit(F.lit(seed), F.col("id")).alias("u"))
+    found = F.get(table, F.least(F.size(F.filter(table, lambda x: x["upto"] <= F.col("u"))), F.lit(len(upto) - 1)))["s"]
     drawn = settle(drawn.select("id", "shard", found.alias("s")))
     counts = drawn.groupBy("s", "shard").agg(F.count("*").alias("n"))
     base = counts.select("s", "shard", (F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")).alias("base"))
