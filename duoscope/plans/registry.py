@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import geometry, mutations, statistics
+
+MODULES = (geometry, statistics, mutations)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
