@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,13 +73,50 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, at
 
 
+def tightest_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each length, longest first into the open bin with the least gap that holds it."""
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    gaps: list[int] = []  # those that some open bin has
+    bins, at, n = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
+    for k in np.argsort(-lengths, kind="stable").tolist():
+        size = int(lengths[k])
+        j = bisect_left(gaps, size)
+        if j == len(gaps):
+            b, gap, n = n, capacity, n + 1
+        else:
+            gap = gaps[j]
+            b = stacks[gap].pop()
+            if not stacks[gap]:
+                gaps.pop(j)
+        bins[k], at[k] = b, capacity - gap
+        if rest := gap - size:
+            if not stacks[rest]:
+                insort(gaps, rest)
+            stacks[rest].append(b)
+    return bins, at
+
+
+def sequences(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of squares; what the bins it leaves part-filled hold is then packed anew, if that takes fewer."""
+    bins, at = sum_of_squares(lengths, capacity)
+    if not len(lengths):
+        return bins, at
+    fill = np.bincount(bins, weights=lengths)
+    loose = fill[bins] < capacity
+    again, offset = tightest_fit(lengths[loose], capacity)
+    if loose.any() and again.max() + 1 < int((fill < capacity).sum()):
+        bins[loose], at[loose] = again + len(fill), offset
+        bins = np.unique(bins, return_inverse=True)[1].astype(np.int64)
+    return bins, at
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, per_shard: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Every document is its ids and ``end_id``; null and empty texts are the end id alone. Documents over
     ``capacity`` are cut, others stay whole. Pieces are dealt by hash to shards of about ``per_shard``,
-    each packed longest first by the sum-of-squares rule, so that the bins a shard leaves part-filled are
-    few beside the bins it fills, at every input size. Repeated rows are packed as rows of their own; an
+    each packed longest first by the sum-of-squares rule; the pieces of bins left part-filled are packed
+    once more, tightest gap first. A shard leaves a few bins part-filled, whatever the input's size. Repeated rows are packed as rows of their own; an
     empty table gives no rows. Other columns are not looked at. The same input gives the same sequences.
     """
     pieces = settle(cut(docs, tokenizer, capacity, end_id, id_col, text_col))
@@ -86,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
 
     def place(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
-        bins, at = sum_of_squares(p["length"].to_numpy(), capacity)
+        bins, at = sequences(p["length"].to_numpy(), capacity)
         return p.assign(sequence_id=bins * shards + p["shard"], offset=at)[[c.split()[0] for c in PACKED.split(", ")]]
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
