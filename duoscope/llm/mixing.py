@@ -33,7 +33,7 @@ def blocks_of(sources: DataFrame, block: int) -> DataFrame:
     """Adds the words of a block, how many blocks a source has, and how many slots its target fills."""
     length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / 256))).cast("long")
     df = sources.withColumn("len", length).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("len")))
-    rounds = F.floor(F.col("target") / F.col("source_size") + 1e-9)
+    rounds = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) + 1e-9)
     rest = F.round((F.col("target") - rounds * F.col("source_size")) / F.col("len")).cast("long")
     quota = rounds * F.col("n_blocks") + F.least(F.greatest(rest, F.lit(0)), F.col("n_blocks"))
     return df.withColumn("quota", F.when(F.col("source_size") > 0, quota).otherwise(0).cast("long"))

@@ -94,8 +94,9 @@ def sums() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in CELLS]]
 
 
-#: Distances are told apart to 1/64 of their logarithm, in about 900 bins.
-BIN = F.least(F.floor(F.log1p(F.col("d2")) * 64), F.lit(1200)).cast("int")
+def distance_bin() -> Column:
+    """Distances are told apart to 1/64 of their logarithm, in about 900 bins."""
+    return F.least(F.floor(F.log1p(F.col("d2")) * 64), F.lit(1200)).cast("int")
 
 
 def centres(rows: DataFrame, n_rows: int, steps: int, share: float) -> DataFrame:
@@ -114,14 +115,14 @@ def centres(rows: DataFrame, n_rows: int, steps: int, share: float) -> DataFrame
     now = settle(robust.unionByName(plain))
     upto = Window.partitionBy(*keys).orderBy("bin")
     for _ in range(steps):
-        binned = attach(rows, now, "key", n_rows).withColumn("d2", distance()).groupBy(*keys, "group_size", BIN.alias("bin")).agg(*sums())
+        binned = attach(rows, now, "key", n_rows).withColumn("d2", distance()).groupBy(*keys, "group_size", distance_bin().alias("bin")).agg(*sums())
         near = binned.withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < F.col("group_size") * share)
         added = [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in CELLS]]]
         now = settle(estimate(near.groupBy(*keys, "group_size").agg(*added), keys))
     best = now.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "begun"))).where("r = 1").drop("r")
     best = settle(best)
     # The median distance under the winner puts it on the scale of a chi-square variable.
-    middle = attach(rows, best, "key", n_rows).withColumn("d2", distance()).groupBy("key", "group_size", BIN.alias("bin")).agg(F.count("*").alias("n"))
+    middle = attach(rows, best, "key", n_rows).withColumn("d2", distance()).groupBy("key", "group_size", distance_bin().alias("bin")).agg(F.count("*").alias("n"))
     middle = middle.withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("bin"))).where(F.col("upto") * 2 >= F.col("group_size"))
     scale = middle.groupBy("key").agg(F.greatest(F.lit(1.0), F.expm1((F.min("bin") + 1) / 64) / MEDIAN).alias("scale"))
     return best.join(scale, "key")
@@ -142,13 +143,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = settle(statistics(given, "text").drop("text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = base.withColumn("base_failed", failed)
+    words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("_chars"), F.lit(1))
     sound = base.where(~F.col("base_failed"))
     pairs = settle(sound.groupBy("lang_key", "pair_key").agg(F.count("*").alias("group_size")))
     langs = pairs.groupBy("lang_key").agg(F.sum("group_size").alias("lang_size"))
     keyed = pairs.join(langs, "lang_key").select("pair_key", "group_size", F.when(F.col("group_size") >= least, F.col("pair_key")).when(F.col("lang_size") >= least, F.col("lang_key")).otherwise("all").alias("key"))
     keyed, n = settle(keyed), base.count()
-    shares = {"x1": F.log(F.col("word_chars") / F.col("n_words")), "x2": F.sqrt(F.col("n_symbols") / chars), "x3": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "x4": F.col("n_repeat_words") / F.col("n_words")}
+    shares = {"x1": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), "x2": F.sqrt(F.col("n_symbols") / chars), "x3": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "x4": F.col("n_repeat_words") / words}
     rows = attach(base, keyed, "pair_key", n).withColumns(shares)
     rows = settle(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "key", *X))
     fitted = rows.where(~F.col("base_failed")).select("key", *X)
