@@ -39,7 +39,7 @@ def covariance(sums: DataFrame, keys: list[str], ridge: float = 0.0, divisor: in
     """``keys, i, j, n, value``: covariance cells (divided by n - divisor), ridge on the diagonal."""
     other = sums.select(*keys, F.col("j").alias("_j"), F.col("i").alias("_i"), F.col("s").alias("_s")).where("_i = _j").drop("_i")
     both = sums.join(other.withColumnRenamed("_j", "j"), [*keys, "j"])
-    cell = (F.col("q") - F.col("s") * F.col("_s") / F.col("n")) / (F.col("n") - divisor)
+    cell = F.try_divide(F.col("q") - F.col("s") * F.col("_s") / F.col("n"), F.col("n") - divisor)
     return both.select(*keys, "i", "j", "n", (cell + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)).alias("value"))
 
 
@@ -54,7 +54,7 @@ def shrinkage(df: DataFrame, sums: DataFrame, keys: list[str], vector: str) -> D
     mu = F.col("trace") / F.col("dim")
     delta = (F.col("frob") - F.col("dim") * mu * mu) / F.col("dim")
     beta = F.least((F.col("fourth") / F.col("n") - F.col("frob")) / (F.col("dim") * F.col("n")), delta)
-    return s.select(*keys, "n", "dim", mu.alias("mu"), F.when(beta == 0, 0.0).otherwise(beta / delta).alias("alpha"))
+    return s.select(*keys, "n", "dim", mu.alias("mu"), F.when(beta == 0, 0.0).otherwise(F.coalesce(F.try_divide(beta, delta), F.lit(0.0))).alias("alpha"))
 
 
 def shrunk(cells: DataFrame, intensity: DataFrame, keys: list[str], ridge: float = 0.0) -> DataFrame:

@@ -66,8 +66,8 @@ def complex_coords(pairs: DataFrame, keys: list[str]) -> DataFrame:
     df = with_dots(pairs)
     c = F.col
     exp = F.sqrt(c("_ee"))
-    across = F.sqrt(F.greatest(c("_dd") - c("_ed") * c("_ed") / c("_ee"), F.lit(0.0)))
-    x = c("_oe") / exp
+    across = F.sqrt(F.greatest(c("_dd") - F.try_divide(c("_ed") * c("_ed"), c("_ee")), F.lit(0.0)))
+    x = F.try_divide(c("_oe"), exp)
     y = F.when(across > 0, (c("_od") - c("_ed") * c("_oe") / c("_ee")) / across).otherwise(0.0)
     return df.select(*keys, *[v.alias(k) for k, v in polar(x / (exp + EPS), y / (exp + EPS)).items()])
 
@@ -77,7 +77,7 @@ def triangle_coords(pairs: DataFrame, keys: list[str]) -> DataFrame:
     df = with_dots(pairs)
     o2, e2, r2 = F.col("_oo"), F.col("_ee"), F.col("_rr")
     e = F.sqrt(e2)
-    x = (o2 + e2 - r2) / (2 * e)
+    x = F.try_divide(o2 + e2 - r2, 2 * e)
     y = F.sqrt(F.greatest(o2 - x * x, F.lit(0.0)))
     x = F.when(e < EPS, F.sqrt(o2) / (e + EPS)).otherwise(x / (e + EPS))
     y = F.when(e < EPS, F.lit(0.0)).otherwise(y / (e + EPS))

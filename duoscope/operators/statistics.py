@@ -33,7 +33,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, strata: list[str]) -> Da
     n = F.col("n1") + F.col("n2")
     u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2
     mean = F.col("n1") * F.col("n2") / 2
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
     return s.select(*strata, "n1", "n2", u.alias("u"), F.when(sd > 0, (u - mean - 0.5) / sd).alias("z"))
 
 
@@ -45,7 +45,7 @@ def spearman(df: DataFrame, x: str, y: str, strata: list[str], given: str | None
     r = lambda a, b: F.corr(f"_{a}", f"_{b}")
     aggs = [r(x, y).alias("rho")]
     if given:
-        aggs.append(((r(x, y) - r(x, given) * r(y, given)) / F.sqrt((1 - r(x, given) ** 2) * (1 - r(y, given) ** 2))).alias("partial_rho"))
+        aggs.append(F.try_divide(r(x, y) - r(x, given) * r(y, given), F.sqrt((1 - r(x, given) ** 2) * (1 - r(y, given) ** 2))).alias("partial_rho"))
     return df.groupBy(*strata).agg(*aggs)
 
 
@@ -89,7 +89,7 @@ def kolmogorov_smirnov(df: DataFrame, value: str, group: str, strata: list[str])
     """Largest gap between the two groups' cumulative shares."""
     upto = Window.partitionBy(*strata).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*strata)
-    share = lambda c: F.count_if(c).over(upto) / F.count_if(c).over(whole)
+    share = lambda c: F.try_divide(F.count_if(c).over(upto), F.count_if(c).over(whole))
     return df.withColumn("_d", F.abs(share(F.col(group)) - share(~F.col(group)))).groupBy(*strata).agg(F.max("_d").alias("d"))
 
 
@@ -116,7 +116,7 @@ def permutation_test(df: DataFrame, value: str, group: str, bin_col: str, key: s
     order = Window.partitionBy(*by, "perm").orderBy(F.md5(F.concat_ws(":", "perm", F.col(key).cast("string"))))
     runs = many.withColumn("_g", F.row_number().over(order) <= F.col("_n")).groupBy(*strata, "perm").agg(diff(F.col("_g")).alias("d"))
     both = runs.join(seen, strata) if strata else runs.join(F.broadcast(seen))
-    return both.groupBy(*strata, "observed").agg(((F.col("observed") - F.avg("d")) / F.stddev("d")).alias("z"), ((F.count_if(F.col("d") >= F.col("observed")) + 1) / (times + 1)).alias("p"))
+    return both.groupBy(*strata, "observed").agg(F.try_divide(F.col("observed") - F.avg("d"), F.stddev("d")).alias("z"), ((F.count_if(F.col("d") >= F.col("observed")) + 1) / (times + 1)).alias("p"))
 
 
 def at_risk(cohort: DataFrame, keys: list[str]) -> DataFrame:

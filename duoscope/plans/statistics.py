@@ -59,7 +59,7 @@ def hypergeometric_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.greatest(F.lit(1), F.floor(F.col("size") * F.col("pct") / 100.0)).cast("long")
     t = d.groupBy("lang", "pct").agg(F.max("size").alias("n"), F.count_if(~F.col("good")).alias("m"), F.max(top).alias("d"), F.count_if(~F.col("good") & (F.col("r") <= top)).alias("k"))
     t = st.hypergeometric_tail(t, "n", "m", "d", "k")
-    return t.select("lang", "pct", "n", "m", "d", "k", F.round(F.col("k") / (F.col("d") * F.col("m") / F.col("n")), 6).alias("fold"), r6(F.col("p")).alias("p"))
+    return t.select("lang", "pct", "n", "m", "d", "k", F.round(F.try_divide(F.col("k"), F.col("d") * F.col("m") / F.col("n")), 6).alias("fold"), r6(F.col("p")).alias("p"))
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT bin, is_null, epi_r_raw AS s FROM q), t AS (SELECT q.pair, q.bin, q.epi_r_raw AS s, (SELECT count(*) FROM r WHERE is_null) AS n, (SELECT count(*) FROM r WHERE is_null AND r.s >= q.epi_r_raw) AS k FROM q WHERE NOT is_null)
