@@ -82,13 +82,14 @@ def train(texts: DataFrame, order: int) -> list[DataFrame]:
 class Model:
     """One language's tables as sorted arrays."""
 
-    def __init__(self, orders: list[pd.DataFrame]):
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """``orders``: for each order from 1 its grams, their log probabilities and their contexts' weights."""
         self.orders = []
-        for t in orders:
-            t = t.sort_values("g")
-            g = t["g"].to_numpy()
+        for g, logp, loggamma in orders:
+            order = np.argsort(g)
+            g = g[order]
             h, first = np.unique(g >> 8, return_index=True)
-            self.orders.append((g, t["logp"].to_numpy(np.float32), h, t["loggamma"].to_numpy(np.float32)[first]))
+            self.orders.append((g, logp[order], h, loggamma[order][first]))
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each highest-order key."""
@@ -107,6 +108,19 @@ class Model:
         return total
 
 
+def gathered(tables: list[DataFrame]) -> dict[str, Model]:
+    """The trained tables as arrays by model, in columns of numbers all the way."""
+    names = sorted(r["model"] for r in tables[0].select("model").distinct().collect())
+    code = F.create_map(*[x for k, m in enumerate(names) for x in (F.lit(m), F.lit(k))]) if names else F.lit(None)
+    parts: dict[str, list] = {m: [] for m in names}
+    for t in tables if names else []:
+        a = t.select(code[F.col("model")].cast("byte").alias("m"), "g", F.col("logp").cast("float").alias("logp"), F.col("loggamma").cast("float").alias("loggamma")).toArrow()
+        m, g, logp, loggamma = (a.column(c).to_numpy() for c in ("m", "g", "logp", "loggamma"))
+        for k, name in enumerate(names):
+            parts[name].append((g[m == k], logp[m == k], loggamma[m == k]))
+    return {m: Model(p) for m, p in parts.items()}
+
+
 def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, per_lang: int = 1000, quantile: float = 0.999, margin: float = 1.05) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_bytes, perplexity, threshold, kept``.
 
@@ -128,9 +142,7 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     texts = settle(filter_keys(given, sample.select("doc_id"), ["doc_id"], "left_semi").where("text <> ''"))
     both = texts.where("lang is not null").unionByName(texts.withColumn("lang", F.lit(POOLED))).withColumnRenamed("lang", "model")
     # The model is as large as its bounded sample makes it, and goes to every task whole.
-    tables = [t.toPandas() for t in train(both, order)]
-    names = sorted(set(tables[0]["model"]))
-    models = spark.sparkContext.broadcast({m: Model([t[t["model"] == m] for t in tables]) for m in names})
+    models = spark.sparkContext.broadcast(gathered(train(both, order)))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -146,6 +158,7 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "n_bytes": size, "perplexity": pd.array(out, dtype="Float64")})
 
     rows = settle(given.mapInPandas(scored, "doc_id long, lang string, n_bytes long, perplexity double"))
+    models.destroy()
     judged = rows.select("doc_id", "lang", "perplexity").join(trusted, "doc_id", "left_semi").join(sample.select("doc_id").withColumn("used", F.lit(True)), "doc_id", "left")
     level = lambda w: F.percentile_approx(F.when(w, F.col("perplexity")), quantile, 100_000)
     chosen = judged.groupBy("lang").agg(F.coalesce(level(F.col("used").isNull()), level(F.lit(True))).alias("q"))

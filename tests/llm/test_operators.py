@@ -262,7 +262,7 @@ def test_perplexity_of_awkward_rows(spark, docs):
 
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("m", "abracadabra abacus"), ("m", "banana bandana cabana")], "model string, text string")
-    m = perplexity.Model([t.toPandas() for t in perplexity.train(df, 3)])
+    m = perplexity.gathered(perplexity.train(df, 3))["m"]
     for context in (b"ab", b"an", b"zz", b"a "):
         keys = np.array([context[0] << 16 | context[1] << 8 | c for c in range(256)])
         assert np.exp(m.score(keys)).sum() == pytest.approx(256 / 257, abs=0.02) or np.exp(m.score(keys)).sum() <= 1.001
