@@ -88,7 +88,7 @@ def test_all_doubles(spark, length, count):
 
 
 def test_few_rows_still_invert(spark):
-    df = spark.createDataFrame([("m", [1.0, 2, 3, 4]), ("m", [2.0, 1, 0, 4]), ("m", [0.0, 1, 5, 2])], "k string, v array<double>")
+    df = spark.createDataFrame([("m", [1.0, 2.0, 3.0, 4.0]), ("m", [2.0, 1.0, 0.0, 4.0]), ("m", [0.0, 1.0, 5.0, 2.0])], "k string, v array<double>")
     g = calibration.gram(df, ["k"], "v")
     cells = calibration.shrunk(calibration.covariance(g, ["k"], divisor=0), calibration.shrinkage(df, g, ["k"], "v"), ["k"], 1e-6)
     assert calibration.inverses(cells, ["k"])[("m",)].shape == (4, 4)
