@@ -2,8 +2,8 @@
 
 ``byte_ids`` rebuilds a byte-level BPE file as a rank table for tiktoken, which gives the ids of the
 tokenizers library (special strings in a text are matched, none is added) in a sixth of its time.
-``word_ids`` keeps the ids of white-space separated words as the tokenizers library gave them, and hands
-every text that holds more than printable Latin-1 to the library whole.
+``word_ids`` keeps the ids of white-space separated words and of the pieces they are cut into, as the
+tokenizers library gave them, and hands every text that holds more than printable Latin-1 to it whole.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -23,6 +22,9 @@ Encoder = Callable[[list[str]], list[np.ndarray]]
 #: How a byte-level BPE file cuts a text into pieces (fixed value of that format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same for BPE with word ends, each piece encoded by itself up to an id that ends it (fixed value of that format).
+WORD_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
 
 def public(name: str) -> str:
     import public_tokenizers
@@ -53,23 +55,35 @@ def byte_ids(path: str) -> Encoder:
 
 @lru_cache(maxsize=4)
 def word_ids(path: str, held: int = 1_000_000) -> Encoder:
-    """``held`` bounds the words a task keeps; beyond it the memory of words starts anew."""
+    """``held`` bounds the words and the pieces a task keeps; beyond it the memory of them starts anew."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*").fullmatch
+    pieces = regex.compile(WORD_PIECES).findall
     memo: dict[str, bytes] = {}  # a word's ids as little-endian 32-bit numbers
+    known: dict[str, bytes] = {}  # and a piece's
+    last = np.zeros(library.get_vocab_size(), dtype=bool)
+    last[[k for token, k in library.get_vocab().items() if token.endswith("</w>")]] = True
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(memo) > held:
-            memo.clear()
+        for kept in (memo, known):
+            if len(kept) > held:
+                kept.clear()
         split = [t.lower().split() if plain(t) and "<|" not in t else None for t in texts]
         fresh = [w for w in set().union(*(x for x in split if x is not None)) if w not in memo]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            ids = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
-            memo.update((w, array("I", x).tobytes()) for w, x in zip(part, ids, strict=True))
+        cut = [pieces(w) for w in fresh]
+        unseen = [p for p in set().union(*cut) if p not in known]
+        for k in range(0, len(unseen), 8192):
+            part = unseen[k : k + 8192]
+            lines = [" ".join(part[j : j + 64]) for j in range(0, len(part), 64)]
+            ids = np.array([x for e in library.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], dtype="<u4")
+            ends = (np.flatnonzero(last[ids]) + 1) * 4
+            data, begins = ids.tobytes(), [0, *ends[:-1].tolist()]
+            known.update((p, data[a:z]) for p, a, z in zip(part, begins, ends.tolist(), strict=True))
+        memo.update((w, b"".join(map(known.__getitem__, c))) for w, c in zip(fresh, cut, strict=True))
         out = []
         for t, words in zip(texts, split, strict=True):
             if words is None:
