@@ -123,15 +123,14 @@ def repeated_spans(texts: DataFrame, window: int, common: int, batch: int) -> Da
                 yield pd.DataFrame(rows, columns=["v", "cd", "h", "first", "n", "chunk"])
 
     chunks = settle(near.mapInPandas(chunked, "v long, cd binary, h binary, first long, n long, chunk binary"))
-    counts = settle(chunks.groupBy("cd").agg(F.count("*").alias("group_size"), F.first("v").alias("v")))
-    mixed = settle(counts.groupBy("v").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    # One chunk of each kind, where its anchor has several kinds.
-    kinds = attach(chunks.where("chunk is not null").select("v", "cd", "n", "chunk"), mixed, "v", max(1, counts.count()), weight="kinds").where("kinds > 1")
-    shards = kinds.agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0))).first()[0] // batch + 1
-    kinds = kinds.repartition(shards, "v").sortWithinPartitions("v", "cd")
+    counts = settle(chunks.groupBy("cd").agg(F.count("*").alias("group_size"), F.first("n").alias("n")))
+    # Chunks move once, by anchor; the lengths that set the number of shards come from the counts.
+    shards = counts.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0] // batch + 1
+    kinds = chunks.where("chunk is not null").select("v", "cd", "chunk").repartition(shards, "v").sortWithinPartitions("v", "cd")
 
     def sorted_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, bytes, bytes]] = []  # of whole anchors with several kinds of chunks
+        anchor: list[tuple[int, bytes, bytes]] = []
         size = 0
 
         def flush(group: list) -> pd.DataFrame:
@@ -142,15 +141,23 @@ def repeated_spans(texts: DataFrame, window: int, common: int, batch: int) -> Da
                 out += [(cd, a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             return pd.DataFrame(out, columns=["cd", "a", "z"]).astype({"a": "int64", "z": "int64"})
 
-        for b in batches:
-            for v, cd, chunk in zip(b["v"].tolist(), b["cd"], b["chunk"], strict=True):
-                if held and cd == held[-1][1]:
-                    continue
-                if size >= batch and held[-1][0] != v:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append((v, cd, chunk))
-                size += len(chunk)
+        def rows() -> Iterator[tuple[int | None, bytes, bytes]]:
+            for b in batches:
+                yield from zip(b["v"].tolist(), b["cd"], b["chunk"], strict=True)
+            yield None, b"", b""
+
+        for row in rows():
+            if anchor and row[0] == anchor[-1][0]:
+                if row[1] != anchor[-1][1]:
+                    anchor.append(row)
+                continue
+            if len(anchor) > 1:  # equal chunks alone are settled by their count
+                held += anchor
+                size += sum(len(c) for _, _, c in anchor)
+            if size >= batch:
+                yield flush(held)
+                held, size = [], 0
+            anchor = [row]
         if held:
             yield flush(held)
 
