@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filter_keys, settle, text_of
@@ -25,150 +26,166 @@ def gram_keys(data: bytes, order: int) -> np.ndarray:
     return key
 
 
+def key_runs(data: bytes, order: int, run: int = 1 << 20) -> Iterator[np.ndarray]:
+    """``gram_keys`` of a text of any length, in runs of bounded size."""
+    for k in range(0, len(data), run):
+        yield gram_keys(data[max(0, k - order + 1) : k + run], order)[min(k, order - 1) :]
+
+
+def tally(texts: Iterable[str], order: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of some texts and their counts; about ``most`` occurrences are held at a time."""
+    grams, counts, held, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+
+    def close() -> None:
+        g, c = np.unique(np.concatenate(held), return_counts=True)
+        grams.append(g)
+        counts.append(c)
+
+    for text in texts:
+        for run in key_runs(text.encode(), order):
+            held.append(run)
+            n += len(run)
+            if n >= most:
+                close()
+                held, n = held[:1], 0
+    close()
+    g, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return g, np.bincount(at, np.concatenate(counts), len(g)).astype(np.int64)
+
+
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """``model, g, c``: how often each gram of ``order`` bytes ends in a text of each model."""
+    """``model, g, c``: every gram of ``order`` bytes of each model's texts, and its count in the ``trained`` ones (0 in none)."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for model, part in b.groupby("model"):
-                keys = np.concatenate([np.empty(0, np.int64), *(gram_keys(t.encode(), order) for t in part["text"])])
-                g, c = np.unique(keys, return_counts=True)
-                yield pd.DataFrame({"model": model, "g": g, "c": c})
+            for (model, trained), part in b.groupby(["model", "trained"]):
+                g, c = tally(part["text"], order)
+                yield pd.DataFrame({"model": model, "g": g, "c": c if trained else 0})
 
-    return texts.select("model", "text").mapInPandas(counted, "model string, g long, c long").groupBy("model", "g").agg(F.sum("c").alias("c"))
+    return texts.select("model", "trained", "text").mapInPandas(counted, "model string, g long, c long").groupBy("model", "g").agg(F.sum("c").alias("c"))
 
 
 def discount(c: Column) -> Column:
-    return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+    return F.when(c == 0, 0.0).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def train(texts: DataFrame, order: int) -> list[DataFrame]:
-    """Per order from 1: ``model, g, logp, loggamma``, probabilities of grams after all lower orders are mixed in.
+def gram_scores(grams: DataFrame, order: int) -> DataFrame:
+    """``model, g, logp``: the interpolated modified Kneser-Ney log probability of each row of ``model, g, c``.
 
-    ``loggamma`` is the weight that the gram's context leaves to the next lower order. Highest-order
-    counts are occurrences, lower ones the numbers of different bytes before; each order's counts are
-    joined by context for totals and by suffix for the order below, all by shuffled keys.
+    ``c`` counts occurrences in trusted text; grams that only other text holds have 0 and are scored by the
+    same joins. Lower orders count the different trained bytes before a gram. Each order's counts are
+    joined by context for totals and by suffix to the order below, all by shuffled keys.
     """
-    counts = {order: settle(count_grams(texts, order))}
+    counts = {order: grams}
     for k in range(order - 1, 0, -1):
         cut = F.col("g").bitwiseAND((1 << 8 * k) - 1)
-        counts[k] = settle(counts[k + 1].groupBy("model", cut.alias("g")).agg(F.count("*").alias("c")))
-    out: list[DataFrame] = []
+        counts[k] = settle(counts[k + 1].groupBy("model", cut.alias("g")).agg(F.count_if(F.col("c") > 0).alias("c")))
+    below = None
     for k in range(1, order + 1):
         df = counts[k]
         of = [F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
         def step(j: int, y: Column = y) -> Column:
-            d = j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")
-            return F.when((F.col(f"n{j}") > 0) & (F.col("n1") > 0) & (d > 0) & (d < j), d).otherwise(0.5 * min(j, 2)).alias(f"d{j}")
+            d = j - F.try_divide((j + 1) * y * F.col(f"n{j + 1}"), f"n{j}")
+            return F.when((d > 0) & (d < j), d).otherwise(0.5 * min(j, 2)).alias(f"d{j}")
 
         d = df.groupBy("model").agg(*of).select("model", step(1), step(2), step(3))  # a row per language
-        context = F.shiftright("g", 8)
-        df = df.join(F.broadcast(d), "model").withColumn("h", context)
+        df = df.join(F.broadcast(d), "model").withColumn("h", F.shiftright("g", 8))
         left = df.groupBy("model", "h").agg(F.sum("c").alias("total"), F.sum(discount(F.col("c"))).alias("saved"))
-        df = df.join(left, ["model", "h"]).withColumn("gamma", F.col("saved") / F.col("total"))
-        own = (F.col("c") - discount(F.col("c"))) / F.col("total")
-        if k == 1:
-            p = own + F.col("gamma") / SYMBOLS
+        df = df.join(left, ["model", "h"])
+        gamma = F.coalesce(F.try_divide("saved", "total"), F.lit(1.0))  # an unseen context leaves all to the order below
+        own = F.coalesce(F.try_divide(F.col("c") - discount(F.col("c")), "total"), F.lit(0.0))
+        if below is None:
+            p = own + gamma / SYMBOLS
         else:
-            below = out[-1].select("model", F.col("g").alias("suffix"), F.exp("logp").alias("below"))
             df = df.withColumn("suffix", F.col("g").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(below, ["model", "suffix"])
-            p = own + F.col("gamma") * F.col("below")
-        out.append(settle(df.select("model", "g", F.log(p).alias("logp"), F.log("gamma").alias("loggamma"))))
+            p = own + gamma * F.exp("below")
+        df = settle(df.select("model", "g", F.log(p).alias("logp")))
+        below = df.select("model", F.col("g").alias("suffix"), F.col("logp").alias("below"))
+    return df
+
+
+def sorted_arrays(scores: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """A bounded slice of scores as sorted grams and their log probabilities by model."""
+    names = sorted(r["model"] for r in scores.select("model").distinct().collect())
+    out = {}
+    for name in names:
+        a = scores.where(F.col("model") == name).select("g", F.col("logp").cast("float").alias("logp")).toArrow()
+        g, logp = a.column("g").to_numpy(), a.column("logp").to_numpy()
+        at = np.argsort(g)
+        out[name] = g[at], logp[at]
     return out
 
 
-class Model:
-    """One language's tables as sorted arrays."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``orders``: for each order from 1 its grams, their log probabilities and their contexts' weights."""
-        self.orders = []
-        for g, logp, loggamma in orders:
-            order = np.argsort(g)
-            g = g[order]
-            h, first = np.unique(g >> 8, return_index=True)
-            self.orders.append((g, logp[order], h, loggamma[order][first]))
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each highest-order key."""
-        total, todo = np.zeros(len(keys)), np.arange(len(keys))
-        for k in range(len(self.orders), 0, -1):
-            g, logp, h, gamma = self.orders[k - 1]
-            key = keys[todo] & (1 << 8 * k) - 1
-            at = np.minimum(np.searchsorted(g, key), len(g) - 1)
-            hit = g[at] == key
-            total[todo[hit]] += logp[at[hit]]
-            todo, key = todo[~hit], key[~hit] >> 8
-            at = np.minimum(np.searchsorted(h, key), len(h) - 1)
-            seen = h[at] == key
-            total[todo[seen]] += gamma[at[seen]]
-        total[todo] -= np.log(SYMBOLS)
-        return total
-
-
-def gathered(tables: list[DataFrame]) -> dict[str, Model]:
-    """The trained tables as arrays by model, in columns of numbers all the way."""
-    names = sorted(r["model"] for r in tables[0].select("model").distinct().collect())
-    code = F.create_map(*[x for k, m in enumerate(names) for x in (F.lit(m), F.lit(k))]) if names else F.lit(None)
-    parts: dict[str, list] = {m: [] for m in names}
-    for t in tables if names else []:
-        a = t.select(code[F.col("model")].cast("byte").alias("m"), "g", F.col("logp").cast("float").alias("logp"), F.col("loggamma").cast("float").alias("loggamma")).toArrow()
-        m, g, logp, loggamma = (a.column(c).to_numpy() for c in ("m", "g", "logp", "loggamma"))
-        for k, name in enumerate(names):
-            parts[name].append((g[m == k], logp[m == k], loggamma[m == k]))
-    return {m: Model(p) for m, p in parts.items()}
-
-
-def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, per_lang: int = 1000, quantile: float = 0.999, margin: float = 1.05) -> DataFrame:
+def text_scores(texts: DataFrame, scores: DataFrame, order: int, per_slice: int) -> DataFrame:
+    """``doc_id, lang, n_bytes, logp`` for rows of ``doc_id, lang, model, text``: the sum of the scores of a text's grams.
+
+    Scores go to the tasks in hash slices of about ``per_slice`` rows, each proven to be no larger than that
+    by the count they are cut by; a model of more rows takes more passes over the texts, whose sums are added.
+    """
+    slices = max(1, -(-scores.count() // per_slice))
+    parts = []
+    for s in range(slices):
+        model = texts.sparkSession.sparkContext.broadcast(sorted_arrays(scores.where(F.pmod(F.xxhash64("model", "g"), F.lit(slices)) == s)))
+
+        def scored(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                size, out = [], []
+                for name, text in zip(b["model"], b["text"], strict=True):
+                    data, total = text.encode(), 0.0
+                    g, logp = model.value.get(name, (np.empty(0, np.int64), None))
+                    for keys in key_runs(data, order) if len(g) else ():
+                        at = np.minimum(np.searchsorted(g, keys), len(g) - 1)
+                        total += float(np.where(g[at] == keys, logp[at], 0).sum(dtype=np.float64))
+                    size.append(len(data))
+                    out.append(total)
+                yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "digest": b["digest"], "n_bytes": size, "logp": out})
+
+        given = texts.select("doc_id", "lang", F.xxhash64("text").alias("digest"), "model", "text")
+        parts.append(settle(given.mapInPandas(scored, "doc_id long, lang string, digest long, n_bytes long, logp double")))
+        model.destroy()
+    if slices == 1:
+        return parts[0].drop("digest")
+    whole = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "lang", "digest", "n_bytes").agg(F.sum("logp").alias("sum"), F.count("*").alias("n"))
+    copies = (F.col("n") / slices).cast("int")
+    return settle(whole.select("doc_id", "lang", "n_bytes", (F.col("sum") / copies).alias("logp"), F.explode(F.array_repeat(F.lit(True), copies)).alias("copy")).drop("copy"))
+
+
+def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, per_slice: int = 4_000_000) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_bytes, perplexity, threshold, kept``.
 
-    Models are trained on trusted documents (label 1), for each language the ``per_lang`` with the
-    smallest hash of their id: that bound on training text is the only one. Every whole document is
-    scored, by its language's model, or by one of all languages where a language has none or is null.
-    The threshold of a language is ``margin`` times the ``quantile`` of the perplexity of its trusted
-    documents outside the training sample (of all trusted ones where there are none outside). Documents
-    at or under it stay. Null and empty texts have no perplexity and do not stay; where no document is
-    trusted nothing is known, and all others stay. Equal rows get equal results; an empty table gives
-    none. Other columns are not looked at.
+    Models are trained on the whole texts of all trusted documents (label 1) but one in ``held_out`` by
+    hash of the id. Every whole document is scored, by its language's model, or by one of all languages
+    where a language has none or is null. The threshold of a language is ``margin`` times the larger of
+    two ``quantile``s of perplexity: that of its held-out trusted documents and that of all its trusted
+    ones; a language without trusted documents takes that of all languages. Documents at or under it
+    stay. Null and empty texts have no perplexity and do not stay; where no document is trusted nothing
+    is known, and all others stay. Equal rows get equal results; an empty table gives none. Other
+    columns are not looked at.
     """
-    spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).distinct()
-    known = given.select("doc_id", "lang").join(trusted, "doc_id").distinct()
-    order_of = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = settle(known.withColumn("r", F.row_number().over(order_of)).where(F.col("r") <= per_lang).select("doc_id", "lang"))
-    texts = settle(filter_keys(given, sample.select("doc_id"), ["doc_id"], "left_semi").where("text <> ''"))
-    both = texts.where("lang is not null").unionByName(texts.withColumn("lang", F.lit(POOLED))).withColumnRenamed("lang", "model")
-    # The model is as large as its bounded sample makes it, and goes to every task whole.
-    models = spark.sparkContext.broadcast(gathered(train(both, order)))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            size, out = [], []
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                data, total = text.encode(), 0.0
-                model = models.value.get(lang) or models.value.get(POOLED)
-                size.append(len(data))
-                for k in range(0, len(data), 1 << 20):
-                    piece = data[max(0, k - order + 1) : k + (1 << 20)]
-                    total += float(model.score(gram_keys(piece, order)[min(k, order - 1) :]).sum()) if model else 0.0
-                out.append(float(np.exp(-total / len(data))) if model and data else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "n_bytes": size, "perplexity": pd.array(out, dtype="Float64")})
-
-    rows = settle(given.mapInPandas(scored, "doc_id long, lang string, n_bytes long, perplexity double"))
-    models.destroy()
-    judged = rows.select("doc_id", "lang", "perplexity").join(trusted, "doc_id", "left_semi").join(sample.select("doc_id").withColumn("used", F.lit(True)), "doc_id", "left")
+    trusted = settle(trusted.withColumn("trained", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) != 0))
+    known = filter_keys(given, trusted.where("trained"), ["doc_id"], "left_semi").where("text <> ''")
+    langs = settle(known.where("lang is not null").select("lang").distinct().withColumn("model", F.concat(F.lit("="), "lang")))
+    given = filter_keys(given, langs, ["lang"], "left").withColumn("model", F.coalesce("model", F.lit(POOLED)))
+    marked = filter_keys(given, trusted, ["doc_id"], "left").withColumn("trained", F.coalesce("trained", F.lit(False)))
+    grams = settle(count_grams(marked, order))
+    if not grams.where(F.col("model") == POOLED).isEmpty():
+        shared = grams.where("c > 0").where(F.col("model") != POOLED).withColumn("model", F.lit(POOLED))
+        grams = settle(grams.unionByName(shared).groupBy("model", "g").agg(F.sum("c").alias("c")))
+    scored = text_scores(given, gram_scores(grams, order), order, per_slice)
+    rows = scored.select("doc_id", "lang", "n_bytes", F.exp(-F.try_divide("logp", "n_bytes")).alias("perplexity"))
+    judged = settle(filter_keys(rows.select("doc_id", "lang", "perplexity"), trusted, ["doc_id"], "inner"))
     level = lambda w: F.percentile_approx(F.when(w, F.col("perplexity")), quantile, 100_000)
-    chosen = judged.groupBy("lang").agg(F.coalesce(level(F.col("used").isNull()), level(F.lit(True))).alias("q"))
-    pooled = judged.agg(F.coalesce(level(F.col("used").isNull()), level(F.lit(True))).alias("pooled"))
-    limits = settle(chosen.select(F.col("lang").alias("of"), (F.col("q") * margin).alias("own")))
-    rest = pooled.first()[0]
+    limit = (F.greatest(level(~F.col("trained")), level(F.lit(True))) * margin).alias("own")
+    limits = settle(judged.groupBy(F.col("lang").alias("of")).agg(limit))
+    rest = judged.agg(limit).first()[0]
     out = rows.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left")  # a row per language
-    limit = F.coalesce("own", F.lit(rest * margin if rest is not None else None).cast("double"))
-    kept = F.when(F.col("n_bytes") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= limit, F.lit(True)))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", limit.alias("threshold"), kept.alias("kept"))
+    bound = F.coalesce("own", F.lit(rest).cast("double"))
+    kept = F.when(F.col("n_bytes") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= bound, F.lit(True)))
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", bound.alias("threshold"), kept.alias("kept"))
 
 
 def op7_perplexity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
