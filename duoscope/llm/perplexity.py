@@ -121,8 +121,8 @@ def sorted_arrays(scores: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]
 def text_scores(texts: DataFrame, scores: DataFrame, order: int, per_slice: int) -> DataFrame:
     """``doc_id, lang, n_bytes, logp`` for rows of ``doc_id, lang, model, text``: the sum of the scores of a text's grams.
 
-    Scores go to the tasks in hash slices of about ``per_slice`` rows, each proven to be no larger than that
-    by the count they are cut by; a model of more rows takes more passes over the texts, whose sums are added.
+    Scores go to the tasks in hash slices whose number follows from their count, of ``per_slice`` rows on average;
+    a model of more rows takes more passes over the texts, whose sums are added.
     """
     slices = max(1, -(-scores.count() // per_slice))
     parts = []
