@@ -135,7 +135,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     described by log mean word length and the shares of symbols (root), repeated lines and repeated
     words, and rejected where their squared Mahalanobis distance from the MCD estimate of their
     language and source passes ``CUTOFF``. Pairs of language and source with under ``least`` such rows
-    are estimated per language, and languages with under ``least`` together. Null text has no words;
+    are judged by the estimate from all such rows of their language, and those of languages with under
+    ``least`` by the estimate from all such rows of the table. Null text has no words;
     null language or source is a value like any other. Equal texts of one group get equal verdicts,
     repeated rows their own rows, an empty table none. Other columns are not looked at.
     """
@@ -148,13 +149,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sound = base.where(~F.col("base_failed"))
     pairs = settle(sound.groupBy("lang_key", "pair_key").agg(F.count("*").alias("group_size")))
     langs = pairs.groupBy("lang_key").agg(F.sum("group_size").alias("lang_size"))
-    keyed = pairs.join(langs, "lang_key").select("pair_key", "group_size", F.when(F.col("group_size") >= least, F.col("pair_key")).when(F.col("lang_size") >= least, F.col("lang_key")).otherwise("all").alias("key"))
-    keyed, n = settle(keyed), base.count()
+    pair, lang = F.concat(F.lit("pair "), "pair_key"), F.concat(F.lit("lang "), "lang_key")
+    keyed = pairs.join(langs, "lang_key").select("lang_key", "pair_key", "group_size", F.when(F.col("group_size") >= least, pair).when(F.col("lang_size") >= least, lang).otherwise("all").alias("key"))
+    keyed = settle(keyed)
+    # Every estimate some pair is judged by takes the rows of all pairs it covers, those judged by their own included.
+    judges = keyed.groupBy("lang_key").agg(F.collect_set("key").alias("of_lang")).join(keyed.agg((F.count_if(F.col("key") == "all") > 0).alias("all")))
+    fits = F.array_compact(F.array(F.when(F.col("key") == pair, pair), F.when(F.array_contains("of_lang", lang), lang), F.when(F.col("all"), F.lit("all"))))
+    keyed = settle(keyed.join(judges, "lang_key").select("pair_key", "group_size", "key", fits.alias("fits")))
+    n = base.count()
     shares = {"x1": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), "x2": F.sqrt(F.col("n_symbols") / chars), "x3": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "x4": F.col("n_repeat_words") / words}
     rows = attach(base, keyed, "pair_key", n).withColumns(shares)
-    rows = settle(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "key", *X))
-    fitted = rows.where(~F.col("base_failed")).select("key", *X)
-    best = centres(fitted, n, steps, share)
+    rows = settle(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "key", "fits", *X))
+    fitted = rows.where(~F.col("base_failed")).select(F.explode("fits").alias("key"), *X)
+    best = centres(fitted, fitted.count(), steps, share)
     judged = attach(rows, settle(best), "key", n).withColumn("d", F.when(~F.col("base_failed"), distance() / F.col("scale")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d").alias("outlier_distance"), (~F.col("base_failed") & (F.col("d") <= CUTOFF)).alias("kept"))
 
