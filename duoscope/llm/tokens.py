@@ -1,7 +1,8 @@
 """Token ids as the public tokenizer files give them, fast enough for whole corpora.
 
 ``byte_ids`` rebuilds a byte-level BPE file as a rank table for tiktoken, which gives the ids of the
-tokenizers library (special strings in a text are matched, none is added) in a sixth of its time.
+tokenizers library (special strings in a text are matched, none is added) in a sixth of its time; texts
+with a very long run of white space, at which tiktoken's pattern gives up, go to the library.
 ``word_ids`` keeps the ids of white-space separated words and of the pieces they are cut into, as the
 tokenizers library gave them, and hands every text that holds more than printable Latin-1 to it whole.
 """
@@ -26,6 +27,15 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 WORD_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
+#: Characters of white space in a row that tiktoken is given: its pattern keeps a place to go back to for each, a million at most.
+RUN = 100_000
+
+
+def long_run(text: str) -> bool:
+    """Whether ``text`` holds over ``RUN`` characters of white space in a row."""
+    return len(text) > RUN and any(m.end() - m.start() > RUN for m in re.finditer(r"\s+", text))
+
+
 def public(name: str) -> str:
     import public_tokenizers
 
@@ -50,7 +60,19 @@ def byte_ids(path: str) -> Encoder:
     special = {t["content"]: t["id"] for t in file["added_tokens"]}
     ranks = {bytes(byte[c] for c in piece): k for piece, k in file["model"]["vocab"].items() if piece not in special}
     coder = tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
-    return lambda texts: [np.asarray(coder.encode_to_numpy(t, allowed_special="all"), dtype=np.uint32) for t in texts]
+
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def ids(t: str) -> np.ndarray:
+        if long_run(t):
+            return np.asarray(library().encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.asarray(coder.encode_to_numpy(t, allowed_special="all"), dtype=np.uint32)
+
+    return lambda texts: [ids(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
