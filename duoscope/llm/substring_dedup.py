@@ -88,12 +88,48 @@ def chunk_rows(h: bytes, data: bytes, runs: list, window: int) -> Iterator[tuple
             a = z
 
 
+def edges(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of true values, as first and one past the last."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def counted(kinds: DataFrame, window: int) -> DataFrame:
+    """``cd, a, z``: runs of starts in the chunks ``cd, chunk`` at which a window begins that begins twice in all of them.
+
+    Digests of windows are counted by Spark, so any number of chunks may share an anchor.
+    """
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                part = b.iloc[k : k + 256]
+                out = [(cd, at, digest(c[at : at + window])) for cd, c in zip(part["cd"], part["chunk"], strict=True) for at in range(len(c) - window + 1)]
+                yield pd.DataFrame(out, columns=["cd", "at", "w"])
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for cd, at in zip(b["cd"], b["at"], strict=True):
+                hit = np.zeros(int(max(at)) + 1, dtype=bool)
+                hit[np.asarray(at)] = True
+                out += [(cd, a, z) for a, z in edges(hit)]
+            yield pd.DataFrame(out, columns=["cd", "a", "z"])
+
+    # Tasks that hold equal chunks have each sent one on.
+    begun = settle(kinds.select("cd", "chunk").dropDuplicates(["cd"]).mapInPandas(windows, "cd binary, at long, w binary"))
+    twice = settle(begun.groupBy("w").agg(F.count("*").alias("group_size")).where("group_size > 1"))
+    hits = attach(begun, twice, "w", begun.count()).where("group_size is not null")
+    return hits.groupBy("cd").agg(F.collect_list("at").alias("at")).mapInPandas(runs, "cd binary, a long, z long")
+
+
 def repeated_spans(texts: DataFrame, window: int, common: int, batch: int) -> DataFrame:
     """``h, begin, end``: stretches of the distinct texts ``h, text`` covered by windows that begin twice.
 
     All windows with equal bytes have one anchor, so the places of every repeated string meet in the
     shard of its anchor's hash. Equal chunks are counted, one of them goes on; chunks that share an anchor
-    but are not equal go into suffix arrays of about ``batch`` bytes.
+    but are not equal go into suffix arrays of about ``batch`` bytes. An anchor with more than that in
+    distinct chunks goes into none: digests of its windows are counted, a row for each start.
     """
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,10 +159,13 @@ def repeated_spans(texts: DataFrame, window: int, common: int, batch: int) -> Da
                 yield pd.DataFrame(rows, columns=["v", "cd", "h", "first", "n", "chunk"])
 
     chunks = settle(near.mapInPandas(chunked, "v long, cd binary, h binary, first long, n long, chunk binary"))
-    counts = settle(chunks.groupBy("cd").agg(F.count("*").alias("group_size"), F.first("n").alias("n")))
+    counts = settle(chunks.groupBy("cd").agg(F.count("*").alias("group_size"), F.first("n").alias("n"), F.first("v").alias("v")))
     # Chunks move once, by anchor; the lengths that set the number of shards come from the counts.
     shards = counts.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0] // batch + 1
-    kinds = chunks.where("chunk is not null").select("v", "cd", "chunk").repartition(shards, "v").sortWithinPartitions("v", "cd")
+    large = settle(counts.groupBy("v").agg(F.sum(F.col("n") + window - 1).alias("size")).where(F.col("size") > batch).select("v"))
+    kinds = chunks.where("chunk is not null").select("v", "cd", "chunk")
+    hot, kinds = filter_keys(kinds, large, ["v"], "left_semi"), filter_keys(kinds, large, ["v"], "left_anti")
+    kinds = kinds.repartition(shards, "v").sortWithinPartitions("v", "cd")
 
     def sorted_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, bytes, bytes]] = []  # of whole anchors with several kinds of chunks
@@ -137,8 +176,7 @@ def repeated_spans(texts: DataFrame, window: int, common: int, batch: int) -> Da
             hits = repeated_starts([np.frombuffer(c, np.uint8) for _, _, c in group], window)
             out = []
             for (_, cd, _), hit in zip(group, hits, strict=True):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                out += [(cd, a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+                out += [(cd, a, z) for a, z in edges(hit)]
             return pd.DataFrame(out, columns=["cd", "a", "z"]).astype({"a": "int64", "z": "int64"})
 
         def rows() -> Iterator[tuple[int | None, bytes, bytes]]:
@@ -162,6 +200,8 @@ def repeated_spans(texts: DataFrame, window: int, common: int, batch: int) -> Da
             yield flush(held)
 
     found = kinds.mapInPandas(sorted_shards, "cd binary, a long, z long")
+    if not large.isEmpty():
+        found = found.unionByName(counted(hot, window))
     apart = settle(found.groupBy("cd").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
     state = settle(counts.join(apart, "cd", "left").where("group_size > 1 or spans is not null").select("cd", "group_size", "spans"))
     hits = attach(chunks.select("cd", "h", "first", "n"), state, "cd", chunks.count()).where("group_size is not null")
