@@ -5,19 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of white space, and a word, as the operators' contracts define them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The column of a row's own number.
+ROW = "__row__"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders of settled tables that no one has released yet, oldest first.
+SETTLED: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path under the shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new path under the shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset a session on one machine takes a temporary folder; on a cluster it is an error,
+    since executors would not see each other's files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -27,9 +39,23 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there and a lost executor costs nothing."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables settled after the first ``since``. What was read from them must be written or done with."""
+    for path in SETTLED[since:]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del SETTLED[since:]
+
+
+def numbered(docs: DataFrame, name: str = ROW) -> DataFrame:
+    """``docs`` with a number of its own for each row, settled, so that equal and null ids are told apart for good."""
+    return settle(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -43,9 +69,28 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(c, SPACE), "")
 
 
-def filter_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str, limit: int = 1_000_000) -> DataFrame:
-    """Semi or anti join against a settled key table: broadcast while it has at most ``limit`` rows, else shuffled."""
-    return rows.join(F.broadcast(keys) if keys.count() <= limit else keys, on, how)
+def filter_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str, limit: int = 32 << 20) -> DataFrame:
+    """Join of ``rows`` with a settled key table: broadcast while that has at most ``limit`` bytes, else shuffled.
+
+    The bytes are those of its values and 32 more a row; the rows of the result are the same either way.
+    """
+    size = F.lit(32)
+    for name, kind in keys.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    held = keys.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(keys) if held <= limit else keys, on, how)
+
+
+def running(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of ``keys`` whose whole number ``order`` is less. Rows have an order each.
+
+    Sums go over blocks of ``width`` numbers first, then within a block, so no task sorts all rows of a key.
+    """
+    df = df.withColumn("_block", F.floor(F.col(order) / width))
+    blocks = df.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    blocks = blocks.select(*keys, "_block", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_sum")).alias("_base"))
+    within = F.sum(value).over(Window.partitionBy(*keys, "_block").orderBy(order)) - F.col(value)
+    return df.withColumn("_within", within).join(blocks, [*keys, "_block"]).withColumn(name, F.col("_base") + F.col("_within")).drop("_block", "_base", "_within")
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, n_rows: int, weight: str = "group_size", share: int = 1000) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_of, words_of
+from .common import ROW, numbered, running, settle, text_of, words_of
 
-#: Odd primes over 2^28: multipliers of the index permutations (fixed values).
-PRIMES = (268435459, 334214467, 402653189, 469762049, 536870923, 671088667, 805306457, 939524129)
+SPANS = "__spans__"
+#: Rounds of the index permutations.
+ROUNDS = 48
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
@@ -60,7 +61,7 @@ def slots(spark: SparkSession, sources: DataFrame, seed: int, per_shard: int) ->
     found = F.get(table, F.least(F.size(F.filter(table, lambda x: x["upto"] <= F.col("u"))), F.lit(len(upto) - 1)))["s"]
     drawn = settle(drawn.select("id", "shard", found.alias("s")))
     counts = drawn.groupBy("s", "shard").agg(F.count("*").alias("n"))
-    base = counts.select("s", "shard", (F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")).alias("base"))
+    base = running(counts, ["s"], "shard", "n", "base").select("s", "shard", "base")
     # Within a shard the slots of a source go by their id: a shard is small, so its window is too.
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("s", "shard").orderBy("id")) - 1)
     ranked = ranked.join(base, ["s", "shard"]).select("shard", "s", (F.col("base") + F.col("r")).alias("k")).join(F.broadcast(held), "s").where("k < quota")
@@ -70,45 +71,53 @@ def slots(spark: SparkSession, sources: DataFrame, seed: int, per_shard: int) ->
     return ranked.unionByName(last.select(*ranked.columns))
 
 
-def permuted(k: Column, s: Column, n: Column, seed: int) -> Column:
-    """Block of slot ``k``: a pseudorandom permutation of 0..n-1 for each source and round of its blocks.
+def permuted(k: Column, s: Column, n: Column, seed: int, rounds: int = ROUNDS) -> Column:
+    """Block of slot ``k``: a pseudorandom permutation of 0..n-1 for each source and round of its blocks, for any n.
 
-    Affine with a prime multiplier (n stays under 2^31, so products fit), times a shift by hash.
+    Swap-or-not (Hoang, Morris and Rogaway 2012): each step pairs x with key - x modulo n and swaps the
+    two or not by a bit hashed from the larger, so every step is a bijection. Nothing is multiplied, so
+    nothing overflows up to n = 2^62.
     """
     turn = F.floor(k / n)
-    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed), s, turn), F.lit(len(PRIMES))) + 1).cast("int")).cast("long")
-    prime = F.when(F.pmod(prime, n) == 0, F.lit(1)).otherwise(prime)
-    return F.pmod(F.pmod(k, n) * F.pmod(prime, n) + F.pmod(F.xxhash64(s, turn, F.lit(seed)), n), n)
 
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), s, turn, r), n) - x, n)
+        bit = F.xxhash64(F.lit(seed), F.lit("swap"), s, turn, r, F.greatest(x, other)).bitwiseAND(F.lit(1))
+        return F.when(bit == 1, other).otherwise(x)
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block: int = 128, per_shard: int = 4096, per_chunk: int = 20_000, seed: int = 7) -> DataFrame:
-    """One row per input row and block of it that the mix takes: the row's ``doc_id, source, size,
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.pmod(k, n).cast("long"), swap)
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block: int = 128, per_shard: int = 4096, per_chunk: int = 1000, seed: int = 7) -> DataFrame:
+    """One row per input row and block of it that the mix takes: the row's ``doc_id, row, source, size,
     off`` (its first word's place in its source), its source's ``source_size, target``, and ``shard,
     turn`` (the round of the source's blocks, from 0), ``lo, hi`` (words of the row taken). Rows of
-    which nothing is taken have null in the last four.
+    which nothing is taken have null in the last four. ``row`` is ``row_col``, or a number of the row's own.
     """
     spark = docs.sparkSession
-    rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words_of(text_of(text_col))).cast("long").alias("size")))
-    chunks = max(1, rows.count() // per_chunk)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    part = rows.groupBy("source", "chunk").agg(F.sum("size").alias("part"))
-    part = settle(part)
-    sources = settle(blocks_of(targets(part.groupBy("source").agg(F.sum("part").alias("source_size")), weights, most), block))
-    begins = part.select("source", "chunk", (F.sum("part").over(Window.partitionBy("source").orderBy("chunk")) - F.col("part")).alias("begin"))
-    within = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    laid = rows.withColumn("within", F.coalesce(within, F.lit(0)))
-    # A few sources by a few chunks: both tables are as small as their product, whatever the rows are.
-    info = begins.join(sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).select("source", "chunk", "begin", "s", "source_size", "target", "len")
-    info = info.withColumnsRenamed({"source": "of", "chunk": "part_of"})
-    laid = laid.join(info, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("part_of")))
-    laid = laid.select("doc_id", "source", "size", "source_size", "target", "s", "len", (F.col("begin") + F.col("within")).alias("off"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("doc_id"), row.cast("long").alias("row"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("tie"), F.size(words_of(text_of(text_col))).cast("long").alias("size"))
+    rows = settle(rows)
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / per_chunk).alias("chunks"))
+    sources = settle(sources)
+    named = targets(sources.drop("chunks"), weights, most).withColumnRenamed("source", "named")
+    sources = settle(blocks_of(sources.select("source", "chunks").join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named"), block))
+    # Chunks hold some per_chunk rows of one source each; a row per source is broadcast.
+    info = F.broadcast(sources.select(F.col("source").alias("of"), "s", "chunks"))
+    laid = rows.join(info, F.col("source").eqNullSafe(F.col("of"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.col("chunks")))
+    part = settle(laid.groupBy("s", "chunk").agg(F.sum("size").alias("part")))
+    begins = running(part, ["s"], "chunk", "part", "begin").select("s", "chunk", "begin")
+    within = F.sum("size").over(Window.partitionBy("s", "chunk").orderBy("doc_id", "tie", "size", "row").rowsBetween(Window.unboundedPreceding, -1))
+    laid = laid.withColumn("within", F.coalesce(within, F.lit(0))).join(begins, ["s", "chunk"])
+    laid = laid.join(F.broadcast(sources.select("s", "source_size", "target", "len")), "s")
+    laid = laid.select("doc_id", "row", "source", "size", "source_size", "target", "s", "len", (F.col("begin") + F.col("within")).alias("off"))
     block_of = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("off") / F.col("len")), F.floor((F.col("off") + F.col("size") - 1) / F.col("len"))))
     cut = laid.withColumn("block", F.explode_outer(block_of))
     taken = slots(spark, sources, seed, per_shard).select("shard", "s", permuted(F.col("k"), F.col("s"), F.col("n_blocks"), seed).alias("block"), F.floor(F.col("k") / F.col("n_blocks")).alias("turn"))
     lo = F.greatest(F.col("block") * F.col("len") - F.col("off"), F.lit(0))
     hi = F.least((F.col("block") + 1) * F.col("len") - F.col("off"), F.col("size"))
     out = cut.join(taken, ["s", "block"], "left")
-    return out.select("doc_id", "source", "size", "off", "source_size", "target", "shard", "turn", F.when(F.col("turn").isNotNull(), lo).alias("lo"), F.when(F.col("turn").isNotNull(), hi).alias("hi"))
+    return out.select("doc_id", "row", "source", "size", "off", "source_size", "target", "shard", "turn", F.when(F.col("turn").isNotNull(), lo).alias("lo"), F.when(F.col("turn").isNotNull(), hi).alias("hi"))
 
 
 def mix_counts(docs: DataFrame, **how) -> DataFrame:
@@ -121,23 +130,25 @@ def mix_counts(docs: DataFrame, **how) -> DataFrame:
     one without words, takes nothing. Other columns are not looked at. Reruns give the same counts.
     """
     plan = mix_plan(docs, **how)
-    return plan.groupBy("doc_id", "source", "off", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return plan.groupBy("doc_id", "row", "source", "off", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **how) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: one row per document and round that takes words of it.
+    """The mix as documents with the columns of ``docs``: one row per input row and round that takes words of it.
 
-    A round that takes all words of a document gives its text unchanged; one that takes part gives the
-    words taken, each with the white space before it. ``length_col``, if there, is set anew. Ids are taken
-    to be unique, and repeat in the result as often as a document is taken.
+    A round that takes all words of a row gives its text unchanged; one that takes part gives the
+    words taken, each with the white space before it. ``length_col``, if there, is set anew. Rows are numbered
+    first, so rows of equal or null id are told apart: each comes as often as rounds take words of it, so ids
+    repeat. Texts without words give no row; an empty table gives none.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, **how).where("hi > lo")
-    rounds = plan.groupBy("doc_id", "turn", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
-    rounds = rounds.select(F.col("doc_id").alias("_id"), F.when(F.col("n") < F.col("size"), F.col("spans")).alias("_spans"))
-    df = docs.join(rounds, docs[id_col].eqNullSafe(rounds["_id"]))
+    rows = numbered(docs, ROW)
+    plan = mix_plan(rows, id_col, text_col, source_col, ROW, **how).where("hi > lo")
+    rounds = plan.groupBy("row", "turn", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
+    rounds = rounds.select(F.col("row").alias(ROW), F.when(F.col("n") < F.col("size"), F.col("spans")).alias(SPANS))
+    df = rows.join(rounds, ROW)
     pieces = F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_spans", lambda x: F.slice(pieces, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), "")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(part)
+    part = F.array_join(F.flatten(F.transform(SPANS, lambda x: F.slice(pieces, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), "")
+    text = F.when(F.col(SPANS).isNull(), F.col(text_col)).otherwise(part)
     df = df.withColumn(text_col, text)
     if length_col in docs.columns:
         df = df.withColumn(length_col, F.char_length(text_col).cast(dict(docs.dtypes)[length_col]))

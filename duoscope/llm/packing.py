@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from .common import settle, text_of
 from .tokens import encoder, public
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long"
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """Pieces of at most ``capacity`` ids; a longer document's first piece takes the remainder."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,15 +31,16 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str
             for k in range(0, len(b), 256):
                 out = []
                 part = b.iloc[k : k + 256]
-                for doc, ids in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):
+                for doc, row, ids in zip(part["doc_id"], part["row"], encode(part["text"].tolist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     at, step = 0, len(ids) % capacity or capacity
                     for piece in range(-(-len(ids) // capacity)):
-                        out.append((doc, piece, at, step, zlib.crc32(ids[at : at + step])))
+                        out.append((doc, row, piece, at, step, zlib.crc32(ids[at : at + step])))
                         at, step = at + step, capacity
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=names(PIECE)).astype({"doc_id": "Int64", "row": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(pieces, PIECE)
+    row = F.col(row_col) if row_col else F.lit(None)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), text_of(text_col).alias("text")).mapInPandas(pieces, PIECE)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,25 +115,27 @@ def sequences(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return bins, at
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, per_shard: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, per_shard: int = 100_000, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, and ``row`` where ``row_col`` is given.
 
     Every document is its ids and ``end_id``; null and empty texts are the end id alone. Documents over
     ``capacity`` are cut, others stay whole. Pieces are dealt by hash to shards of about ``per_shard``,
     each packed longest first by the sum-of-squares rule; the pieces of bins left part-filled are packed
-    once more, tightest gap first. A shard leaves a few bins part-filled, whatever the input's size. Repeated rows are packed as rows of their own; an
-    empty table gives no rows. Other columns are not looked at. The same input gives the same sequences.
+    once more, tightest gap first. A shard leaves a few bins part-filled, whatever the input's size. Repeated
+    rows are packed as rows of their own; an empty table gives no rows. Other columns are not looked at. The
+    same input gives the same sequences.
     """
-    pieces = settle(cut(docs, tokenizer, capacity, end_id, id_col, text_col))
+    pieces = settle(cut(docs, tokenizer, capacity, end_id, id_col, text_col, row_col))
     shards = max(1, round(pieces.where(F.col("length") < capacity).count() / per_shard))
 
     def place(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        p = p.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], ignore_index=True)
         bins, at = sequences(p["length"].to_numpy(), capacity)
-        return p.assign(sequence_id=bins * shards + p["shard"], offset=at)[[c.split()[0] for c in PACKED.split(", ")]]
+        return p.assign(sequence_id=bins * shards + p["shard"], offset=at)[names(PACKED)]
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(place, PACKED)
+    packed = dealt.groupBy("shard").applyInPandas(place, PACKED)
+    return packed if row_col else packed.drop("row")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

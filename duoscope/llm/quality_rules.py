@@ -81,12 +81,12 @@ def distance() -> Column:
 
 
 def estimate(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre and inverse factor for each key from sums ``n, s*, q**``, variances held above the floors."""
+    """Rows ``n``, centre, covariance and inverse factor for each key from sums ``n, s*, q**``, variances held above the floors."""
     n = F.col("n")
     mean = [F.col(f"s{i}") / n for i in range(P)]
     cov = {(i, j): F.col(f"q{i}{j}") / n - mean[i] * mean[j] for i, j in CELLS}
     held = [(cov[i, j] + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in CELLS]
-    return moments.select(*keys, "group_size", *[mean[i].alias(f"m{i}") for i in range(P)], *held).select(*keys, "group_size", *[f"m{i}" for i in range(P)], *triangular("v"))
+    return moments.select(*keys, "group_size", "n", *[mean[i].alias(f"m{i}") for i in range(P)], *held).select("*", *triangular("v"))
 
 
 def sums() -> list[Column]:
@@ -99,18 +99,19 @@ def distance_bin() -> Column:
     return F.least(F.floor(F.log1p(F.col("d2")) * 64), F.lit(1200)).cast("int")
 
 
-def centres(rows: DataFrame, n_rows: int, steps: int, share: float) -> DataFrame:
-    """One row per ``key``: the MCD centre ``m*``, inverse factor ``v**`` and ``scale``.
+def centres(rows: DataFrame, n_rows: int, steps: int, share: float, settled: float = 1e-3) -> DataFrame:
+    """One row per ``key``: the MCD centre ``m*``, covariance ``c**`` of ``n`` rows, inverse factor ``v**`` and ``scale``.
 
-    Two starts, coordinate medians with absolute deviations, and plain moments, each take ``steps``
-    concentration steps on the ``share`` of rows nearest to them; the smaller determinant wins.
+    Two starts, coordinate medians with absolute deviations, and plain moments, take concentration
+    steps on the ``share`` of rows nearest to them until no determinant's logarithm moves by
+    ``settled``, ``steps`` at most; the smaller determinant wins.
     """
     keys = ["key", "begun"]
     sizes = settle(rows.groupBy("key").agg(F.count("*").alias("group_size"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(X)]))
     off = attach(rows, sizes, "key", n_rows).groupBy("key", "group_size", "m0", "m1", "m2", "m3")
     off = off.agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(X)])
-    robust = off.select("key", F.lit(0).alias("begun"), "group_size", *[f"m{i}" for i in range(P)], *[(F.pow(F.lit(1.4826) * F.col(f"a{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS])
-    robust = robust.select(*keys, "group_size", *[f"m{i}" for i in range(P)], *triangular("v"))
+    spread = [(F.pow(F.lit(1.4826) * F.col(f"a{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
+    robust = off.select("key", F.lit(0).alias("begun"), "group_size", F.col("group_size").alias("n"), *[f"m{i}" for i in range(P)], *spread).select("*", *triangular("v"))
     plain = estimate(rows.groupBy("key").agg(F.count("*").alias("group_size"), *sums()).withColumn("begun", F.lit(1)), keys)
     now = settle(robust.unionByName(plain))
     upto = Window.partitionBy(*keys).orderBy("bin")
@@ -118,7 +119,10 @@ def centres(rows: DataFrame, n_rows: int, steps: int, share: float) -> DataFrame
         binned = attach(rows, now, "key", n_rows).withColumn("d2", distance()).groupBy(*keys, "group_size", distance_bin().alias("bin")).agg(*sums())
         near = binned.withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < F.col("group_size") * share)
         added = [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in CELLS]]]
-        now = settle(estimate(near.groupBy(*keys, "group_size").agg(*added), keys))
+        last, now = now, settle(estimate(near.groupBy(*keys, "group_size").agg(*added), keys))
+        moved = now.join(last.select(*keys, F.col("logdet").alias("last")), keys).agg(F.max(F.abs(F.col("logdet") - F.col("last")))).first()[0]
+        if moved is None or moved < settled:
+            break
     best = now.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "begun"))).where("r = 1").drop("r")
     best = settle(best)
     # The median distance under the winner puts it on the scale of a chi-square variable.
@@ -128,41 +132,46 @@ def centres(rows: DataFrame, n_rows: int, steps: int, share: float) -> DataFrame
     return best.join(scale, "key")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200, steps: int = 4, share: float = 0.55) -> DataFrame:
+def shrunk(own: DataFrame, prior: DataFrame, prior_key: str, weight: float) -> DataFrame:
+    """``own`` estimates (``n, m*, c**`` and keys) drawn towards those of ``prior`` under ``prior_key``, as ``weight`` rows of it would."""
+    p = prior.select(F.col("key").alias(prior_key), *[F.col(f"{q}").alias(f"p_{q}") for q in (*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in CELLS])])
+    share = F.col("n") / (F.col("n") + weight)
+    mix = [(share * F.col(q) + (1 - share) * F.col(f"p_{q}")).alias(q) for q in (*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in CELLS])]
+    names = [c for c in own.columns if c[0] not in "mcv" and c != "logdet"]
+    return own.join(p, prior_key).select(*names, *mix)
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weight: float = 400.0, steps: int = 8, share: float = 0.55) -> DataFrame:
     """One row per input row: the statistics, ``base_failed, outlier_distance, kept``.
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated 3-word windows. Other rows are
     described by log mean word length and the shares of symbols (root), repeated lines and repeated
-    words, and rejected where their squared Mahalanobis distance from the MCD estimate of their
-    language and source passes ``CUTOFF``. Pairs of language and source with under ``least`` such rows
-    are judged by the estimate from all such rows of their language, and those of languages with under
-    ``least`` by the estimate from all such rows of the table. Null text has no words;
-    null language or source is a value like any other. Equal texts of one group get equal verdicts,
-    repeated rows their own rows, an empty table none. Other columns are not looked at.
+    words, and rejected where their squared Mahalanobis distance from the estimate of their language and
+    source passes ``CUTOFF``. Every pair of language and source has an MCD estimate of its own; centre and
+    covariance are the means of the pair's, weighing its ``n`` rows, and its language's, weighing ``weight``,
+    and a language's those of its own and the whole table's likewise, so small groups lean on larger ones
+    without a step. Null text has no words; null language or source is a value like any other. Equal texts of
+    one group get equal verdicts, repeated rows their own rows, an empty table none. Other columns are not
+    looked at.
     """
-    given = docs.select(F.col(id_col).alias("doc_id"), F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"))).alias("lang_key"), F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s"))).alias("pair_key"), text_of(text_col).alias("text"))
+    lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
+    given = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit("lang "), F.to_json(F.struct(lang.alias("l")))).alias("lang_key"), F.concat(F.lit("pair "), F.to_json(F.struct(lang.alias("l"), source.alias("s")))).alias("pair_key"), text_of(text_col).alias("text"))
     base = settle(statistics(given, "text").drop("text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    base = base.withColumn("base_failed", failed)
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("_chars"), F.lit(1))
-    sound = base.where(~F.col("base_failed"))
-    pairs = settle(sound.groupBy("lang_key", "pair_key").agg(F.count("*").alias("group_size")))
-    langs = pairs.groupBy("lang_key").agg(F.sum("group_size").alias("lang_size"))
-    pair, lang = F.concat(F.lit("pair "), "pair_key"), F.concat(F.lit("lang "), "lang_key")
-    keyed = pairs.join(langs, "lang_key").select("lang_key", "pair_key", "group_size", F.when(F.col("group_size") >= least, pair).when(F.col("lang_size") >= least, lang).otherwise("all").alias("key"))
-    keyed = settle(keyed)
-    # Every estimate some pair is judged by takes the rows of all pairs it covers, those judged by their own included.
-    judges = keyed.groupBy("lang_key").agg(F.collect_set("key").alias("of_lang")).join(keyed.agg((F.count_if(F.col("key") == "all") > 0).alias("all")))
-    fits = F.array_compact(F.array(F.when(F.col("key") == pair, pair), F.when(F.array_contains("of_lang", lang), lang), F.when(F.col("all"), F.lit("all"))))
-    keyed = settle(keyed.join(judges, "lang_key").select("pair_key", "group_size", "key", fits.alias("fits")))
-    n = base.count()
     shares = {"x1": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), "x2": F.sqrt(F.col("n_symbols") / chars), "x3": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "x4": F.col("n_repeat_words") / words}
-    rows = attach(base, keyed, "pair_key", n).withColumns(shares)
-    rows = settle(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "key", "fits", *X))
-    fitted = rows.where(~F.col("base_failed")).select(F.explode("fits").alias("key"), *X)
-    best = centres(fitted, fitted.count(), steps, share)
-    judged = attach(rows, settle(best), "key", n).withColumn("d", F.when(~F.col("base_failed"), distance() / F.col("scale")))
+    rows = base.withColumn("base_failed", failed).withColumns(shares)
+    sound = settle(rows.where("not base_failed").select("lang_key", "pair_key", *X))
+    fitted = sound.select(F.explode(F.array("pair_key", "lang_key", F.lit("all"))).alias("key"), *X)
+    found = centres(fitted, 3 * sound.count(), steps, share)
+    # Covariances on the scale of a chi-square distance.
+    found = settle(found.select("key", "group_size", "n", *[f"m{i}" for i in range(P)], *[(F.col("scale") * F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in CELLS]))
+    langs = found.where(F.col("key").startswith("lang ")).withColumn("whole", F.lit("all"))
+    langs = settle(shrunk(langs, found.where("key = 'all'"), "whole", weight))
+    pairs = found.join(sound.groupBy(F.col("pair_key").alias("key"), "lang_key").agg(F.count("*").alias("_n")), "key")
+    pairs = settle(shrunk(pairs, langs, "lang_key", weight).withColumnRenamed("key", "pair_key")).select("pair_key", "group_size", *[f"m{i}" for i in range(P)], *triangular("v"))
+    judged = attach(rows, settle(pairs), "pair_key", base.count()).withColumn("d", F.when(~F.col("base_failed"), distance()))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d").alias("outlier_distance"), (~F.col("base_failed") & (F.col("d") <= CUTOFF)).alias("kept"))
 
 
