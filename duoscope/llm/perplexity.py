@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from .common import filter_keys, settle, text_of
 #: Symbols are bytes, with one more for the begin of a text.
 SYMBOLS = 257
 POOLED = "*"
+BLOCK = "block long, model string, grams binary, counts binary, blob binary, sizes array<long>, doc_ids array<long>, langs array<string>"
 
 
 def gram_keys(data: bytes, order: int) -> np.ndarray:
@@ -53,16 +53,69 @@ def tally(texts: Iterable[str], order: int, most: int = 1 << 22) -> tuple[np.nda
     return g, np.bincount(at, np.concatenate(counts), len(g)).astype(np.int64)
 
 
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """``model, g, c``: every gram of ``order`` bytes of each model's texts, and its count in the ``trained`` ones (0 in none)."""
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed steps; small for sorted ones."""
+    import zstandard
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(x, prepend=0).astype("<i8").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<i8"))
+
+
+def blocks(texts: DataFrame, order: int, size: int) -> DataFrame:
+    """Rows of ``BLOCK``: about ``size`` bytes of texts of one model, compressed, with their distinct grams.
+
+    ``counts`` are a gram's occurrences in the block's ``trained`` texts, 0 in none. A task fills blocks
+    from its rows as they come, closing its largest one whenever all hold ``size`` bytes, so nothing is
+    shuffled and no key can be hot; a longer text is a block of its own.
+    """
+    from pyspark import TaskContext
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        held: dict[str, list[tuple]] = {}
+        sizes: dict[str, int] = {}
+        number = TaskContext.get().partitionId() << 32
+
+        def close(model: str) -> pd.DataFrame:
+            nonlocal number
+            ids, langs, texts, trained = zip(*held.pop(model), strict=True)
+            sizes.pop(model)
+            g, _ = tally(texts, order)
+            c = np.zeros(len(g), dtype=np.int64)
+            known, n = tally((t for t, use in zip(texts, trained, strict=True) if use), order)
+            c[np.searchsorted(g, known)] = n
+            data = [t.encode() for t in texts]
+            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(data))
+            number += 1
+            return pd.DataFrame({"block": [number], "model": [model], "grams": [packed(g)], "counts": [packed(c)], "blob": [blob], "sizes": [[len(d) for d in data]], "doc_ids": [[None if pd.isna(i) else int(i) for i in ids]], "langs": [list(langs)]})
+
+        for b in batches:
+            for model, *row in zip(b["model"], b["doc_id"], b["lang"], b["text"], b["trained"], strict=True):
+                held.setdefault(model, []).append(tuple(row))
+                sizes[model] = sizes.get(model, 0) + len(row[2]) + 64
+                if sum(sizes.values()) >= size:
+                    yield close(max(sizes, key=sizes.get))
+        for model in list(held):
+            yield close(model)
+
+    return texts.select("doc_id", "lang", "model", "trained", "text").mapInPandas(filled, BLOCK)
+
+
+def block_grams(held: DataFrame) -> DataFrame:
+    """``block, model, g, c``: a row for each distinct gram of each block."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for (model, trained), part in b.groupby(["model", "trained"]):
-                g, c = tally(part["text"], order)
-                yield pd.DataFrame({"model": model, "g": g, "c": c if trained else 0})
+            for r in b.itertuples():
+                yield pd.DataFrame({"block": r.block, "model": r.model, "g": unpacked(r.grams), "c": unpacked(r.counts)})
 
-    return texts.select("model", "trained", "text").mapInPandas(counted, "model string, g long, c long").groupBy("model", "g").agg(F.sum("c").alias("c"))
+    return held.select("block", "model", "grams", "counts").mapInPandas(rows, "block long, model string, g long, c long")
 
 
 def discount(c: Column) -> Column:
@@ -106,53 +159,35 @@ def gram_scores(grams: DataFrame, order: int) -> DataFrame:
     return df
 
 
-def sorted_arrays(scores: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """A bounded slice of scores as sorted grams and their log probabilities by model."""
-    names = sorted(r["model"] for r in scores.select("model").distinct().collect())
-    out = {}
-    for name in names:
-        a = scores.where(F.col("model") == name).select("g", F.col("logp").cast("float").alias("logp")).toArrow()
-        g, logp = a.column("g").to_numpy(), a.column("logp").to_numpy()
-        at = np.argsort(g)
-        out[name] = g[at], logp[at]
-    return out
+def text_scores(held: DataFrame, scores: DataFrame, order: int) -> DataFrame:
+    """``doc_id, lang, n_bytes, logp`` for the texts in blocks ``held``: the sum of the scores of a text's grams.
 
+    A block asks for each of its distinct grams once: those requests are joined with the scores by gram,
+    and the answers meet the block's texts by its number, in a task of their own.
+    """
 
-def text_scores(texts: DataFrame, scores: DataFrame, order: int, per_slice: int) -> DataFrame:
-    """``doc_id, lang, n_bytes, logp`` for rows of ``doc_id, lang, model, text``: the sum of the scores of a text's grams.
+    def scored(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
 
-    Scores go to the tasks in hash slices whose number follows from their count, of ``per_slice`` rows on average;
-    a model of more rows takes more passes over the texts, whose sums are added.
-    """
-    slices = max(1, -(-scores.count() // per_slice))
-    parts = []
-    for s in range(slices):
-        model = texts.sparkSession.sparkContext.broadcast(sorted_arrays(scores.where(F.pmod(F.xxhash64("model", "g"), F.lit(slices)) == s)))
-
-        def scored(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                size, out = [], []
-                for name, text in zip(b["model"], b["text"], strict=True):
-                    data, total = text.encode(), 0.0
-                    g, logp = model.value.get(name, (np.empty(0, np.int64), None))
-                    for keys in key_runs(data, order) if len(g) else ():
-                        at = np.minimum(np.searchsorted(g, keys), len(g) - 1)
-                        total += float(np.where(g[at] == keys, logp[at], 0).sum(dtype=np.float64))
-                    size.append(len(data))
-                    out.append(total)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "digest": b["digest"], "n_bytes": size, "logp": out})
-
-        given = texts.select("doc_id", "lang", F.xxhash64("text").alias("digest"), "model", "text")
-        parts.append(settle(given.mapInPandas(scored, "doc_id long, lang string, digest long, n_bytes long, logp double")))
-        model.destroy()
-    if slices == 1:
-        return parts[0].drop("digest")
-    whole = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "lang", "digest", "n_bytes").agg(F.sum("logp").alias("sum"), F.count("*").alias("n"))
-    copies = (F.col("n") / slices).cast("int")
-    return settle(whole.select("doc_id", "lang", "n_bytes", (F.col("sum") / copies).alias("logp"), F.explode(F.array_repeat(F.lit(True), copies)).alias("copy")).drop("copy"))
-
-
-def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, per_slice: int = 4_000_000) -> DataFrame:
+        out = []
+        at = np.argsort(answers["g"].to_numpy())
+        g, logp = answers["g"].to_numpy()[at], answers["logp"].to_numpy()[at]
+        for r in block.itertuples():
+            data, begin = zstandard.ZstdDecompressor().decompress(r.blob), 0
+            for doc, lang, n in zip(r.doc_ids, r.langs, r.sizes, strict=True):
+                total = 0.0
+                for keys in key_runs(data[begin : begin + n], order):
+                    total += float(logp[np.searchsorted(g, keys)].sum())
+                out.append((doc, lang, n, total))
+                begin += n
+        return pd.DataFrame(out, columns=["doc_id", "lang", "n_bytes", "logp"]).astype({"doc_id": "Int64", "n_bytes": "int64", "logp": "float64"})
+
+    answers = block_grams(held).join(scores, ["model", "g"]).select("block", "g", "logp")
+    texts = held.select("block", "blob", "sizes", "doc_ids", "langs")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, "doc_id long, lang string, n_bytes long, logp double")
+
+
+def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, block: int = 1 << 23) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_bytes, perplexity, threshold, kept``.
 
     Models are trained on the whole texts of all trusted documents (label 1) but one in ``held_out`` by
@@ -164,18 +199,19 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     is known, and all others stay. Equal rows get equal results; an empty table gives none. Other
     columns are not looked at.
     """
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).distinct()
     trusted = settle(trusted.withColumn("trained", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) != 0))
     known = filter_keys(given, trusted.where("trained"), ["doc_id"], "left_semi").where("text <> ''")
     langs = settle(known.where("lang is not null").select("lang").distinct().withColumn("model", F.concat(F.lit("="), "lang")))
     given = filter_keys(given, langs, ["lang"], "left").withColumn("model", F.coalesce("model", F.lit(POOLED)))
     marked = filter_keys(given, trusted, ["doc_id"], "left").withColumn("trained", F.coalesce("trained", F.lit(False)))
-    grams = settle(count_grams(marked, order))
+    held = settle(blocks(marked, order, block))
+    grams = settle(block_grams(held).groupBy("model", "g").agg(F.sum("c").alias("c")))
     if not grams.where(F.col("model") == POOLED).isEmpty():
         shared = grams.where("c > 0").where(F.col("model") != POOLED).withColumn("model", F.lit(POOLED))
         grams = settle(grams.unionByName(shared).groupBy("model", "g").agg(F.sum("c").alias("c")))
-    scored = text_scores(given, gram_scores(grams, order), order, per_slice)
+    scored = settle(text_scores(held, gram_scores(grams, order), order))
     rows = scored.select("doc_id", "lang", "n_bytes", F.exp(-F.try_divide("logp", "n_bytes")).alias("perplexity"))
     judged = settle(filter_keys(rows.select("doc_id", "lang", "perplexity"), trusted, ["doc_id"], "inner"))
     level = lambda w: F.percentile_approx(F.when(w, F.col("perplexity")), quantile, 100_000)
