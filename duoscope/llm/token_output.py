@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, text_of
-from .tokens import encoder, public
+from .tokens import encoder, public, vocabulary
 
 SEGMENT = "part int, segment long, n_docs long, n_null long, n_ids long, width int, ids binary, ends binary, first_id long, doc_ids binary"
 
@@ -26,15 +26,19 @@ class EliasFano:
     """A non-decreasing sequence of n values up to u in about n * (2 + log2(u / n)) bits.
 
     The low bits of each value stand side by side; the high parts are in unary, value k at bit
-    ``high + k`` of a bit array. ``select`` finds the k-th one from byte counts sampled every 512 ones.
+    ``high + k`` of a bit array. ``select`` finds the k-th one from counts of 64-bit words, between the
+    words that hold the 512th ones before and after it.
     """
 
     EVERY = 512
 
     def __init__(self, n: int, low: int, lows: np.ndarray, bits: np.ndarray):
-        self.n, self.low, self.lows, self.bits = n, low, lows, bits
-        self.counts = np.cumsum(np.bitwise_count(bits), dtype=np.uint32)  # ones up to each byte
-        self.samples = np.searchsorted(self.counts, np.arange(0, n, self.EVERY, dtype=np.uint32), side="right").astype(np.uint32)
+        self.n, self.low, self.lows = n, low, lows
+        self.words = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view("<u8")
+        self.bits = bits
+        self.counts = np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)  # ones up to the end of each word
+        held = np.searchsorted(self.counts, np.arange(0, n, self.EVERY, dtype=np.uint32), side="right")
+        self.samples = np.append(held, max(len(self.words) - 1, 0)).astype(np.uint32)
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -55,45 +59,52 @@ class EliasFano:
         n, low, a, b = np.frombuffer(data, dtype="<u4", count=4).tolist()
         return cls(n, low, np.frombuffer(data, np.uint8, a, 16), np.frombuffer(data, np.uint8, b, 16 + a))
 
-    def select(self, k: int) -> int:
-        """Value k."""
-        if not 0 <= k < self.n:
-            raise IndexError(k)
-        at = int(self.samples[k // self.EVERY])
-        at += int(np.searchsorted(self.counts[at:], k, side="right"))
-        before = int(self.counts[at - 1]) if at else 0
-        ones = np.flatnonzero(np.unpackbits(self.bits[at : at + 1], bitorder="little"))
-        high = at * 8 + int(ones[k - before]) - k
-        first = k * self.low
-        low = np.unpackbits(self.lows[first // 8 : (first + self.low + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low]
-        return high << self.low | int((low.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum())
-
-    def values(self) -> np.ndarray:
-        """All values at once, as ``select`` gives them one by one."""
-        high = np.flatnonzero(np.unpackbits(self.bits, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
-        return (high.astype(np.uint64) << np.uint64(self.low)) + (low << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def select(self, which: np.ndarray) -> np.ndarray:
+        """The values at the places ``which``."""
+        k = np.asarray(which, dtype=np.int64)
+        if len(k) and not (0 <= k.min() and k.max() < self.n):
+            raise IndexError(which)
+        at, last = self.samples[k // self.EVERY].astype(np.int64), self.samples[k // self.EVERY + 1].astype(np.int64)
+        while (at < last).any():  # the first word that ends past k ones
+            middle = (at + last) // 2
+            past = self.counts[middle] > k
+            at, last = np.where(past | (at == last), at, middle + 1), np.where(past, middle, last)
+        before = np.where(at > 0, self.counts[at - 1], 0) if len(k) else k
+        ones = np.unpackbits(self.words[at].view(np.uint8).reshape(len(k), 8), axis=1, bitorder="little")
+        place = (np.cumsum(ones, axis=1, dtype=np.int64) <= (k - before)[:, None]).sum(axis=1)
+        value = at * 64 + place - k
+        low = np.zeros(len(k), dtype=np.int64)
+        for j in range(self.low):
+            bit = k * self.low + j
+            low |= (self.lows[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << j
+        return value << self.low | low
 
 
 def segment_row(part: int, segment: int, docs: list[int | None], ids: list[np.ndarray], width: int) -> dict:
     known = [d for d in docs if d is not None]
     first = known[0] if known else 0
+    array = np.concatenate(ids)
+    if int(array.max()) >= 256**width:
+        raise ValueError(f"id {array.max()} does not fit {width} bytes")
     return {
-        "part": part, "segment": segment, "n_docs": len(docs), "n_null": len(docs) - len(known), "n_ids": sum(map(len, ids)), "width": width,
-        "ids": np.concatenate(ids).astype(f"<u{width}").tobytes(), "ends": EliasFano.build(np.cumsum([len(x) for x in ids])).tobytes(),
+        "part": part, "segment": segment, "n_docs": len(docs), "n_null": len(docs) - len(known), "n_ids": len(array), "width": width,
+        "ids": array.astype(f"<u{width}").tobytes(), "ends": EliasFano.build(np.cumsum([len(x) for x in ids])).tobytes(),
         "first_id": first, "doc_ids": EliasFano.build(np.array(known, dtype=np.int64) - first).tobytes(),
     }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int = 2, per_segment: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int | None = None, per_segment: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents' ids in ascending order of id, each followed by ``end_id``.
 
     Documents are range-partitioned by id before they are encoded, so each task writes the segments of
     one range. A segment is closed at ``per_segment`` ids; a longer document is a segment of its own.
-    ``width`` is the bytes of an id: 2 for vocabularies up to 65,536.
+    ``width`` is the bytes of an id, 2 for vocabularies up to 65,536 and else 4 unless given; an id that
+    does not fit is an error.
     """
     from pyspark import TaskContext
 
+    width = width or (2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4)
+
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
@@ -130,14 +141,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                ends = EliasFano.frombytes(row.ends).values().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]])
-                ids = np.frombuffer(row.ids, dtype=f"<u{row.width}").astype("<u4")
-                names = [*[None] * row.n_null, *(EliasFano.frombytes(row.doc_ids).values().astype(np.int64) + row.first_id).tolist()]
-                crc = [zlib.crc32(ids[a:z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"part": row.part, "segment": row.segment, "doc_id": pd.array(names, dtype="Int64"), "begin": begins, "n_tokens": ends - begins, "ids_crc32": crc})
-
-    rows = found.select("part", "segment", "n_null", "width", "ids", "ends", "first_id", "doc_ids").mapInPandas(documents, "part int, segment long, doc_id long, begin long, n_tokens long, ids_crc32 long")
+                ends, known = EliasFano.frombytes(row.ends), EliasFano.frombytes(row.doc_ids)
+                ids = np.frombuffer(row.ids, dtype=f"<u{row.width}")
+                for k in range(0, row.n_docs, 4096):
+                    which = np.arange(k, min(k + 4096, row.n_docs))
+                    upto = ends.select(which)
+                    begins = np.concatenate([ends.select(which[:1] - 1) if k else [0], upto[:-1]]).astype(np.int64)
+                    names = [*[None] * int((which < row.n_null).sum()), *(known.select(which[which >= row.n_null] - row.n_null) + row.first_id).tolist()]
+                    crc = [zlib.crc32(ids[a:z].astype("<u4")) for a, z in zip(begins.tolist(), upto.tolist(), strict=True)]
+                    yield pd.DataFrame({"part": row.part, "segment": row.segment, "doc_id": pd.array(names, dtype="Int64"), "begin": begins, "n_tokens": upto - begins, "ids_crc32": crc})
+
+    rows = found.select("part", "segment", "n_docs", "n_null", "width", "ids", "ends", "first_id", "doc_ids").mapInPandas(documents, "part int, segment long, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 

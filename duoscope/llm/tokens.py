@@ -4,7 +4,8 @@
 tokenizers library (special strings in a text are matched, none is added) in a sixth of its time; texts
 with a very long run of white space, at which tiktoken's pattern gives up, go to the library.
 ``word_ids`` keeps the ids of white-space separated words and of the pieces they are cut into, as the
-tokenizers library gave them, and hands every text that holds more than printable Latin-1 to it whole.
+tokenizers library gave them, and hands every text that holds more than printable Latin-1 to it whole. Files with
+other rules than these two are built for are left to the library.
 """
 
 from __future__ import annotations
@@ -125,9 +126,60 @@ def piece_ids(path: str) -> Encoder:
     return lambda texts: [np.asarray(x, dtype=np.uint32) for x in model.encode(texts, num_threads=1)] if texts else []
 
 
+@lru_cache(maxsize=4)
+def library_ids(path: str) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    return lambda texts: [np.asarray(e.ids, dtype=np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def plain_model(file: dict) -> bool:
+    """Whether a BPE file has no rule beyond its merges, and special tokens that match wherever they stand."""
+    m = file["model"]
+    odd = [m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")]
+    special = [t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")]
+    return m.get("type") == "BPE" and not any(odd) and not any(special) and not file.get("truncation") and not file.get("padding")
+
+
+def is_byte_level(file: dict) -> bool:
+    """Whether ``byte_ids`` holds for a file: text cut by ``PIECES``, merges in the order of their ids, after all bytes."""
+    pre, m = file.get("pre_tokenizer") or {}, file["model"]
+    if not plain_model(file) or file.get("normalizer") or m.get("end_of_word_suffix"):
+        return False
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    made = [m["vocab"].get("".join(x.split(" ") if isinstance(x, str) else x)) for x in m["merges"]]
+    singles = [k for t, k in m["vocab"].items() if len(t) == 1]
+    return len(singles) == 256 and None not in made and made == sorted(set(made)) and max(singles) < made[0] and len(made) + 256 == len(m["vocab"])
+
+
+def is_word_level(file: dict) -> bool:
+    """Whether ``word_ids`` holds for a file: white space folded, lower case, pieces by ``WORD_PIECES`` with an end mark."""
+    normal, pre = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps = [x.get("type") for x in normal.get("normalizers", [])]
+    cuts = pre.get("pretokenizers", [{}, {}])
+    split = cuts[0].get("pattern", {}).get("Regex") == WORD_PIECES and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+    bytes_ = len(cuts) == 2 and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("add_prefix_space") and cuts[1].get("use_regex") is False
+    return plain_model(file) and steps == ["NFC", "Replace", "Lowercase"] and split and bytes_ and file["model"].get("end_of_word_suffix") == "</w>"
+
+
 def encoder(path: str) -> Encoder:
-    """By kind of file: sentencepiece models, byte-level BPE, BPE with word ends."""
+    """By kind of file: sentencepiece models, byte-level BPE, BPE with word ends, anything else."""
     if path.endswith(".model"):
         return piece_ids(path)
     with open(path, encoding="utf-8") as f:
-        return word_ids(path) if '"end_of_word_suffix":"</w>"' in re.sub(r"\s", "", f.read()) else byte_ids(path)
+        file = json.load(f)
+    return byte_ids(path) if is_byte_level(file) else word_ids(path) if is_word_level(file) else library_ids(path)
+
+
+def vocabulary(path: str) -> int:
+    """One more than the largest id."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    return 1 + max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])])
