@@ -47,7 +47,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """Bin and offset of each length, placed in the order given.
 
     ``open_[g]`` counts the open bins with gap g. A length goes where the sum of ``open_**2`` over gaps
-    1..capacity-1 ends smallest: into a bin of some gap, or a new bin. Ties go to the smallest gap.
+    1..capacity-1 ends smallest: into a bin of some gap, or a new bin. Ties go to the smallest gap, and an
+    exact fit also goes before a place where the sum would end smaller by one, since it closes a bin for good.
     """
     open_ = np.zeros(capacity + 1, dtype=np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]

@@ -248,9 +248,11 @@ def test_exact_dedup_sql(spark, sf):
 
 
 def test_perplexity(spark, sf):
-    got = perplexity.op7_perplexity_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    """Verdicts on documents that no model was trained on: trusted ones held out, and those labelled as bad."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0 or pmod(xxhash64(doc_id), 8) = 0")
+    got = perplexity.op7_perplexity_classifier(spark, sf).join(labels, "doc_id")
     rate = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert rate[1] > 0.97 and rate[0] < 0.3
+    assert rate[1] > 0.95 and rate[0] < 0.3
 
 
 def test_perplexity_of_awkward_rows(spark, docs):
@@ -260,9 +262,9 @@ def test_perplexity_of_awkward_rows(spark, docs):
     assert all(r.kept == (r.n_bytes > 0) for r in got)
 
 
-def test_perplexity_in_slices(spark, docs):
+def test_perplexity_in_small_blocks(spark, docs):
     labels = docs.select("doc_id").distinct().withColumn("quality", F.lit(1))
-    one, many = (sorted(rows(perplexity.perplexity_filter(docs, labels, per_slice=n)), key=str) for n in (4_000_000, 7_000))
+    one, many = (sorted(rows(perplexity.perplexity_filter(docs, labels, block=n)), key=str) for n in (1 << 23, 7_000))
     assert [(r.doc_id, r.lang, r.n_bytes, r.kept) for r in one] == [(r.doc_id, r.lang, r.n_bytes, r.kept) for r in many]
     assert [r.perplexity for r in one] == pytest.approx([r.perplexity for r in many])
 
@@ -298,7 +300,8 @@ def test_kneser_ney(spark):
     told, asked = ["abracadabra abacus", "banana bandana cabana", "a cab, a band; abba aa aaa"], ["abandon zebra ab"]
     every = [bytes((97, 98, c)) for c in range(256)]
     df = spark.createDataFrame([("m", t, True) for t in told] + [("m", t, False) for t in asked], "model string, text string, trained boolean")
-    counted = perplexity.count_grams(df, 3).unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
+    held = perplexity.blocks(df.withColumns({"doc_id": F.lit(1), "lang": F.lit("en")}), 3, 1 << 20)
+    counted = perplexity.block_grams(held).drop("block").unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
     got = {r.g.to_bytes(3, "big"): np.exp(r.logp) for r in perplexity.gram_scores(counted.groupBy("model", "g").agg(F.sum("c").alias("c")), 3).collect()}
     want = kneser_ney([g for t in told for g in grams(t)], {g for t in told + asked for g in grams(t)} | set(every), 3)
     assert got == pytest.approx(want)
@@ -335,8 +338,11 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 1), (1, 10**9), (700, 3), (5000, 10**8), (2000, 2000)):
         v = np.sort(r.integers(0, top, n))
         e = token_output.EliasFano.frombytes(token_output.EliasFano.build(v).tobytes())
-        assert e.values().tolist() == v.tolist()
-        assert [e.select(k) for k in range(0, n, 37)] == v[::37].tolist()
+        assert e.select(np.arange(n)).tolist() == v.tolist()
+        assert e.select(np.arange(0, n, 37)[::-1]).tolist() == v[::37][::-1].tolist()
+        for k in (-1, n):
+            with pytest.raises(IndexError):
+                e.select(np.array([k]))
     v = np.cumsum(r.integers(500, 1500, 10000))
     assert len(token_output.EliasFano.build(v).tobytes()) * 8 / len(v) < 13
 
@@ -354,7 +360,7 @@ def spans_by_rule(t):
 
 
 def test_personal_data(docs):
-    got = rows(personal_data.find_personal_data(docs))
+    got = rows(personal_data.find_personal_data(docs, steps=30))
     want = Counter((d, *[sum(k == x for k, _, _ in spans_by_rule(t)) for x in personal_data.KINDS], hashlib.sha256(personal_data.shown(spans_by_rule(t)).encode()).hexdigest()) for d, t in texts(docs))
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
     given = {d: t for d, t in texts(docs)}
@@ -384,12 +390,46 @@ def test_tagger_gradients_and_held_out_accuracy():
         lo = m.step(s, y)[0]
         m.p[k][at] = old
         assert g[k][at] == pytest.approx((hi - lo) / (2 * e), abs=2e-3)
-    hosts = ["some words 12 and more words", "nothing but 7 words here"] * 40
-    train = personal_data.train([(h, []) for h in hosts])
-    x, spans = personal_data.variants(np.random.default_rng(9), 100, hosts)
-    hit = {(row, k, a, z) for row, _, k, a, z in personal_data.decoded(train, [(i, 0, t) for i, t in enumerate(x)], 0.5)}
-    true = {(i, *sp) for i, sps in enumerate(spans) for sp in sps if personal_data.sound(sp[0], x[i][sp[1] : sp[2]])}
-    assert len(hit & true) > 0.7 * len(true) and len(hit - true) < 0.1 * len(true)
+
+
+def test_viterbi_path_is_the_best_of_all():
+    from itertools import product
+
+    from duoscope.llm.tagger import ALPHABET, Tagger
+
+    r = np.random.default_rng(3)
+    m = Tagger(3, embed=3, hidden=4)
+    m.p["A"] = r.normal(size=(3, 3))
+    s = r.integers(0, ALPHABET, (4, 5))
+    path, sure = m.decode(s)
+    e = m.emissions(s.T)[0]
+    for w in range(4):
+        score = {y: sum(e[t, w, y[t]] for t in range(5)) + sum(m.p["A"][y[t], y[t + 1]] for t in range(4)) for y in product(range(3), repeat=5)}
+        assert tuple(path[w]) == max(score, key=score.get)
+        total = sum(np.exp(x) for x in score.values())
+        for t in range(5):
+            assert sure[w, t] == pytest.approx(sum(np.exp(x) for y, x in score.items() if y[t] == path[w, t]) / total, rel=1e-4)
+
+
+def test_the_tagger_finds_what_patterns_miss(spark):
+    """Forms set into texts of their own, that no window of the training holds, through the operator."""
+    base = [t for _, t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if t and 300 < len(t) < 5000]
+    r = np.random.default_rng(77)
+    planted, spans = [], {}
+    for k in range(400):
+        words = base[k % len(base)].split(" ")
+        at = int(r.integers(5, len(words) - 5))
+        kind, s = personal_data.missed(r) if k % 2 else ("", personal_data.harmless(r))
+        left = " ".join(words[:at]) + " "
+        planted.append((k, left + s + " " + " ".join(words[at:])))
+        spans[k] = {f"{kind}:{len(left)}:{len(left) + len(s)}"} if kind else set()
+    found, true, hit = 0, 0, 0
+    for x in personal_data.find_personal_data(spark.createDataFrame(planted, "doc_id long, text string")).collect():
+        text = planted[x.doc_id][1]
+        fixed = {f"{k}:{a}:{z}" for k, a, z in spans_by_rule(text)}
+        added, want = {y for y in x.spans.split(",") if y} - fixed, spans[x.doc_id] - fixed
+        found, true, hit = found + len(added), true + len(want), hit + len(added & want)
+    assert hit >= 0.85 * true and hit >= 0.8 * found, (hit, true, found)
 
 
 def removal(docs, w):
@@ -440,6 +480,143 @@ def test_anchors_of_long_texts_are_those_of_their_windows(monkeypatch):
     substring_dedup.powers.cache_clear()
 
 
+def test_substring_dedup_of_the_whole_table(spark, sf):
+    """Every document against counts of all its windows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = Counter()
+    for _, x in texts(docs):
+        b = x.encode()
+        seen.update(hash(b[i : i + 400]) for i in range(len(b) - 399))
+    want = Counter()
+    for d, x in texts(docs):
+        b = x.encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 399):
+            if seen[hash(b[i : i + 400])] > 1:
+                gone[i : i + 400] = True
+        n = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want[d, len(b), int(gone.sum()), n, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
+    assert Counter(map(tuple, rows(substring_dedup.substring_dedup(docs)))) == want
+
+
+def test_sum_of_squares_rule():
+    """Each placement against a trial of every bin."""
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = np.sort(r.integers(1, 41, 120))[::-1]
+        bins, at = packing.sum_of_squares(sizes, 40)
+        gap = {}
+        for size, b, off in zip(sizes.tolist(), bins.tolist(), at.tolist(), strict=True):
+            def after(g):
+                left = Counter(x for x in gap.values() if 0 < x < 40)
+                left[g] -= 1
+                left[g - size] += 1
+                return sum(n * n for x, n in left.items() if 0 < x < 40)
+
+            if size < 40:
+                best = min(after(g) for g in {*(x for x in gap.values() if x >= size), 40})
+                exact = size in gap.values() and after(size) <= best + 1
+                assert gap.get(b, 40) == size if exact else after(gap.get(b, 40)) == best
+            assert off == 40 - gap.get(b, 40)
+            gap[b] = gap.get(b, 40) - size
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 40, 1000, 536870918, 3 * 268435459, 3 * 10**10, 10**13])
+def test_block_permutations(spark, n):
+    """Whole small ranges are permuted; slots of large ones are told apart and stay inside."""
+    m = min(n, 3000)
+    df = spark.range(m).select(F.lit(n).cast("long").alias("n"), (F.col("id") + F.lit(n) * 2).alias("k")).crossJoin(spark.range(4).select(F.col("id").cast("int").alias("s")))
+    got = df.select("s", mixing.permuted(F.col("k"), F.col("s"), F.col("n"), 7).alias("b")).groupBy("s").agg(F.countDistinct("b").alias("d"), F.min("b").alias("lo"), F.max("b").alias("hi")).collect()
+    assert len(got) == 4 and all(x.d == m and 0 <= x.lo and x.hi < n for x in got)
+
+
+def test_an_estimate_is_the_least_determinant(spark):
+    """A small group against all subsets of its rows, and a pair against its own rows only."""
+    from itertools import combinations
+
+    r = np.random.default_rng(2)
+    x = np.vstack([r.normal(0, 0.2, (10, 4)), r.normal(3, 0.2, (4, 4))])
+    df = spark.createDataFrame([("a", *map(float, v)) for v in x] + [("b", *map(float, v + 50)) for v in x], "key string, x1 double, x2 double, x3 double, x4 double")
+    got = {c.key: c for c in quality_rules.centres(df, 28, 8, 0.55).collect()}
+    h, floor = got["a"].n, np.diag(np.square(quality_rules.FLOORS))
+
+    def volume(pick):
+        return np.linalg.det(np.cov(x[list(pick)].T, bias=True) + floor)
+
+    best = min(combinations(range(14), h), key=volume)
+    own = np.array([[got["a"][f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+    assert np.linalg.det(own) <= 1.5 * volume(best)
+    assert set(best) <= set(range(10)) and max(abs(got["a"][f"m{i}"]) for i in range(4)) < 0.3
+    assert all(got["b"][f"m{i}"] == pytest.approx(got["a"][f"m{i}"] + 50, abs=1e-6) for i in range(4))
+
+
+def test_other_tokenizer_files_are_left_to_the_library(tmp_path, small):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    t, xs = Tokenizer.from_file(str(path)), [x for _, x in texts(small)][:50]
+    assert [x.tolist() for x in encoder(str(path))(xs)] == [t.encode(x, add_special_tokens=False).ids for x in xs]
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    with pytest.raises(ValueError, match="fit"):
+        token_output.segment_row(0, 0, [1], [np.array([70_000], dtype=np.uint32)], 2)
+
+
+def stage_input(spark):
+    """Rows of null and equal ids, equal texts, nulls everywhere, empty and long texts, among sound ones."""
+    r = np.random.default_rng(8)
+    prose = lambda: " ".join("".join(r.choice(list("abcdefgh"), int(r.integers(3, 9)))) for _ in range(150))
+    a, b, c = prose(), prose(), prose()
+    near = " ".join([*a.split(" ")[:-1], "zzz"])
+    data = [(5, a), (5, a), (None, a), (3, b), (3, c), (None, c), (None, None), (7, ""), (None, "short"), (8, "word " * 20000), (9, near), (None, near), (2, a.upper())]
+    data += [(100 + k, prose()) for k in range(30)]
+    return spark.createDataFrame([(d, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else "web", None if t is None else len(t), "x") for k, (d, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long, h string")
+
+
+def test_stages_on_null_and_equal_ids(spark):
+    import corpus_pipeline as cp
+
+    docs = stage_input(spark)
+    given = [(x.doc_id, x.text) for x in docs.collect()]
+    order = lambda d: (d is None, d or 0)
+    bad = lambda t: len(re.findall(SPACE, t or "")) < 50 or len(set((t or "").split())) < 3
+    stage = dict(cp.STAGES)
+    kept = [(x.doc_id, x.text) for x in stage["quality_rules"](spark, docs, "").collect()]
+    assert not [t for _, t in kept if bad(t)] and not Counter(kept) - Counter(given)
+    assert len(kept) >= sum(not bad(t) for _, t in given) - 3
+
+    def survivors(name):
+        groups = {}
+        for d, t in given:
+            groups.setdefault(name(t or ""), []).append(d)
+        return Counter((min(g, key=order), k) for k, g in groups.items())
+
+    exact = [(x.doc_id, (x.text or "").lower()) for x in stage["exact_dedup"](spark, docs, "").collect()]
+    assert Counter(exact) == survivors(str.lower)
+    first = {t: t for _, t in given}
+    near = {t.lower(): given[0][1] for _, t in given if t and t.lower().startswith(given[0][1][:200])}
+    close = [(x.doc_id, near.get((x.text or "").lower(), (x.text or "").lower())) for x in stage["simhash_near_dedup"](spark, docs, "").collect()]
+    assert Counter(close) == survivors(lambda t: near.get(t.lower(), t.lower())) and first
+    mixed = stage["mix_sources"](spark, docs, "")
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    packed = stage["best_fit_packing"](spark, docs, "")
+    assert packed.count() == packed.select("row", "piece").distinct().count() >= len(given)
+
+
+def test_stages_on_an_empty_table(spark, empty):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
