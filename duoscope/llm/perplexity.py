@@ -14,7 +14,6 @@ from .common import filter_keys, settle, text_of
 #: Symbols are bytes, with one more for the begin of a text.
 SYMBOLS = 257
 POOLED = "*"
-BLOCK = "block long, model string, grams binary, counts binary, blob binary, sizes array<long>, doc_ids array<long>, langs array<string>"
 
 
 def gram_keys(data: bytes, order: int) -> np.ndarray:
@@ -53,69 +52,17 @@ def tally(texts: Iterable[str], order: int, most: int = 1 << 22) -> tuple[np.nda
     return g, np.bincount(at, np.concatenate(counts), len(g)).astype(np.int64)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed steps; small for sorted ones."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3).compress(np.diff(x, prepend=0).astype("<i8").tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<i8"))
-
-
-def blocks(texts: DataFrame, order: int, size: int) -> DataFrame:
-    """Rows of ``BLOCK``: about ``size`` bytes of texts of one model, compressed, with their distinct grams.
-
-    ``counts`` are a gram's occurrences in the block's ``trained`` texts, 0 in none. A task fills blocks
-    from its rows as they come, closing its largest one whenever all hold ``size`` bytes, so nothing is
-    shuffled and no key can be hot; a longer text is a block of its own.
-    """
-    from pyspark import TaskContext
-
-    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        held: dict[str, list[tuple]] = {}
-        sizes: dict[str, int] = {}
-        number = TaskContext.get().partitionId() << 32
-
-        def close(model: str) -> pd.DataFrame:
-            nonlocal number
-            ids, langs, texts, trained = zip(*held.pop(model), strict=True)
-            sizes.pop(model)
-            g, _ = tally(texts, order)
-            c = np.zeros(len(g), dtype=np.int64)
-            known, n = tally((t for t, use in zip(texts, trained, strict=True) if use), order)
-            c[np.searchsorted(g, known)] = n
-            data = [t.encode() for t in texts]
-            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(data))
-            number += 1
-            return pd.DataFrame({"block": [number], "model": [model], "grams": [packed(g)], "counts": [packed(c)], "blob": [blob], "sizes": [[len(d) for d in data]], "doc_ids": [[None if pd.isna(i) else int(i) for i in ids]], "langs": [list(langs)]})
+def count_grams(texts: DataFrame, order: int) -> DataFrame:
+    """``model, g, c, t``: every gram of ``order`` bytes of each model's texts, its count in the ``trained`` ones (0 in none) and in all."""
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for model, *row in zip(b["model"], b["doc_id"], b["lang"], b["text"], b["trained"], strict=True):
-                held.setdefault(model, []).append(tuple(row))
-                sizes[model] = sizes.get(model, 0) + len(row[2]) + 64
-                if sum(sizes.values()) >= size:
-                    yield close(max(sizes, key=sizes.get))
-        for model in list(held):
-            yield close(model)
+            for (model, trained), part in b.groupby(["model", "trained"]):
+                g, n = tally(part["text"], order)
+                yield pd.DataFrame({"model": model, "g": g, "c": n if trained else 0, "t": n})
 
-    return texts.select("doc_id", "lang", "model", "trained", "text").mapInPandas(filled, BLOCK)
-
-
-def block_grams(held: DataFrame) -> DataFrame:
-    """``block, model, g, c``: a row for each distinct gram of each block."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                yield pd.DataFrame({"block": r.block, "model": r.model, "g": unpacked(r.grams), "c": unpacked(r.counts)})
-
-    return held.select("block", "model", "grams", "counts").mapInPandas(rows, "block long, model string, g long, c long")
+    given = texts.select("model", "trained", "text").mapInPandas(counted, "model string, g long, c long, t long")
+    return given.groupBy("model", "g").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 def discount(c: Column) -> Column:
@@ -159,35 +106,53 @@ def gram_scores(grams: DataFrame, order: int) -> DataFrame:
     return df
 
 
-def text_scores(held: DataFrame, scores: DataFrame, order: int) -> DataFrame:
-    """``doc_id, lang, n_bytes, logp`` for the texts in blocks ``held``: the sum of the scores of a text's grams.
+def text_scores(texts: DataFrame, scores: DataFrame, frequent: DataFrame, order: int) -> DataFrame:
+    """``doc_id, lang, n_bytes, logp`` for rows of ``doc_id, lang, model, text``: the sum of the scores of a text's grams.
 
-    A block asks for each of its distinct grams once: those requests are joined with the scores by gram,
-    and the answers meet the block's texts by its number, in a task of their own.
+    Tasks hold the scores of the ``frequent`` grams, a table of bounded size. Of the others each text
+    sends a row a distinct gram, with its count; those are joined with the scores by gram and summed by
+    text. A gram that is not frequent has few rows, so no key is hot.
     """
+    from pyspark import TaskContext
 
-    def scored(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        out = []
-        at = np.argsort(answers["g"].to_numpy())
-        g, logp = answers["g"].to_numpy()[at], answers["logp"].to_numpy()[at]
-        for r in block.itertuples():
-            data, begin = zstandard.ZstdDecompressor().decompress(r.blob), 0
-            for doc, lang, n in zip(r.doc_ids, r.langs, r.sizes, strict=True):
-                total = 0.0
-                for keys in key_runs(data[begin : begin + n], order):
-                    total += float(logp[np.searchsorted(g, keys)].sum())
-                out.append((doc, lang, n, total))
-                begin += n
-        return pd.DataFrame(out, columns=["doc_id", "lang", "n_bytes", "logp"]).astype({"doc_id": "Int64", "n_bytes": "int64", "logp": "float64"})
-
-    answers = block_grams(held).join(scores, ["model", "g"]).select("block", "g", "logp")
-    texts = held.select("block", "blob", "sizes", "doc_ids", "langs")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, "doc_id long, lang string, n_bytes long, logp double")
-
+    held = frequent.select("model", "g", "logp").toArrow().to_pandas()
+    table = {}
+    for model, part in held.groupby("model"):
+        part = part.sort_values("g")
+        table[model] = part["g"].to_numpy(), part["logp"].to_numpy()
+    known = texts.sparkSession.sparkContext.broadcast(table)
+    none = np.empty(0, np.int64), np.empty(0)
 
-def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, block: int = 1 << 23) -> DataFrame:
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for k in range(0, len(b), 512):
+                heads, rest = [], []
+                part = b.iloc[k : k + 512]
+                for doc, lang, model, text in zip(part["doc_id"], part["lang"], part["model"], part["text"], strict=True):
+                    data, total = text.encode(), 0.0
+                    g, logp = known.value.get(model, none)
+                    for keys in key_runs(data, order):
+                        at = np.minimum(np.searchsorted(g, keys), max(len(g) - 1, 0))
+                        found = g[at] == keys if len(g) else np.zeros(len(keys), bool)
+                        total += float(logp[at[found]].sum())
+                        if not found.all():
+                            rare, n = np.unique(keys[~found], return_counts=True)
+                            rest.append(pd.DataFrame({"row": row, "model": model, "g": rare, "n": n}))
+                    heads.append((row, doc, lang, len(data), total))
+                    row += 1
+                yield pd.concat([pd.DataFrame(heads, columns=["row", "doc_id", "lang", "n_bytes", "logp"]), *rest]).reindex(columns=names).astype({"doc_id": "Int64", "n_bytes": "Int64", "g": "Int64", "n": "Int64", "logp": "Float64", "lang": object, "model": object})
+
+    schema = "row long, doc_id long, lang string, n_bytes long, logp double, model string, g long, n long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = settle(texts.select("doc_id", "lang", "model", "text").mapInPandas(scored, schema))
+    known.destroy()
+    sums = rows.where("g is not null").select("row", "model", "g", "n").join(scores, ["model", "g"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("more"))
+    whole = rows.where("g is null").select("row", "doc_id", "lang", "n_bytes", "logp").join(sums, "row", "left")
+    return whole.select("doc_id", "lang", "n_bytes", (F.col("logp") + F.coalesce("more", F.lit(0.0))).alias("logp"))
+
+
+def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, held: int = 1 << 18) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_bytes, perplexity, threshold, kept``.
 
     Models are trained on the whole texts of all trusted documents (label 1) but one in ``held_out`` by
@@ -195,9 +160,10 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     where a language has none or is null. The threshold of a language is ``margin`` times the larger of
     two ``quantile``s of perplexity: that of its held-out trusted documents and that of all its trusted
     ones; a language without trusted documents takes that of all languages. Documents at or under it
-    stay. Null and empty texts have no perplexity and do not stay; where no document is trusted nothing
-    is known, and all others stay. Equal rows get equal results; an empty table gives none. Other
-    columns are not looked at.
+    stay. ``held`` is how many of the corpus's most frequent grams each task keeps the scores of; it sets what
+    is shuffled, not what is computed. Null and empty texts have no perplexity and do not stay; where no
+    document is trusted nothing is known, and all others stay. Equal rows get equal results; an empty
+    table gives none. Other columns are not looked at.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).distinct()
@@ -206,12 +172,13 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     langs = settle(known.where("lang is not null").select("lang").distinct().withColumn("model", F.concat(F.lit("="), "lang")))
     given = filter_keys(given, langs, ["lang"], "left").withColumn("model", F.coalesce("model", F.lit(POOLED)))
     marked = filter_keys(given, trusted, ["doc_id"], "left").withColumn("trained", F.coalesce("trained", F.lit(False)))
-    held = settle(blocks(marked, order, block))
-    grams = settle(block_grams(held).groupBy("model", "g").agg(F.sum("c").alias("c")))
+    grams = settle(count_grams(marked, order))
     if not grams.where(F.col("model") == POOLED).isEmpty():
-        shared = grams.where("c > 0").where(F.col("model") != POOLED).withColumn("model", F.lit(POOLED))
-        grams = settle(grams.unionByName(shared).groupBy("model", "g").agg(F.sum("c").alias("c")))
-    scored = settle(text_scores(held, gram_scores(grams, order), order))
+        shared = grams.where("c > 0").where(F.col("model") != POOLED).withColumn("model", F.lit(POOLED)).withColumn("t", F.lit(0).cast("long"))
+        grams = settle(grams.unionByName(shared).groupBy("model", "g").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
+    scores = gram_scores(grams.drop("t"), order)
+    frequent = grams.where("t > 0").orderBy(F.desc("t"), "model", "g").limit(held).select("model", "g")
+    scored = settle(text_scores(given, scores, scores.join(frequent, ["model", "g"]), order))
     rows = scored.select("doc_id", "lang", "n_bytes", F.exp(-F.try_divide("logp", "n_bytes")).alias("perplexity"))
     judged = settle(filter_keys(rows.select("doc_id", "lang", "perplexity"), trusted, ["doc_id"], "inner"))
     level = lambda w: F.percentile_approx(F.when(w, F.col("perplexity")), quantile, 100_000)

@@ -262,9 +262,9 @@ def test_perplexity_of_awkward_rows(spark, docs):
     assert all(r.kept == (r.n_bytes > 0) for r in got)
 
 
-def test_perplexity_in_small_blocks(spark, docs):
+def test_perplexity_of_grams_not_held(spark, docs):
     labels = docs.select("doc_id").distinct().withColumn("quality", F.lit(1))
-    one, many = (sorted(rows(perplexity.perplexity_filter(docs, labels, block=n)), key=str) for n in (1 << 23, 7_000))
+    one, many = (sorted(rows(perplexity.perplexity_filter(docs, labels, held=n)), key=str) for n in (1 << 22, 1_000))
     assert [(r.doc_id, r.lang, r.n_bytes, r.kept) for r in one] == [(r.doc_id, r.lang, r.n_bytes, r.kept) for r in many]
     assert [r.perplexity for r in one] == pytest.approx([r.perplexity for r in many])
 
@@ -300,8 +300,7 @@ def test_kneser_ney(spark):
     told, asked = ["abracadabra abacus", "banana bandana cabana", "a cab, a band; abba aa aaa"], ["abandon zebra ab"]
     every = [bytes((97, 98, c)) for c in range(256)]
     df = spark.createDataFrame([("m", t, True) for t in told] + [("m", t, False) for t in asked], "model string, text string, trained boolean")
-    held = perplexity.blocks(df.withColumns({"doc_id": F.lit(1), "lang": F.lit("en")}), 3, 1 << 20)
-    counted = perplexity.block_grams(held).drop("block").unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
+    counted = perplexity.count_grams(df, 3).drop("t").unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
     got = {r.g.to_bytes(3, "big"): np.exp(r.logp) for r in perplexity.gram_scores(counted.groupBy("model", "g").agg(F.sum("c").alias("c")), 3).collect()}
     want = kneser_ney([g for t in told for g in grams(t)], {g for t in told + asked for g in grams(t)} | set(every), 3)
     assert got == pytest.approx(want)
