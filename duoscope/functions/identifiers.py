@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-REVERSE = ("n", "-", "-1", "neg", "negative", "minus", "reverse", "rev", "true")
+#: Spellings of the two strands, lower case (fixed values).
+REVERSE = ("-", "n", "negative", "neg", "reverse", "rev", "-1")
+FORWARD = ("+", "p", "positive", "pos", "forward", "fwd", "1", "")
 
 
 def strand_reverse(strand: Column) -> Column:
-    """Whether a strand value names the reverse strand; anything unknown is forward."""
-    return F.coalesce(F.lower(F.trim(strand)).isin(*REVERSE), F.lit(False))
+    """Whether the text of a strand names the reverse one; an absent strand is forward, an unknown spelling null."""
+    s = F.lower(F.trim(strand))
+    return F.when(strand.isNull() | s.isin(*FORWARD), False).when(s.isin(*REVERSE), True)
+
+
+def strand_of(strand: Column, kind: str) -> Column:
+    """The same for a column of Spark type ``kind``: flags say it themselves, numbers by being other than 0.
+
+    An unknown spelling is an error.
+    """
+    if kind == "string":
+        return F.when(strand_reverse(strand).isNull(), F.raise_error(F.concat(F.lit("unknown strand: "), strand))).otherwise(strand_reverse(strand))
+    return F.coalesce(strand if kind == "boolean" else strand != 0, F.lit(False))
 
 
 def parse_mutation(m: Column) -> Column:
     """``GENE:CHROM:POS:REF:ALT[:STRAND]`` as a struct; null where malformed."""
     p = F.split(m, ":")
-    value = F.struct(F.get(p, 0).alias("gene"), F.get(p, 1).alias("chrom"), F.expr("1").cast("int").alias("_")).dropFields("_")
-    value = value.withField("pos", F.try_to_number(F.get(p, 2), F.lit("999999999999")).cast("long")).withField("ref", F.get(p, 3)).withField("alt", F.get(p, 4)).withField("rev", strand_reverse(F.get(p, 5)))
+    value = F.struct(F.get(p, 0).alias("gene"), F.get(p, 1).alias("chrom"))
+    value = value.withField("pos", F.try_to_number(F.get(p, 2), F.lit("999999999999")).cast("long")).withField("ref", F.get(p, 3)).withField("alt", F.get(p, 4)).withField("rev", F.coalesce(strand_reverse(F.get(p, 5)), F.lit(False)))
     return F.when(F.size(p).isin(5, 6) & F.get(p, 2).rlike("^[0-9]+$"), value)
 
 
@@ -70,3 +83,38 @@ def fit_length(s: Column, n: int) -> Column:
     crop = F.floor((F.length(s) - n) / 2).cast("int") + 1
     padded = F.concat(F.repeat(F.lit("N"), left), s, F.repeat(F.lit("N"), n - F.length(s) - left))
     return F.when(F.length(s) >= n, F.substring(s, crop, F.lit(n))).otherwise(padded)
+
+
+def parse_underscored(v: Column) -> Column:
+    """``chr_pos_ref_alt_build`` as a struct; null where malformed."""
+    p = F.split(v, "_")
+    value = F.struct(F.regexp_replace(F.get(p, 0), "^chr", "").alias("chrom"), F.get(p, 1).cast("long").alias("pos"), F.get(p, 2).alias("ref"), F.get(p, 3).alias("alt"), F.get(p, 4).alias("build"))
+    return F.when((F.size(p) == 5) & F.get(p, 1).rlike("^[0-9]+$"), value)
+
+
+def parse_change(v: Column) -> Column:
+    """``ref, pos, alt`` of ``A->B``, ``A/B``, ``T216A``, ``pos:ref:alt`` and ``pos-A``; what a notation lacks is null."""
+    forms = (("^([ACGT]+)->([ACGT]+)$", 1, 0, 2), ("^([ACGT]+)/([ACGT]+)$", 1, 0, 2), ("^([ACGT])([0-9]+)([ACGT])$", 1, 2, 3), ("^([0-9]+):([ACGT]+):([ACGT]+)$", 2, 1, 3), ("^([0-9]+)-([ACGT])$", 0, 1, 2))
+    out = F.lit(None).cast("struct<ref:string,pos:bigint,alt:string>")
+    for form, ref, pos, alt in forms:
+        part = lambda k, form=form: F.regexp_extract(v, form, k) if k else F.lit(None)
+        out = F.when(v.rlike(form), F.struct(part(ref).cast("string").alias("ref"), part(pos).cast("long").alias("pos"), part(alt).cast("string").alias("alt"))).otherwise(out)
+    return out
+
+
+def to_dna(s: Column) -> Column:
+    return F.translate(s, "Uu", "Tt")
+
+
+def window_offsets(pos1: Column, pos2: Column, context: int, reverse: Column) -> Column:
+    """``start, end, off1, off2``: the window ``context`` around two positions, and their places in its text."""
+    start, end = F.least(pos1, pos2) - context, F.greatest(pos1, pos2) + context - 1
+    at = lambda p: F.when(reverse, end - p).otherwise(p - start)
+    return F.struct(start.alias("start"), end.alias("end"), at(pos1).alias("off1"), at(pos2).alias("off2"))
+
+
+def excluded_gene(gene: Column, names: list[str], prefixes: list[str]) -> Column:
+    out = gene.isin(*names)
+    for p in prefixes:
+        out = out | gene.startswith(p)
+    return out

@@ -84,7 +84,8 @@ def reusable(wanted: DataFrame, stores: list[DataFrame], roles: int = 4) -> Data
         both = exact.unionByName(free)
         found = both if found is None else found.unionByName(both)
     whole = found.groupBy("id", "priority").agg(F.countDistinct("role").alias("n")).where(F.col("n") == roles).groupBy("id").agg(F.min("priority").alias("priority"))
-    return found.join(whole, ["id", "priority"]).dropDuplicates(["id", "role"]).select("id", "role", "embedding")
+    # Several rows of one priority and role: the least vector, so that reruns agree.
+    return found.join(whole, ["id", "priority"]).groupBy("id", "role").agg(F.min("embedding").alias("embedding"))
 
 
 def embed_into(spark: SparkSession, path: str, wanted: DataFrame, seq: str, load: Callable) -> None:

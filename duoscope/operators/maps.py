@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASES = ("A", "C", "G", "T")
-#: Kinds of brackets that pair positions of a structure (fixed values).
+#: Kinds of brackets that pair positions of a structure (fixed values); letters pair upper with lower case.
 BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"), ("<", ">"))
+LETTERS = tuple((chr(k), chr(k + 32)) for k in range(ord("A"), ord("Z") + 1))
 
 
 def bases() -> Column:
@@ -46,7 +47,7 @@ def bracket_pairs(df: DataFrame, keys: list[str], structure: str) -> DataFrame:
     """
     p = df.select(*keys, F.posexplode(F.split(structure, "")).alias("pos", "ch"))
     kind, step = F.lit(None).cast("int"), F.lit(0)
-    for k, (a, b) in enumerate(BRACKETS):
+    for k, (a, b) in enumerate(BRACKETS + LETTERS):
         kind = F.when(F.col("ch").isin(a, b), k).otherwise(kind)
         step = F.when(F.col("ch") == a, 1).when(F.col("ch") == b, -1).otherwise(step)
     p = p.withColumn("kind", kind).withColumn("step", step).where("kind is not null")

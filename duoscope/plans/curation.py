@@ -45,7 +45,7 @@ def normalised_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("m", ids.canonical_mutation(F.col("m")).alias("canonical"), ids.complement(both).alias("complement"), ids.reverse_complement(both).alias("revcomp"), ids.fit_length(F.substring("m", 1, 3), 7).alias("padded"), ids.fit_length(F.col("m"), 7).alias("cropped"))
 
 
-PAIRED = f"{VARIANTS}, a AS (SELECT * FROM mi WHERE pos % 2 = 0), pk AS (SELECT a.gene, a.chrom, a.pos AS p1, b.pos AS p2, a.m AS m1, b.m AS m2, (a.pos % 3 = 0) = (b.pos % 3 = 0) AS same FROM a JOIN mi b ON b.gene = a.gene AND b.chrom = a.chrom AND b.pos - a.pos BETWEEN -9 AND 9 AND b.pos <> a.pos)"
+PAIRED = f"{VARIANTS}, a AS (SELECT * FROM mi), pk AS (SELECT a.gene, a.chrom, a.pos AS p1, b.pos AS p2, a.m AS m1, b.m AS m2, (a.pos % 3 = 0) = (b.pos % 3 = 0) AS same FROM a JOIN mi b ON b.gene = a.gene AND b.chrom = a.chrom AND b.pos - a.pos BETWEEN -9 AND 9 AND b.pos <> a.pos)"
 
 
 @query(f"WITH {PAIRED} SELECT m1 || '|' || m2 AS key, same AS valid, CASE WHEN same THEN abs(p2 - p1) ELSE -1 END AS distance, same AND p1 > p2 AS reversed, '_:' || array_to_string(string_split(m1, ':')[2:5], ':') || '|_:' || array_to_string(string_split(m2, ':')[2:5], ':') AS free FROM pk")
@@ -54,7 +54,7 @@ def parsed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.bands import near_join
 
     v = variants(spark, sf_dir)
-    a = v.where("pos % 2 = 0").select("gene", "chrom", F.col("pos").alias("p1"), F.col("m").alias("m1"))
+    a = v.select("gene", "chrom", F.col("pos").alias("p1"), F.col("m").alias("m1"))
     p = near_join(a, v.select("gene", "chrom", F.col("pos").alias("p2"), F.col("m").alias("m2")), ["gene", "chrom"], "p1", "p2", 9)
     p = p.withColumn("key", F.concat_ws("|", "m1", "m2")).withColumn("x", ids.parse_pair(F.col("key")))
     return p.select("key", F.col("x").isNotNull().alias("valid"), F.coalesce(F.abs(F.col("x.b.pos") - F.col("x.a.pos")), F.lit(-1)).alias("distance"), F.coalesce(F.col("x.a.pos") > F.col("x.b.pos"), F.lit(False)).alias("reversed"), ids.gene_free(F.col("key")).alias("free"))

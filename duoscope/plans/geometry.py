@@ -71,7 +71,8 @@ def single_variant_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.single_coords(df, ["pair"], axis="axis"), ["pair"])
 
 
-@query(f"WITH {PAIRS} SELECT pair, true AS swap_symmetric, true AS zero_residual FROM q")
+@query(f"""WITH {PAIRS}, s AS (SELECT pair, sqrt(sum(power(vo - v2 - v1, 2))) AS raw, sqrt(sum(power(vo - v2 - v1, 2)))/(sqrt(sum(v2*v2) + sum(v1*v1)) + 1e-20) AS singles, sqrt(sum(vo*vo))/(sqrt(sum(power(v2 + v1, 2))) + 1e-20) AS ratio, sqrt(sum(power((v1 + v2) - v1 - v2, 2))) AS zero FROM v GROUP BY pair)
+SELECT pair, abs(epi_r_raw - raw) < 1e-6 AND abs(epi_r_raw/(sqrt(d11 + d22) + 1e-20) - singles) < 1e-6 AND abs(sqrt(doo)/(sqrt(dee) + 1e-20) - ratio) < 1e-6 AS swap_symmetric, zero < 1e-6 AS zero_residual FROM q JOIN s USING (pair)""")
 def sanity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.sanity(pairs(spark, sf_dir), ["pair"])
 
@@ -242,14 +243,15 @@ def nearest_to_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, k AS (SELECT v.pair, v.i, vo - v1 - v2 AS x, bin, row_number() OVER (PARTITION BY v.i, bin ORDER BY md5(v.pair::VARCHAR)) AS r FROM v JOIN q USING (pair)),
-c AS (SELECT a.bin, a.pair AS p, b.pair AS q2, abs(sum(a.x*b.x)/(sqrt(sum(a.x*a.x))*sqrt(sum(b.x*b.x)))) AS c FROM k a JOIN k b ON a.bin = b.bin AND a.i = b.i AND a.r < b.r WHERE a.r <= 8 AND b.r <= 8 GROUP BY a.bin, a.pair, b.pair)
+c AS (SELECT a.bin, a.pair AS p, b.pair AS q2, abs(sum(a.x*b.x)/(sqrt(sum(a.x*a.x))*sqrt(sum(b.x*b.x)))) AS c FROM k a JOIN k b ON a.bin = b.bin AND a.i = b.i AND a.r < b.r WHERE a.r <= 500 AND b.r <= 500 GROUP BY a.bin, a.pair, b.pair)
 SELECT bin, count(*) AS n, round(avg(c), 6) AS coherence, round(avg(CASE WHEN c > 0.3 THEN 1.0 ELSE 0 END), 6) AS above_03 FROM c GROUP BY bin""")
 def directional_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute cosine among a seeded sample of residuals per distance bin."""
     from ..functions.vectors import cosine_of, dot
 
+    # 500 a bin is the sample that the measure is defined on.
     w = Window.partitionBy("bin").orderBy(F.md5(F.col("pair").cast("string")))
-    s = residuals(spark, sf_dir).select("pair", "bin", "residual", "_rr", F.row_number().over(w).alias("r")).where("r <= 8")
+    s = residuals(spark, sf_dir).select("pair", "bin", "residual", "_rr", F.row_number().over(w).alias("r")).where("r <= 500")
     o = s.select("bin", F.col("residual").alias("x"), F.col("_rr").alias("xx"), F.col("r").alias("r2"))
     c = s.join(o, "bin").where("r < r2").select("bin", F.abs(cosine_of(dot(F.col("residual"), F.col("x")), F.col("_rr"), F.col("xx"))).alias("c"))
     return c.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("coherence"), F.round(F.avg(F.when(F.col("c") > 0.3, 1.0).otherwise(0.0)), 6).alias("above_03"))

@@ -171,20 +171,21 @@ def anchor_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(a, g.withColumnRenamed("pos", "partner"), ["gene"], "anchor", "partner", 60).select("gene", "anchor", "partner", "n")
 
 
-@query(f"WITH {CALLS}, p AS (SELECT DISTINCT chrom, pos FROM calls), b AS (SELECT c.chrom, i*100 AS s, i*100 + 90 AS e, 5000 + i*7 AS shift, i % 2 = 1 AS rev FROM (SELECT DISTINCT chrom FROM calls) c, (SELECT unnest(range(0, 40)) AS i)) SELECT p.chrom, pos, CASE WHEN rev THEN shift + e - 1 - (pos - s) ELSE pos + shift END AS lifted FROM p JOIN b ON p.chrom = b.chrom AND pos >= s AND pos < e")
+@query(f"WITH {CALLS}, p AS (SELECT DISTINCT chrom, pos FROM calls), b AS (SELECT c.chrom, i*100 AS s, i*100 + 90 AS e, 5000 + i*7 AS shift, i % 2 = 1 AS rev FROM (SELECT DISTINCT chrom FROM calls) c, (SELECT unnest(range(0, (SELECT max(pos) // 100 + 1 FROM calls))) AS i)) SELECT p.chrom, pos, CASE WHEN rev THEN shift + e - 1 - (pos - s) ELSE pos + shift END AS lifted FROM p JOIN b ON p.chrom = b.chrom AND pos >= s AND pos < e")
 def lift_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions through a table of blocks with offsets and strands; what falls between blocks is lost."""
     p = calls(spark, sf_dir).select("chrom", "pos").distinct()
-    b = p.select("chrom").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
+    last = p.agg(F.floor(F.max("pos") / 100).alias("last"))
+    b = p.select("chrom").distinct().join(F.broadcast(last)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     b = b.select("chrom", (F.col("i") * 100).alias("s"), (F.col("i") * 100 + 90).alias("e"), (5000 + F.col("i") * 7).alias("shift"), (F.col("i") % 2 == 1).alias("rev"))
     j = interval_join(p, b, ["chrom"], "pos", "s", "e", 250)
     return j.select("chrom", "pos", F.when(F.col("rev"), F.col("shift") + F.col("e") - 1 - (F.col("pos") - F.col("s"))).otherwise(F.col("pos") + F.col("shift")).alias("lifted"))
 
 
-@query(f"WITH {CALLS}, v AS (SELECT DISTINCT gene, pos FROM calls WHERE pos <= 300), n AS (SELECT gene, count(*) AS k FROM v GROUP BY gene) SELECT a.gene, a.pos AS pos1, b.pos AS pos2, k = 2 AS unambiguous FROM v a JOIN v b ON a.gene = b.gene AND a.pos < b.pos AND b.pos - a.pos <= 50 JOIN n ON n.gene = a.gene")
+@query(f"WITH {CALLS}, v AS (SELECT DISTINCT gene, pos FROM calls), n AS (SELECT gene, count(*) AS k FROM v GROUP BY gene) SELECT a.gene, a.pos AS pos1, b.pos AS pos2, k = 2 AS unambiguous FROM v a JOIN v b ON a.gene = b.gene AND a.pos < b.pos AND b.pos - a.pos <= 50 JOIN n ON n.gene = a.gene")
 def group_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within a group at a bounded distance, marked where the group has but two members."""
-    v = calls(spark, sf_dir).where("pos <= 300").select("gene", "pos").distinct()
+    v = calls(spark, sf_dir).select("gene", "pos").distinct()
     v = v.withColumn("unambiguous", F.count("*").over(Window.partitionBy("gene")) == 2)
     return band_join(v.withColumnRenamed("pos", "pos1"), v.select("gene", F.col("pos").alias("pos2")), ["gene"], "pos1", "pos2", 50).select("gene", "pos1", "pos2", "unambiguous")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import curation, geometry, mutations, statistics, summaries
+from . import calibrated, curation, geometry, mutations, panels, statistics, stores, summaries
 
-MODULES = (geometry, statistics, mutations, curation, summaries)
+MODULES = (geometry, calibrated, statistics, mutations, curation, stores, panels, summaries)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}

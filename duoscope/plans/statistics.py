@@ -93,11 +93,11 @@ def wilcoxon_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, b AS (SELECT pair, bin, is_null, epi_r_raw - avg(epi_r_raw) OVER (PARTITION BY bin) AS v, count(*) FILTER (is_null) OVER (PARTITION BY bin) AS n FROM q),
-o AS (SELECT avg(v) FILTER (is_null) - avg(v) FILTER (NOT is_null) AS d FROM b), s AS (SELECT perm, v, row_number() OVER (PARTITION BY perm, bin ORDER BY md5(perm || ':' || pair)) <= n AS g FROM b, (SELECT unnest(range(1, 201)) AS perm)),
-r AS (SELECT perm, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS d FROM s GROUP BY perm) SELECT round(any_value(o.d), 6) + 0.0 AS observed, round((any_value(o.d) - avg(r.d))/stddev_samp(r.d), 6) + 0.0 AS z, round((count(*) FILTER (r.d >= o.d) + 1)/201.0, 6) AS p FROM r, o""")
+o AS (SELECT avg(v) FILTER (is_null) - avg(v) FILTER (NOT is_null) AS d FROM b), s AS (SELECT perm, v, row_number() OVER (PARTITION BY perm, bin ORDER BY md5(perm || ':' || pair)) <= n AS g FROM b, (SELECT unnest(range(1, 501)) AS perm)),
+r AS (SELECT perm, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS d FROM s GROUP BY perm) SELECT round(any_value(o.d), 6) + 0.0 AS observed, round((any_value(o.d) - avg(r.d))/stddev_samp(r.d), 6) + 0.0 AS z, round((count(*) FILTER (r.d >= o.d) + 1)/501.0, 6) AS p FROM r, o""")
 def permutation_within_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null against signal pairs, labels shuffled within distance bins 200 times."""
-    t = st.permutation_test(scored(spark, sf_dir).withColumn("model", F.lit("m")), "epi_R_raw", "is_null", "bin", "pair", 200, ["model"])
+    """Null against signal pairs, labels shuffled within distance bins 500 times."""
+    t = st.permutation_test(scored(spark, sf_dir).withColumn("model", F.lit("m")), "epi_R_raw", "is_null", "bin", "pair", 500, ["model"])
     return t.select(r6(F.col("observed")).alias("observed"), r6(F.col("z")).alias("z"), F.round("p", 6).alias("p"))
 
 

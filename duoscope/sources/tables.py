@@ -57,16 +57,29 @@ def ordered_pairs(df: DataFrame, pos1: str = "pos1", pos2: str = "pos2") -> Data
 def repaired_alleles(df: DataFrame, bases: DataFrame) -> DataFrame:
     """``df`` (chrom, pos, ref, alt) against reference bases (chrom, pos, base): adds ``status``, alleles repaired.
 
-    A mismatch is tried as swapped alleles first, then, for single bases, as the other strand.
+    As many reference bases from ``pos`` on as the ``ref`` allele has are held against it. A mismatch is tried
+    as swapped alleles first, then, for a single base, as the other strand. An insertion, whose ``ref`` is
+    ``-`` or empty, has nothing to hold against and passes; where a base is not known nothing is said.
     """
     from ..functions.identifiers import complement
 
-    j = df.join(bases, ["chrom", "pos"], "left")
-    single = (F.length("ref") == 1) & (F.length("alt") == 1)
-    status = F.when(F.col("base").isNull(), "unknown").when(F.col("ref") == F.col("base"), "match").when(F.col("alt") == F.col("base"), "swapped").when(single & (complement(F.col("ref")) == F.col("base")), "complement").otherwise("unresolved")
+    asked = df.select("chrom", "pos", F.greatest(F.length("ref"), F.lit(1)).alias("_n")).groupBy("chrom", "pos").agg(F.max("_n").alias("_n"))
+    asked = asked.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("chrom", F.col("pos").alias("_at"), "_k", (F.col("pos") + F.col("_k")).alias("pos"))
+    seen = asked.join(bases.where("base is not null"), ["chrom", "pos"]).groupBy("chrom", "_at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "base"))), lambda x: x["base"]), "").alias("_ref"), F.min("_k").alias("_first"))
+    seen = seen.where("_first = 0").select("chrom", F.col("_at").alias("pos"), "_ref")
+    j = df.join(seen, ["chrom", "pos"], "left")
+    actual = F.substring(F.col("_ref"), F.lit(1), F.length("ref"))
+    other = (F.length("ref") == 1) & (complement(F.col("ref")) == actual)
+    short = F.col("_ref").isNull() | (F.length("_ref") < F.length("ref"))
+    status = F.when(F.col("ref").isin("-", ""), "match").when(short, "unknown").when(F.col("ref") == actual, "match").when(F.col("alt") == actual, "swapped").when(other, "complement").otherwise("unresolved")
+    j = j.withColumn("status", status)
 
     def by(same: Column, swapped: Column, other: Column) -> Column:
         return F.when(F.col("status") == "swapped", swapped).when(F.col("status") == "complement", other).otherwise(same)
 
-    j = j.withColumn("status", status)
-    return j.select(*[c for c in df.columns if c not in ("ref", "alt")], by(F.col("ref"), F.col("alt"), complement(F.col("ref"))).alias("ref"), by(F.col("alt"), F.col("ref"), complement(F.col("alt"))).alias("alt"), "status")
+    return j.select(*[c for c in df.columns if c not in ("ref", "alt")], by(F.col("ref"), F.col("alt"), complement(F.col("ref"))).alias("ref"), by(F.col("alt"), F.col("ref"), F.when(F.length("alt") == 1, complement(F.col("alt"))).otherwise(F.col("alt"))).alias("alt"), "status")
+
+
+def write_sheets(df: DataFrame, path: str) -> None:
+    """One folder of metrics per model."""
+    df.write.partitionBy("model").mode("overwrite").parquet(path)

@@ -103,3 +103,63 @@ def test_embedding_store(spark, tmp_path):
     s = spark.read.parquet(str(tmp_path / "store"))
     assert [r.id for r in s.collect()] == ["a"]
     assert [r.id for r in embedding.missing(df, s, "id").collect()] == ["b"]
+
+
+def test_alleles_of_several_bases(spark):
+    from duoscope.sources.tables import repaired_alleles
+
+    bases = spark.createDataFrame([("1", 10 + k, b) for k, b in enumerate("ACGT")], "chrom string, pos long, base string")
+    rows = [("1", 10, "ACG", "A"), ("1", 10, "TT", "AC"), ("1", 10, "T", "GG"), ("1", 11, "-", "A"), ("1", 12, "GTA", "G"), ("1", 10, "GA", "TT")]
+    got = {(r.pos, r.ref, r.alt, r.status) for r in repaired_alleles(spark.createDataFrame(rows, "chrom string, pos long, ref string, alt string"), bases).collect()}
+    assert got == {(10, "ACG", "A", "match"), (10, "AC", "TT", "swapped"), (10, "A", "GG", "complement"), (11, "-", "A", "match"), (12, "GTA", "G", "unknown"), (10, "GA", "TT", "unresolved")}
+
+
+def test_strands(spark):
+    from pyspark.sql import functions as F
+
+    from duoscope.functions.identifiers import strand_of, strand_reverse
+
+    words = ["-", "N", " Neg ", "negative", "reverse", "rev", "-1", "+", "P", "positive", "pos", "forward", "fwd", "1", "", None, "odd"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "s string").select(strand_reverse(F.col("s"))).collect()]
+    assert got == [True] * 7 + [False] * 9 + [None]
+    nums = spark.createDataFrame([(1, True), (0, False), (None, None)], "n int, b boolean").select(strand_of(F.col("n"), "int"), strand_of(F.col("b"), "boolean")).collect()
+    assert [tuple(r) for r in nums] == [(True, True), (False, False), (False, False)]
+    with pytest.raises(Exception, match="unknown strand"):
+        spark.createDataFrame([("odd",)], "s string").select(strand_of(F.col("s"), "string")).collect()
+
+
+def test_p_values_of_known_statistics(spark):
+    from pyspark.sql import functions as F
+
+    from duoscope.operators.statistics import chi2_tail, normal_tail
+
+    r = spark.createDataFrame([(1.959964, 3.841459), (0.0, 0.0), (2.326348, 6.634897)], "z double, x double").select(normal_tail(F.col("z")), chi2_tail(F.col("x"))).collect()
+    assert [round(v, 6) for x in r for v in x] == [0.025, 0.05, 0.5, 1.0, 0.01, 0.01]
+
+
+def test_brackets_and_letters(spark):
+    from duoscope.operators.maps import bracket_pairs
+
+    df = spark.createDataFrame([(1, "((.A.))a"), (2, "([)]"), (3, "...")], "id int, s string")
+    assert {tuple(r) for r in bracket_pairs(df, ["id"], "s").collect()} == {(1, 0, 6), (1, 1, 5), (1, 3, 7), (2, 0, 2), (2, 1, 3)}
+
+
+def test_spectra_of_a_known_matrix(spark):
+    import numpy as np
+
+    from duoscope.plans.calibrated import spectra
+
+    m = np.array([[2.0, 0.5, 0.0], [0.5, 1.0, 0.2], [0.0, 0.2, 0.5]])
+    got = spectra(spark.createDataFrame([("a", i, j, float(m[i, j])) for i in range(3) for j in range(3)], "k string, i int, j int, value double"), ["k"]).first()
+    e, v = np.linalg.eigvalsh(m)[::-1], np.linalg.inv(m)
+    p = np.abs(v / np.sqrt(np.outer(np.diag(v), np.diag(v))))[np.triu_indices(3, 1)]
+    assert got.dim == 3 and got.dims95 == 3 and got.condition == pytest.approx(e[0] / e[-1])
+    assert got.mean_partial == pytest.approx(p.mean()) and got.entropy == pytest.approx(-(e / e.sum() * np.log(e / e.sum())).sum())
+
+
+def test_sheets_by_model(spark, tmp_path):
+    from duoscope.sources.tables import write_sheets
+
+    write_sheets(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 3.0)], "model string, v double"), str(tmp_path / "sheets"))
+    assert sorted(p.name for p in (tmp_path / "sheets").glob("model=*")) == ["model=a", "model=b"]
+    assert spark.read.parquet(str(tmp_path / "sheets")).where("model = 'a'").count() == 2
