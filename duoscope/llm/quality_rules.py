@@ -48,50 +48,40 @@ def statistics(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def triangular(prefix: str) -> list[Column]:
-    """Columns of the inverse of the Cholesky factor of the covariance in ``c{i}{j}``, row by row."""
-    low: dict[tuple[int, int], Column] = {}
-    for i in range(P):
-        for j in range(i + 1):
-            s = F.col(f"c{i}{j}")
-            for k in range(j):
-                s = s - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / low[j, j]
-    inverse: dict[tuple[int, int], Column] = {}
+def summed(terms: list[str]) -> str:
+    return " + ".join(terms) or "0D"
+
+
+def factored(df: DataFrame) -> DataFrame:
+    """Adds ``v{i}{j}``, the inverse of the Cholesky factor of the covariance in ``c{i}{j}``, and ``logdet``.
+
+    Column by column, each a projection over the last, so no term is written out twice. Written as SQL,
+    since a step builds hundreds of terms and each operator on a ``Column`` is a call to the JVM.
+    """
     for j in range(P):
-        inverse[j, j] = 1 / low[j, j]
-        for i in range(j + 1, P):
-            total = F.lit(0.0)
-            for k in range(j, i):
-                total = total + low[i, k] * inverse[k, j]
-            inverse[i, j] = -total / low[i, i]
-    logdet = sum((F.log(low[i, i]) for i in range(P)), F.lit(0.0))
-    return [inverse[i, j].alias(f"{prefix}{i}{j}") for i, j in CELLS] + [logdet.alias("logdet")]
+        left = {i: f"c{i}{j} - ({summed([f'l{i}{k} * l{j}{k}' for k in range(j)])})" for i in range(j, P)}
+        df = df.selectExpr("*", f"sqrt(greatest({left[j]}, 1e-12D)) AS l{j}{j}")
+        df = df.selectExpr("*", f"1 / l{j}{j} AS v{j}{j}", *[f"({left[i]}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P)])
+    for gap in range(1, P):
+        df = df.selectExpr("*", *[f"-({summed([f'l{i}{k} * v{k}{i - gap}' for k in range(i - gap, i)])}) / l{i}{i} AS v{i}{i - gap}" for i in range(gap, P)])
+    return df.selectExpr("*", f"{summed([f'ln(l{i}{i})' for i in range(P)])} AS logdet").drop(*[f"l{i}{j}" for i, j in CELLS])
 
 
 def distance() -> Column:
     """Squared Mahalanobis distance from the centre ``m*`` under the inverse factor ``v**``."""
-    total = F.lit(0.0)
-    for i in range(P):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z = z + F.col(f"v{i}{j}") * (F.col(X[j]) - F.col(f"m{j}"))
-        total = total + z * z
-    return total
+    z = [summed([f"v{i}{j} * ({X[j]} - m{j})" for j in range(i + 1)]) for i in range(P)]
+    return F.expr(summed([f"power({t}, 2)" for t in z]))
 
 
 def estimate(moments: DataFrame, keys: list[str]) -> DataFrame:
     """Rows ``n``, centre, covariance and inverse factor for each key from sums ``n, s*, q**``, variances held above the floors."""
-    n = F.col("n")
-    mean = [F.col(f"s{i}") / n for i in range(P)]
-    cov = {(i, j): F.col(f"q{i}{j}") / n - mean[i] * mean[j] for i, j in CELLS}
-    held = [(cov[i, j] + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in CELLS]
-    return moments.select(*keys, "group_size", "n", *[mean[i].alias(f"m{i}") for i in range(P)], *held).select("*", *triangular("v"))
+    mean = [f"s{i} / n AS m{i}" for i in range(P)]
+    held = [f"q{i}{j} / n - (s{i} / n) * (s{j} / n) + {FLOORS[i] ** 2 if i == j else 0.0!r}D AS c{i}{j}" for i, j in CELLS]
+    return factored(moments.selectExpr(*keys, "group_size", "n", *mean, *held))
 
 
 def sums() -> list[Column]:
-    x = [F.col(c) for c in X]
-    return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in CELLS]]
+    return [F.expr("count(*) AS n"), *[F.expr(f"sum({X[i]}) AS s{i}") for i in range(P)], *[F.expr(f"sum({X[i]} * {X[j]}) AS q{i}{j}") for i, j in CELLS]]
 
 
 def distance_bin() -> Column:
@@ -111,14 +101,14 @@ def centres(rows: DataFrame, n_rows: int, steps: int, share: float, settled: flo
     off = attach(rows, sizes, "key", n_rows).groupBy("key", "group_size", "m0", "m1", "m2", "m3")
     off = off.agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(X)])
     spread = [(F.pow(F.lit(1.4826) * F.col(f"a{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
-    robust = off.select("key", F.lit(0).alias("begun"), "group_size", F.col("group_size").alias("n"), *[f"m{i}" for i in range(P)], *spread).select("*", *triangular("v"))
+    robust = factored(off.select("key", F.lit(0).alias("begun"), "group_size", F.col("group_size").alias("n"), *[f"m{i}" for i in range(P)], *spread))
     plain = estimate(rows.groupBy("key").agg(F.count("*").alias("group_size"), *sums()).withColumn("begun", F.lit(1)), keys)
     now = settle(robust.unionByName(plain))
     upto = Window.partitionBy(*keys).orderBy("bin")
     for _ in range(steps):
         binned = attach(rows, now, "key", n_rows).withColumn("d2", distance()).groupBy(*keys, "group_size", distance_bin().alias("bin")).agg(*sums())
         near = binned.withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < F.col("group_size") * share)
-        added = [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in CELLS]]]
+        added = [F.expr(f"sum({c}) AS {c}") for c in ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in CELLS]]]
         last, now = now, settle(estimate(near.groupBy(*keys, "group_size").agg(*added), keys))
         moved = now.join(last.select(*keys, F.col("logdet").alias("last")), keys).agg(F.max(F.abs(F.col("logdet") - F.col("last")))).first()[0]
         if moved is None or moved < settled:
@@ -134,11 +124,11 @@ def centres(rows: DataFrame, n_rows: int, steps: int, share: float, settled: flo
 
 def shrunk(own: DataFrame, prior: DataFrame, prior_key: str, weight: float) -> DataFrame:
     """``own`` estimates (``n, m*, c**`` and keys) drawn towards those of ``prior`` under ``prior_key``, as ``weight`` rows of it would."""
-    p = prior.select(F.col("key").alias(prior_key), *[F.col(f"{q}").alias(f"p_{q}") for q in (*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in CELLS])])
-    share = F.col("n") / (F.col("n") + weight)
-    mix = [(share * F.col(q) + (1 - share) * F.col(f"p_{q}")).alias(q) for q in (*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in CELLS])]
+    parts = [*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in CELLS]]
+    p = prior.selectExpr(f"key AS {prior_key}", *[f"{q} AS p_{q}" for q in parts])
+    mix = [f"({q} * n + p_{q} * {weight!r}D) / (n + {weight!r}D) AS {q}" for q in parts]
     names = [c for c in own.columns if c[0] not in "mcv" and c != "logdet"]
-    return own.join(p, prior_key).select(*names, *mix)
+    return own.join(p, prior_key).selectExpr(*names, *mix)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weight: float = 400.0, steps: int = 8, share: float = 0.55) -> DataFrame:
@@ -170,7 +160,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     langs = found.where(F.col("key").startswith("lang ")).withColumn("whole", F.lit("all"))
     langs = settle(shrunk(langs, found.where("key = 'all'"), "whole", weight))
     pairs = found.join(sound.groupBy(F.col("pair_key").alias("key"), "lang_key").agg(F.count("*").alias("_n")), "key")
-    pairs = settle(shrunk(pairs, langs, "lang_key", weight).withColumnRenamed("key", "pair_key")).select("pair_key", "group_size", *[f"m{i}" for i in range(P)], *triangular("v"))
+    pairs = factored(shrunk(pairs, langs, "lang_key", weight).withColumnRenamed("key", "pair_key")).select("pair_key", "group_size", *[f"m{i}" for i in range(P)], *[f"v{i}{j}" for i, j in CELLS])
     judged = attach(rows, settle(pairs), "pair_key", base.count()).withColumn("d", F.when(~F.col("base_failed"), distance()))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d").alias("outlier_distance"), (~F.col("base_failed") & (F.col("d") <= CUTOFF)).alias("kept"))
 
