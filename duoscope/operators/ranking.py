@@ -1,10 +1,39 @@
-"""Ranks, bins, residuals and corrections. Every window is partitioned by the strata given."""
+"""Ranks, bins, residuals and corrections.
+
+Windows are partitioned by the strata given, or, where one stratum may hold most rows, by blocks of equal counts
+within them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import fixed
+
+#: Blocks of about equal counts that a stratum's values are cut into.
+BLOCKS = 256
+
+
+def cumulated(df: DataFrame, value: str, strata: list[str], sums: dict[str, Column]) -> DataFrame:
+    """One row per stratum and value: each sum over the rows of lower values, ``{name}_before``, and of this value.
+
+    Values are counted first, then cut into blocks at approximate quantiles; sums go over the few blocks, then
+    within each, so neither a stratum nor a tied value is ever sorted in one task. ``strata`` and ``value`` are
+    not null; rows with a null value are left out.
+    """
+    t = fixed(df.where(F.col(value).isNotNull()).groupBy(*strata, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
+    cuts = t.groupBy(*strata).agg(F.array_sort(F.percentile_approx(value, F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)]), 10_000)).alias("_cuts"))
+    t = t.join(cuts, strata) if strata else t.join(F.broadcast(cuts))
+    t = t.withColumn("_block", F.size(F.filter("_cuts", lambda e: e < F.col(value)))).drop("_cuts")
+    over = Window.partitionBy(*strata).orderBy("_block")
+    blocks = t.groupBy(*strata, "_block").agg(*[F.sum(n).alias(n) for n in sums])
+    blocks = blocks.select(*strata, "_block", *[(F.sum(n).over(over) - F.col(n)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy(*strata, "_block").orderBy(value)
+    t = t.withColumns({f"{n}_before": F.sum(n).over(inside) - F.col(n) for n in sums}).join(blocks, [*strata, "_block"])
+    return t.select(*strata, value, *sums, *[(F.col(f"{n}_before") + F.col(f"_{n}")).alias(f"{n}_before") for n in sums])
+
+
 
 def mid_rank(value: str, strata: list[str]) -> Column:
     """Average rank among equals, from 1."""
@@ -36,12 +65,25 @@ def residualise(df: DataFrame, value: str, strata: list[str], name: str) -> Data
     return df.withColumn(name, F.when(known, F.col(value) - mean).otherwise(F.col(value)))
 
 
-def bh_fdr(df: DataFrame, p: str, strata: list[str], tie: list[str], name: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q-values within strata."""
-    order = Window.partitionBy(*strata).orderBy(p, *tie)
-    df = df.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(p).over(Window.partitionBy(*strata)))
-    later = order.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(name, F.least(F.min(F.col(p) * F.col("_n") / F.col("_r")).over(later), F.lit(1.0))).drop("_r", "_n")
+def bh_fdr(df: DataFrame, p: str, strata: list[str], tie: list[str] | None = None, name: str = "q") -> DataFrame:
+    """Benjamini-Hochberg q-values within strata; rows without a p-value have none.
+
+    Of equal p-values the last one's rank gives the least ratio, so one row per value is enough and the order
+    ``tie`` of equal ones, which callers may name, has no say. The least ratio at or above a value is the least
+    of its block's later rows and of all later blocks.
+    """
+    df = fixed(df)
+    t = cumulated(df, p, strata, {"_n": F.lit(1)})
+    whole = df.groupBy(*strata).agg(F.count(p).alias("_all"))
+    t = t.join(whole, strata) if strata else t.join(F.broadcast(whole))
+    t = fixed(t.withColumn("_ratio", F.col(p) * F.col("_all") / (F.col("_n_before") + F.col("_n"))).withColumn("_block", F.floor(F.col("_n_before") * BLOCKS / F.col("_all"))))
+    later = Window.partitionBy(*strata).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy(*strata, "_block").agg(F.min("_ratio").alias("_least"))
+    blocks = blocks.select(*strata, "_block", F.min("_least").over(later).alias("_least"))
+    inside = Window.partitionBy(*strata, "_block").orderBy(F.desc(p))
+    t = t.withColumn("_own", F.min("_ratio").over(inside)).join(blocks, [*strata, "_block"])
+    q = t.select(*strata, p, F.least("_own", "_least", F.lit(1.0)).alias(name))
+    return df.join(q, [*strata, p], "left")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -49,13 +91,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def priority_scores(df: DataFrame, value: str, bin_col: str, strata: list[str], tie: str) -> DataFrame:
-    """Residual after distance bins, direction, rank and percentile by its size, and rank within direction."""
-    df = residualise(df, value, [*strata, bin_col], "residual").withColumn("abs_residual", F.abs("residual"))
-    df = df.withColumn("direction", F.when(F.col("residual") < 0, "corrective").otherwise("cumulative"))
-    rank = F.rank().over(Window.partitionBy(*strata).orderBy(F.desc("abs_residual")))
-    df = df.withColumn("rank", rank).withColumn("percentile", 100.0 * rank / F.count("*").over(Window.partitionBy(*strata)))
-    return df.withColumn("dir_rank", F.rank().over(Window.partitionBy(*strata, "direction").orderBy(F.desc("abs_residual"))))
+def priority_scores(df: DataFrame, value: str, bin_col: str, strata: list[str]) -> DataFrame:
+    """Residual after distance bins, direction, rank and percentile by its size, and rank within direction.
+
+    A row without a bin keeps its value; one without a value has no rank.
+    """
+    keys = [*strata, bin_col]
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    df = df.join(means, keys, "left").withColumn("residual", F.col(value) - F.coalesce("_mean", F.lit(0.0))).drop("_mean")
+    df = df.withColumn("abs_residual", F.abs("residual")).withColumn("direction", F.when(F.col("residual") < 0, "corrective").otherwise("cumulative"))
+    df = fixed(df.withColumn("_down", -F.col("abs_residual")))
+    one = {"_n": F.lit(1)}
+    every = cumulated(df, "_down", strata, one).select(*strata, "_down", (F.col("_n_before") + 1).alias("rank"))
+    within = cumulated(df, "_down", [*strata, "direction"], one).select(*strata, "direction", "_down", (F.col("_n_before") + 1).alias("dir_rank"))
+    size = df.groupBy(*strata).agg(F.count("*").alias("_all"))
+    df = df.join(every, [*strata, "_down"], "left").join(within, [*strata, "direction", "_down"], "left")
+    df = df.join(size, strata) if strata else df.join(F.broadcast(size))
+    return df.withColumn("percentile", 100.0 * F.col("rank") / F.col("_all")).drop("_down", "_all")
 
 
 def product_correction(cells: DataFrame, i: str, j: str, score: str, keys: list[str]) -> DataFrame:

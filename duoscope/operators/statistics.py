@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .ranking import mid_rank
+from .lineage import fixed
+from .ranking import cumulated, mid_rank
 
 
 @F.pandas_udf(DoubleType())
@@ -79,10 +80,13 @@ def hypergeometric_tail(df: DataFrame, total: str, marked: str, drawn: str, seen
 
 def empirical_p(df: DataFrame, score: str, is_null: str, strata: list[str]) -> DataFrame:
     """``(1 + null scores >= s) / (1 + null scores)`` for rows outside the null, null where there is none."""
-    over = Window.partitionBy(*strata).orderBy(F.col(score).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    above = F.count_if(F.col(is_null)).over(over)
-    n = F.count_if(F.col(is_null)).over(Window.partitionBy(*strata))
-    return df.withColumn("p", F.when((n > 0) & F.col(score).isNotNull(), (1 + above) / (1 + n))).where(~F.col(is_null))
+    df = fixed(df)
+    t = cumulated(df, score, strata, {"_null": F.col(is_null).cast("long")}).select(*strata, score, "_null_before")
+    whole = df.groupBy(*strata).agg(F.count_if(F.col(is_null)).alias("_nulls"), F.count_if(F.col(is_null) & F.col(score).isNotNull()).alias("_told"))
+    rest = df.where(~F.col(is_null)).join(t, [*strata, score], "left")
+    rest = rest.join(whole, strata) if strata else rest.join(F.broadcast(whole))
+    scored = (1 + F.col("_told") - F.col("_null_before")) / (1 + F.col("_nulls"))
+    return rest.withColumn("p", F.when((F.col("_nulls") > 0) & F.col(score).isNotNull(), scored)).drop("_nulls", "_told", "_null_before")
 
 
 def kolmogorov_smirnov(df: DataFrame, value: str, group: str, strata: list[str]) -> DataFrame:
@@ -146,6 +150,34 @@ def log_rank(cohort: DataFrame, keys: list[str]) -> DataFrame:
     return s.withColumn("chi2", F.when(F.col("variance") > 0, (F.col("observed") - F.col("expected")) ** 2 / F.col("variance")))
 
 
-def stratified_log_rank(cohort: DataFrame, keys: list[str], strata: list[str]) -> DataFrame:
-    """Sum of the strata's chi-squares with as many degrees of freedom (approximate, not the pooled test)."""
-    return log_rank(cohort, [*keys, *strata]).where("chi2 is not null").groupBy(*keys).agg(F.sum("chi2").alias("chi2"), F.count("*").alias("df"))
+def log_rank_of_carriers(cohort: DataFrame, carriers: DataFrame, test: str, case: str, strata: list[str]) -> DataFrame:
+    """Log-rank of the carriers of each ``test`` against all other cases, by stratum, from the carriers' rows alone.
+
+    ``cohort`` has ``case, duration, event`` once per case, ``carriers`` ``test, case`` once each. Let d of n at
+    risk die at a time. Expected deaths are the cumulated d/n at each carrier's end, summed. With
+    w = d(n - d) / (n^2 (n - 1)) the variance is the sum over times of w n1 n less that of w n1^2, and
+    n1^2 counts pairs of carriers, each until the earlier end: c carriers who end together, with m later ones,
+    stand for c^2 + 2cm pairs. So no row is made for a case that does not carry.
+    """
+    times = cohort.where(F.col("duration").isNotNull()).groupBy(*strata, "duration").agg(F.sum("event").alias("d"), F.count("*").alias("c"))
+    n, d = F.col("n").cast("double"), F.col("d")
+    w = F.when(n > 1, d * (n - d) / (n * n * (n - 1))).otherwise(0.0)
+    upto = Window.partitionBy(*strata).orderBy("duration")
+    times = times.withColumn("n", F.sum("c").over(Window.partitionBy(*strata).orderBy(F.desc("duration"))))
+    steps = times.select(*strata, "duration", F.sum(d / n).over(upto).alias("hazard"), F.sum(w * n).over(upto).alias("linear"), F.sum(w).over(upto).alias("square"))
+    ends = carriers.join(cohort.where(F.col("duration").isNotNull()), case).groupBy(test, *strata, "duration").agg(F.sum("event").alias("e"), F.count("*").cast("double").alias("c"))
+    ends = ends.withColumn("m", F.sum("c").over(Window.partitionBy(test, *strata).orderBy(F.desc("duration"))) - F.col("c"))
+    at = ends.join(steps, [*strata, "duration"])
+    s = at.groupBy(test, *strata).agg(F.sum("e").alias("observed"), F.sum(F.col("c") * F.col("hazard")).alias("expected"), F.sum(F.col("c") * F.col("linear")).alias("_a"), F.sum(F.col("square") * (F.col("c") * F.col("c") + 2 * F.col("c") * F.col("m"))).alias("_b"))
+    left = F.col("_a") - F.col("_b")
+    # A difference of equal sums is zero but for its last digits.
+    s = s.withColumn("variance", F.when(left > 1e-12 * F.col("_a"), left).otherwise(0.0)).drop("_a", "_b")
+    return s.withColumn("chi2", F.when(F.col("variance") > 0, (F.col("observed") - F.col("expected")) ** 2 / F.col("variance")))
+
+
+def stratified_log_rank(tests: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of the strata's chi-squares with as many degrees of freedom (approximate, not the pooled test).
+
+    ``tests``: log-rank results by stratum.
+    """
+    return tests.where("chi2 is not null").groupBy(*keys).agg(F.sum("chi2").alias("chi2"), F.count("*").alias("df"))

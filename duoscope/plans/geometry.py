@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import calibration, geometry, ranking
+from ..operators.lineage import fixed
 from .standins import PAIRS, pairs, r6, scored, store, table
 
 QUERIES, SQL = {}, {}
@@ -180,7 +181,7 @@ RES = f"{PAIRS}, s AS (SELECT *, epi_r_raw - avg(epi_r_raw) OVER (PARTITION BY b
 @query(f"""WITH {RES}, a AS (SELECT pair, round(res, 6) + 0.0 AS residual, CASE WHEN res < 0 THEN 'corrective' ELSE 'cumulative' END AS direction, abs(res) AS ar FROM s)
 SELECT pair, residual, direction, rank() OVER (ORDER BY ar DESC) AS rank, round(100.0*rank() OVER (ORDER BY ar DESC)/count(*) OVER (), 6) AS percentile, rank() OVER (PARTITION BY direction ORDER BY ar DESC) AS dir_rank FROM a""")
 def priority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = ranking.priority_scores(scored(spark, sf_dir).withColumn("model", F.lit("m")), "epi_R_raw", "bin", ["model"], "pair")
+    df = ranking.priority_scores(scored(spark, sf_dir).withColumn("model", F.lit("m")), "epi_R_raw", "bin", ["model"])
     return df.select("pair", r6(F.col("residual")).alias("residual"), "direction", F.col("rank").cast("long").alias("rank"), F.round("percentile", 6).alias("percentile"), F.col("dir_rank").cast("long").alias("dir_rank"))
 
 
@@ -209,8 +210,14 @@ def ensemble_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile ranks under two scores, averaged over pairs that both have."""
     s = scored(spark, sf_dir)
     long = s.select("pair", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("v")) for m in ("epi_R_raw", "log_magnitude_ratio")])).alias("x")).select("pair", "x.*")
-    w = Window.partitionBy("model")
-    p = long.withColumn("p", 100.0 * (F.row_number().over(w.orderBy("v", "pair")) - 1) / F.count("*").over(w))
+    # Equal values of a model go by pair, so the two together are the value that is ranked.
+    long = fixed(long.withColumn("at", F.struct("v", "pair")))
+    edges = long.groupBy("model").agg(F.array_sort(F.percentile_approx("v", F.array(*[F.lit(k / 256) for k in range(1, 256)]), 10_000)).alias("edges"), F.count("*").alias("n"))
+    long = long.join(edges, "model").withColumn("block", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    blocks = long.groupBy("model", "block").agg(F.count("*").alias("own"))
+    blocks = blocks.select("model", "block", (F.sum("own").over(Window.partitionBy("model").orderBy("block")) - F.col("own")).alias("before"))
+    long = long.withColumn("r", F.row_number().over(Window.partitionBy("model", "block").orderBy("at"))).join(blocks, ["model", "block"])
+    p = long.withColumn("p", 100.0 * (F.col("before") + F.col("r") - 1) / F.col("n"))
     return p.groupBy("pair").agg(F.countDistinct("model").alias("k"), F.avg("p").alias("m")).where("k = 2").select("pair", F.round("m", 6).alias("mean_percentile"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import bands, ranking
 from ..operators import statistics as st
 from .standins import CALLS, CLINICAL, GRADED, PAIRS, calls, clinical, graded, r6, scored
 
@@ -37,7 +37,7 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with one-sided p-values, and their q-values."""
     t = st.mann_whitney(graded(spark, sf_dir), "value", "good", ["source"]).withColumn("p", st.normal_tail(F.col("z"))).withColumn("track", F.lit("length"))
-    return ranking.bh_fdr(t, "p", ["track"], ["source"]).select("source", "u", "z", "p", "q")
+    return ranking.bh_fdr(t, "p", ["track"]).select("source", "u", "z", "p", "q")
 
 
 @query(f"""WITH {GRADED}, r AS (SELECT lang, {RANKS.format('value')} AS x, {RANKS.format('lines')} AS y, {RANKS.format('other')} AS c FROM graded), k AS (SELECT lang, corr(x, y) AS xy, corr(x, c) AS xc, corr(y, c) AS yc FROM r GROUP BY lang)
@@ -74,7 +74,7 @@ o AS (SELECT pair, p, row_number() OVER (ORDER BY p, pair) AS k, count(*) OVER (
 def fdr_q_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benjamini-Hochberg over the empirical p-values."""
     p = st.empirical_p(scored(spark, sf_dir).withColumn("model", F.lit("m")), "epi_R_raw", "is_null", ["model"])
-    return ranking.bh_fdr(p, "p", ["model"], ["pair"]).select("pair", F.round("q", 6).alias("q"))
+    return ranking.bh_fdr(p, "p", ["model"]).select("pair", F.round("q", 6).alias("q"))
 
 
 @query(f"""WITH {GRADED}, v AS (SELECT DISTINCT lang, value FROM graded), c AS (SELECT v.lang, v.value, count(*) FILTER (good AND g.value <= v.value)/(count(*) FILTER (good))::DOUBLE AS a, count(*) FILTER (NOT good AND g.value <= v.value)/(count(*) FILTER (NOT good))::DOUBLE AS b FROM v JOIN graded g USING (lang) GROUP BY v.lang, v.value)
@@ -101,12 +101,10 @@ def permutation_within_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(r6(F.col("observed")).alias("observed"), r6(F.col("z")).alias("z"), F.round("p", 6).alias("p"))
 
 
-def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A test per gene: carriers (group 1) and all other cases (0) of the follow-up table."""
+def by_carriers(spark: SparkSession, sf_dir: str, strata: list[str]) -> DataFrame:
+    """A test per gene: its carriers against all other cases of the follow-up table."""
     carriers = calls(spark, sf_dir).where("depth >= 15 and alt_count >= 15").select("gene", "case_id").distinct()
-    genes = carriers.select("gene").distinct()
-    every = clinical(spark, sf_dir).join(F.broadcast(genes))  # a row per gene and case: the tests' own size
-    return every.join(carriers.withColumn("hit", F.lit(1)), ["gene", "case_id"], "left").withColumn("grp", F.coalesce("hit", F.lit(0))).drop("hit")
+    return st.log_rank_of_carriers(clinical(spark, sf_dir), carriers, "gene", "case_id", strata)
 
 
 COHORTS = f"{CALLS}, {CLINICAL}, ca AS (SELECT DISTINCT gene, case_id FROM calls WHERE depth >= 15 AND alt_count >= 15), co AS (SELECT g.gene, c.*, CASE WHEN ca.case_id IS NULL THEN 0 ELSE 1 END AS grp FROM clinical c CROSS JOIN (SELECT DISTINCT gene FROM ca) g LEFT JOIN ca ON ca.gene = g.gene AND ca.case_id = c.case_id)"
@@ -118,20 +116,20 @@ lr AS (SELECT {k}, sum(d1) AS o, sum(d*n1/n::DOUBLE) AS e, sum(CASE WHEN n > 1 T
 @query(f"WITH {COHORTS}{LOGRANK.format(k='gene')} SELECT gene, o::BIGINT AS observed, round(e, 6) AS expected, round(v, 6) AS variance, round(CASE WHEN v > 0 THEN power(o - e, 2)/v END, 6) AS chi2 FROM lr")
 def log_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carriers of each gene against all others, every gene in one job."""
-    t = st.log_rank(cohorts(spark, sf_dir), ["gene"])
+    t = by_carriers(spark, sf_dir, [])
     return t.select("gene", F.col("observed").cast("long").alias("observed"), *[F.round(c, 6).alias(c) for c in ("expected", "variance", "chi2")])
 
 
 @query()
 def log_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = st.log_rank(cohorts(spark, sf_dir), ["gene"]).withColumn("p", st.chi2_tail(F.col("chi2"))).withColumn("track", F.lit("gene"))
-    return ranking.bh_fdr(t, "p", ["track"], ["gene"]).select("gene", "chi2", "p", "q")
+    t = by_carriers(spark, sf_dir, []).withColumn("p", st.chi2_tail(F.col("chi2"))).withColumn("track", F.lit("gene"))
+    return ranking.bh_fdr(t, "p", ["track"]).select("gene", "chi2", "p", "q")
 
 
 @query(f"WITH {COHORTS}{LOGRANK.format(k='gene, project')} SELECT gene, round(sum(power(o - e, 2)/v), 6) AS chi2, count(*) AS df FROM lr WHERE v > 0 GROUP BY gene")
 def stratified_log_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum over projects of their chi-squares."""
-    return st.stratified_log_rank(cohorts(spark, sf_dir), ["gene"], ["project"]).select("gene", F.round("chi2", 6).alias("chi2"), "df")
+    return st.stratified_log_rank(by_carriers(spark, sf_dir, ["project"]), ["gene"]).select("gene", F.round("chi2", 6).alias("chi2"), "df")
 
 
 @query(f"""WITH {CLINICAL}, t AS (SELECT project, duration, sum(event) AS d, count(*) AS c FROM clinical GROUP BY project, duration), r AS (SELECT *, sum(c) OVER (PARTITION BY project ORDER BY duration DESC) AS n FROM t),
@@ -160,6 +158,7 @@ def burden_matched_log_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = cl.join(burden, "case_id").select("case_id", "duration", "event", "tmb")
     target = carriers.join(people, "case_id")
     median = target.groupBy("gene").agg(F.percentile("tmb", 0.5).alias("med"))
-    near = people.join(F.broadcast(median), (F.col("tmb") >= F.col("med") * 0.5) & (F.col("tmb") <= F.col("med") * 1.5)).join(carriers, ["gene", "case_id"], "left_anti")
+    ranges = median.select("gene", F.ceil(F.col("med") * 0.5).alias("least"), (F.floor(F.col("med") * 1.5) + 1).alias("past"))
+    near = bands.interval_join(people, ranges, [], "tmb", "least", "past", 16).join(carriers, ["gene", "case_id"], "left_anti")
     both = target.select("gene", "duration", "event", F.lit(1).alias("grp")).unionByName(near.select("gene", "duration", "event", F.lit(0).alias("grp")))
     return st.log_rank(both, ["gene"]).select("gene", F.round("chi2", 6).alias("chi2"))
