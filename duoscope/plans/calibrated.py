@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, geometry
+from ..operators import calibration, geometry, subspaces
 from .geometry import METRICS, residuals, rounded
 from .standins import PAIRS, pairs, r6, store
 
@@ -106,3 +106,23 @@ def covariance_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effective dimensions and partial correlations of null and signal residuals."""
     c = calibration.covariance(calibration.gram(residuals(spark, sf_dir), ["is_null"], "residual"), ["is_null"], ridge=1e-3)
     return spectra(c, ["is_null"])
+
+
+def null_axes(r: DataFrame, k: int) -> DataFrame:
+    c = calibration.covariance(calibration.gram(r, ["is_null"], "residual"), ["is_null"])
+    return subspaces.components(c, ["is_null"], k)
+
+
+@query()
+def subspace_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the ten leading axes of null and signal residuals."""
+    axes = null_axes(residuals(spark, sf_dir), 10)
+    return subspaces.overlap(axes.where("is_null"), axes.where("not is_null"))
+
+
+@query()
+def subspace_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each signal residual lies in the ten leading axes of the null ones."""
+    r = residuals(spark, sf_dir)
+    inside = subspaces.fraction_inside(r.where("not is_null"), null_axes(r.where("is_null"), 10), "residual")
+    return inside.select("pair", "inside_fraction", "inside_norm", "orthogonal_norm")

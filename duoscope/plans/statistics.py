@@ -162,3 +162,10 @@ def burden_matched_log_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = bands.interval_join(people, ranges, [], "tmb", "least", "past", 16).join(carriers, ["gene", "case_id"], "left_anti")
     both = target.select("gene", "duration", "event", F.lit(1).alias("grp")).unionByName(near.select("gene", "duration", "event", F.lit(0).alias("grp")))
     return st.log_rank(both, ["gene"]).select("gene", F.round("chi2", 6).alias("chi2"))
+
+
+@query()
+def cox_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hazard by the logarithm of a case's number of mutations and the share of them read at 25 or deeper."""
+    burden = calls(spark, sf_dir).groupBy("case_id").agg(F.log1p(F.count("*")).alias("burden"), F.avg((F.col("depth") >= 25).cast("double")).alias("deep"))
+    return st.cox(clinical(spark, sf_dir).join(burden, "case_id"), ["burden", "deep"])
