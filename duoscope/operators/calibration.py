@@ -94,3 +94,53 @@ def mahalanobis(df: DataFrame, keys: list[str], matrices: dict[tuple, np.ndarray
                 yield out
 
     return df.select(*dict.fromkeys([*id_cols, *keys, *vectors.values()])).mapInPandas(scored, schema)
+
+
+def square(part: pd.DataFrame) -> np.ndarray:
+    """The matrix of one key's cells ``i, j, value``."""
+    d = int(part["i"].max()) + 1
+    m = np.zeros((d, d))
+    m[part["i"], part["j"]] = part["value"]
+    return m
+
+
+def stability(df: DataFrame, vector: str, id_col: str, fractions: list[float], repeats: int, tests: int = 100, ridge: float = 1e-6) -> DataFrame:
+    """``fraction, n, mean, std, cv`` of mean distances under shrunk covariances fitted to parts of the rows, ``repeats`` times each.
+
+    A row is in a part by a hash of its id and the repeat, so parts of larger fractions hold those of smaller ones.
+    Distances are those of the ``tests`` vectors with the smallest ids, the only ones that pass through the driver;
+    each fit is inverted in a task of its own.
+    """
+    held = np.array([r[0] for r in df.where(F.col(vector).isNotNull()).orderBy(id_col).limit(tests).select(vector).collect()], dtype=float)
+    share = F.pmod(F.xxhash64(F.col(id_col), F.col("repeat")), F.lit(1_000_000)) / 1e6
+    many = df.select(id_col, vector, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    many = many.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions)))).where(share < F.col("fraction"))
+    keys = ["fraction", "repeat"]
+    sums = gram(many, keys, vector)
+    cells = shrunk(covariance(sums, keys, divisor=0), shrinkage(many, sums, keys, vector), keys, ridge)
+
+    def distances(part: pd.DataFrame) -> pd.DataFrame:
+        d = np.sqrt(np.maximum(0.0, ((held @ np.linalg.inv(square(part))) * held).sum(axis=1)))
+        return pd.DataFrame({"fraction": part["fraction"].iloc[:1], "n": part["n"].iloc[:1], "mean": d.mean()})
+
+    runs = cells.groupBy(*keys).applyInPandas(distances, "fraction double, n long, mean double")
+    whole = runs.groupBy("fraction").agg(F.avg("n").alias("n"), F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std"))
+    return whole.withColumn("cv", F.col("std") / (F.col("mean") + 1e-30))
+
+
+def ridge_sensitivity(cells: DataFrame, keys: list[str], ridges: list[float], usual: float = 1e-6) -> DataFrame:
+    """``keys, ridge, change``: relative change, against ``usual``, of the distance of a unit vector along the leading axis.
+
+    Along that axis the distance is 1 / sqrt(largest eigenvalue + ridge).
+    """
+    types = dict(cells.dtypes)
+
+    def changes(part: pd.DataFrame) -> pd.DataFrame:
+        top = max(float(np.linalg.eigvalsh(square(part))[-1]), 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = pd.DataFrame({"ridge": ridges, "change": np.sqrt((top + usual) / (top + np.array(ridges))) - 1})
+        for name in keys:
+            out[name] = part[name].iloc[0]
+        return out[[*keys, "ridge", "change"]]
+
+    return cells.select(*keys, "i", "j", "value").groupBy(*keys).applyInPandas(changes, "".join(f"{c} {types[c]}, " for c in keys) + "ridge double, change double")

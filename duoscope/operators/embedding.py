@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STORE = "id string, role string, dim int, embedding array<float>"
@@ -58,6 +58,94 @@ def kmer_model(k: int = 3, dim: int = 16) -> Callable[[list[str]], np.ndarray]:
     return model
 
 
+def long_results(df: DataFrame, load: Callable[[], Callable[[pd.Series], pd.DataFrame]], columns: list[str], made: str) -> DataFrame:
+    """``columns`` and the rows ``made`` (names and types) that a user model gives for each row of ``df``.
+
+    ``load`` makes the model once per task; the model takes a row and returns a frame of any number of rows.
+    """
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", " + made
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for b in batches:
+            parts = [model(row).assign(**{c: row[c] for c in columns}) for _, row in b.iterrows()]
+            if parts:
+                out = pd.concat(parts, ignore_index=True)
+                yield out[[*columns, *[c for c in out.columns if c not in columns]]]
+
+    return df.mapInPandas(run, schema)
+
+
+def nucleotides(df: DataFrame, seq: str, load: Callable[[], Callable[[str], np.ndarray]], columns: list[str], slack: float = 1e-6) -> DataFrame:
+    """``columns, pos, nuc, p``: a user model's probabilities of A, C, G, T at every place of a sequence.
+
+    A model's answer is a matrix of a row per place and four columns; rows that do not sum to 1 within ``slack`` are
+    an error.
+    """
+
+    def rows() -> Callable[[pd.Series], pd.DataFrame]:
+        model = load()
+
+        def one(row: pd.Series) -> pd.DataFrame:
+            p = np.asarray(model(row[seq]), dtype=float).reshape(-1, 4)
+            if len(p) and np.abs(p.sum(axis=1) - 1).max() > slack:
+                raise ValueError("probabilities of a place must sum to one")
+            return pd.DataFrame({"pos": np.repeat(np.arange(len(p)), 4), "nuc": np.tile(list("ACGT"), len(p)), "p": p.ravel()})
+
+        return one
+
+    return long_results(df, rows, columns, "pos int, nuc string, p double")
+
+
+def tracks(df: DataFrame, seq: str, load: Callable[[], Callable[[str], tuple[np.ndarray, np.ndarray]]], columns: list[str]) -> DataFrame:
+    """``columns, track, pos, value`` of a user model that returns ``(tracks, positions)``: a row per track, a column per position."""
+
+    def rows() -> Callable[[pd.Series], pd.DataFrame]:
+        model = load()
+
+        def one(row: pd.Series) -> pd.DataFrame:
+            values, at = model(row[seq])
+            values = np.asarray(values, dtype=float).reshape(-1, len(at))
+            return pd.DataFrame({"track": np.repeat(np.arange(len(values)), len(at)), "pos": np.tile(at, len(values)), "value": values.ravel()})
+
+        return one
+
+    return long_results(df, rows, columns, "track int, pos int, value double")
+
+
+def window_predictor(width: int = 2) -> Callable[[str], np.ndarray]:
+    """A stand-in predictor: shares of the bases within ``width`` places, one added to each count."""
+
+    def model(s: str) -> np.ndarray:
+        hot = np.array([[c == b for b in "ACGT"] for c in s], dtype=float).reshape(-1, 4)
+        near = np.array([hot[max(0, k - width) : k + width + 1].sum(axis=0) for k in range(len(s))]).reshape(-1, 4) + 1
+        return near / near.sum(axis=1, keepdims=True)
+
+    return model
+
+
+def content_tracks(bin_size: int = 8) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    """A stand-in for a track model: shares of G or C, and of A, by bins of a sequence."""
+
+    def model(s: str) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(0, len(s), bin_size)
+        cut = [s[k : k + bin_size] for k in at]
+        return np.array([[(c.count("G") + c.count("C")) / len(c) for c in cut], [c.count("A") / len(c) for c in cut]]), at
+
+    return model
+
+
+def custom_distance(measure: Callable[[np.ndarray, np.ndarray], float]) -> Callable[[Column, Column], Column]:
+    """A user's distance of two vectors as a function of two columns, by Arrow batches; null where a vector is."""
+
+    @F.pandas_udf("double")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else float(measure(np.asarray(x), np.asarray(y))) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return apart
+
+
 def latest(store: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The last write of each key."""
     w = Window.partitionBy(*keys).orderBy(F.col(version).desc())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +68,64 @@ def dependency_map(mutant: DataFrame, base: DataFrame, keys: list[str], eps: flo
     """
     j = mutant.join(base.select(*keys, "pos_j", "nuc", F.col("p").alias("p0")), [*keys, "pos_j", "nuc"]).where("pos_i <> pos_j")
     m = j.groupBy(*keys, "pos_i", "pos_j").agg(F.max(F.abs(F.log((F.col("p") + eps) / (F.col("p0") + eps)))).alias("score"))
+    return mirrored(m, keys)
+
+
+def mirrored(m: DataFrame, keys: list[str]) -> DataFrame:
+    """The larger of a map's scores both ways."""
     other = m.select(*keys, F.col("pos_j").alias("pos_i"), F.col("pos_i").alias("pos_j"), F.col("score").alias("_s"))
     return m.join(other, [*keys, "pos_i", "pos_j"], "left").select(*keys, "pos_i", "pos_j", F.greatest("score", "_s").alias("score"))
 
 
+def logit_map(mutant: DataFrame, base: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:
+    """Largest absolute difference of base-2 logits at j when i is mutated, both ways, and 0 where i = j.
+
+    ``mutant``: keys, pos_i, alt, pos_j, nuc, p; ``base``: keys, pos_j, nuc, p. ``eps`` is added to every p before a
+    place's four are brought to sum 1.
+    """
+
+    def logits(t: DataFrame, place: list[str], name: str) -> DataFrame:
+        four = t.groupBy(*place).agg(F.collect_list(F.struct("nuc", (F.col("p") + eps).alias("p"))).alias("_x"), F.sum(F.col("p") + eps).alias("_t"))
+        one = four.select(*place, F.explode(F.transform("_x", lambda x: F.struct(x["nuc"].alias("nuc"), (x["p"] / F.col("_t")).alias("p")))).alias("_x"))
+        return one.select(*place, F.col("_x.nuc").alias("nuc"), (F.log2("_x.p") - F.log2(1 - F.col("_x.p"))).alias(name))
+
+    j = logits(mutant, [*keys, "pos_i", "alt", "pos_j"], "a").join(logits(base, [*keys, "pos_j"], "b"), [*keys, "pos_j", "nuc"])
+    change = F.when(F.col("pos_i") == F.col("pos_j"), 0.0).otherwise(F.abs(F.col("a") - F.col("b")))
+    return mirrored(j.groupBy(*keys, "pos_i", "pos_j").agg(F.max(change).alias("score")), keys)
+
+
+def l2(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def token_offset(whole: DataFrame, probe: DataFrame, keys: list[str], needed: Column) -> DataFrame:
+    """``keys, offset``: the token that a change of the first base moves most, the first of equals.
+
+    ``whole, probe``: keys, token (from 0), vec, before and after that change. If fewer than ``needed`` tokens follow,
+    only those that leave room are looked at.
+    """
+    d = whole.join(probe.select(*keys, "token", F.col("vec").alias("_p")), [*keys, "token"]).select(*keys, "token", needed.alias("_n"), l2(F.col("vec"), F.col("_p")).alias("_d"))
+    d = d.join(d.groupBy(*keys).agg((F.max("token") + 1).alias("_t")), keys)
+    moved = F.struct("_d", -F.col("token"))
+    last = F.greatest(F.col("_t") - F.col("_n"), F.lit(0))
+    best = d.groupBy(*keys).agg(F.max_by("token", moved).alias("_all"), F.max_by("token", F.when(F.col("token") <= last, moved)).alias("_fit"), F.max("_t").alias("_t"), F.max("_n").alias("_n"))
+    return best.select(*keys, F.when(F.col("_all") + F.col("_n") > F.col("_t"), F.col("_fit")).otherwise(F.col("_all")).alias("offset"))
+
+
+def perturbation_map(whole: DataFrame, mutant: DataFrame, offsets: DataFrame, keys: list[str], k: int = 1, distance: Callable[[Column, Column], Column] = l2, mean: bool = False) -> DataFrame:
+    """``keys, pos_i, pos_j, score``: how far the token of j moves when i is mutated, both ways; i <> j.
+
+    ``whole``: keys, token, vec; ``mutant``: keys, pos_i, alt, token, vec; ``offsets``: keys, offset, and ``length``
+    of the sequence; tokens of ``k`` bases. Over the alleles of i the largest distance counts, or their ``mean``.
+    ``distance`` makes a column of two array columns: a built-in expression or a pandas UDF.
+    """
+    both = mutant.join(whole.select(*keys, "token", F.col("vec").alias("_w")), [*keys, "token"]).join(offsets, keys).where("token >= offset")
+    begin = (F.col("token") - F.col("offset")) * k
+    both = both.where(begin < F.col("length")).withColumn("_d", distance(F.col("_w"), F.col("vec")))
+    j = both.select(*keys, "pos_i", "length", "_d", F.explode(F.sequence(begin, begin + (k - 1))).alias("pos_j")).where("pos_j < length and pos_i <> pos_j")
+    return mirrored(j.groupBy(*keys, "pos_i", "pos_j").agg((F.avg if mean else F.max)("_d").alias("score")), keys)
+
+
 def best_of_alleles(scores: DataFrame, keys: list[str], i: str, j: str, value: str) -> DataFrame:
     """Position map of the largest value over allele combinations, mirrored."""
     m = scores.groupBy(*keys, F.col(i).alias("pos_i"), F.col(j).alias("pos_j")).agg(F.max(value).alias("score"))

@@ -142,7 +142,13 @@ def kaplan_meier(cohort: DataFrame, keys: list[str]) -> DataFrame:
 
 def log_rank(cohort: DataFrame, keys: list[str]) -> DataFrame:
     """Chi-square of group 1 against 0 for every test at once: ``observed, expected, variance, chi2``."""
-    times = cohort.where(F.col("duration").isNotNull()).groupBy(*keys, "duration").agg(*[F.sum(F.when(F.col("grp") == g, x).otherwise(0)).alias(f"{n}{g}") for g in (0, 1) for n, x in (("d", F.col("event")), ("c", F.lit(1)))])
+    times = cohort.where(F.col("duration").isNotNull()).groupBy(*keys, "grp", "duration").agg(F.sum("event").alias("d"), F.count("*").alias("c"))
+    return log_rank_counted(times, keys)
+
+
+def log_rank_counted(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from counts: ``keys, grp, duration``, deaths ``d`` and cases ``c``; rows of one group and time are added up."""
+    times = counted.groupBy(*keys, "duration").agg(*[F.sum(F.when(F.col("grp") == g, F.col(n)).otherwise(0)).alias(f"{n}{g}") for g in (0, 1) for n in ("d", "c")])
     later = Window.partitionBy(*keys).orderBy(F.desc("duration"))
     t = times.withColumn("n1", F.sum("c1").over(later)).withColumn("n", F.sum(F.col("c0") + F.col("c1")).over(later)).withColumn("d", F.col("d0") + F.col("d1"))
     e = F.col("d") * F.col("n1") / F.col("n")

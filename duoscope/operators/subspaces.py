@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .calibration import covariance, gram
+from .lineage import fixed
+from .statistics import mann_whitney
+
 
 def components(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
     """``keys, rank, share, axis``: the ``k`` leading unit vectors of each key's covariance cells ``i, j, value``.
@@ -54,3 +58,20 @@ def fraction_inside(df: DataFrame, axes: DataFrame, vector: str) -> DataFrame:
     out = df.withColumn("inside_fraction", F.when(F.col("_norm") < 1e-30, 0.0).otherwise(F.least(F.col("_in") / F.col("_norm"), F.lit(1.0))))
     out = out.withColumn("inside_norm", F.sqrt("_in")).withColumn("orthogonal_norm", F.sqrt(F.greatest(F.col("_norm") - F.col("_in"), F.lit(0.0))))
     return out.drop("_axes", "_norm", "_in")
+
+
+def template_axes(df: DataFrame, vector: str, score: str, k: int, top: float = 0.9) -> DataFrame:
+    """The ``k`` leading axes of the vectors whose absolute ``score`` reaches its ``top`` quantile."""
+    bound = df.agg(F.percentile(F.abs(score), top).alias("_bound"))
+    best = df.join(F.broadcast(bound)).where(F.abs(score) >= F.col("_bound")).select(vector, F.lit(0).alias("_key"))
+    return components(covariance(gram(best, ["_key"], vector), ["_key"]), ["_key"], k)
+
+
+def template_contrast(df: DataFrame, axes: DataFrame, vector: str, score: str, top: float = 0.9, bottom: float = 0.5) -> DataFrame:
+    """Are vectors of high absolute ``score`` more inside ``axes`` than those of low? One row:
+    ``n1, n2, u, z, top_median, bottom_median`` of their fractions inside."""
+    bound = df.agg(F.percentile(F.abs(score), top).alias("_high"), F.percentile(F.abs(score), bottom).alias("_low"))
+    part = df.join(F.broadcast(bound)).withColumn("_top", F.when(F.abs(score) >= F.col("_high"), True).when(F.abs(score) <= F.col("_low"), False)).where("_top is not null")
+    inside = fixed(fraction_inside(part.select(vector, "_top"), axes, vector).select("_top", "inside_fraction", F.lit(0).alias("_key")))
+    medians = inside.groupBy("_key").agg(*[F.percentile(F.when(F.col("_top") == g, F.col("inside_fraction")), 0.5).alias(n) for g, n in ((True, "top_median"), (False, "bottom_median"))])
+    return mann_whitney(inside, "inside_fraction", "_top", ["_key"]).join(medians, "_key").drop("_key")
