@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 STORE = "id string, role string, dim int, embedding array<float>"
 
 
+def attempted(model: Callable[[list[str]], np.ndarray], texts: list[str]) -> tuple[list, list]:
+    """Vectors and errors of a batch; one that fails is done text by text, so a bad one does not lose the others."""
+    try:
+        return [np.asarray(v, np.float32) for v in model(texts)], [None] * len(texts)
+    except Exception:
+        vectors, errors = [], []
+        for t in texts:
+            try:
+                vectors.append(np.asarray(model([t])[0], np.float32))
+                errors.append(None)
+            except Exception as e:
+                vectors.append(None)
+                errors.append(str(e))
+        return vectors, errors
+
+
 def embed(df: DataFrame, seq: str, load: Callable[[], Callable[[list[str]], np.ndarray]], columns: list[str], batch: int = 256) -> DataFrame:
     """``columns`` and ``embedding, error``. ``load`` makes the model once per task.
 
@@ -25,19 +41,8 @@ def embed(df: DataFrame, seq: str, load: Callable[[], Callable[[list[str]], np.n
         for b in batches:
             for k in range(0, len(b), batch):
                 part = b.iloc[k : k + batch]
-                texts = part[seq].tolist()
-                try:
-                    vectors, errors = list(model(texts)), [None] * len(texts)
-                except Exception:  # one bad row must not lose the others
-                    vectors, errors = [], []
-                    for t in texts:
-                        try:
-                            vectors.append(model([t])[0])
-                            errors.append(None)
-                        except Exception as e:
-                            vectors.append(None)
-                            errors.append(str(e))
-                yield part[columns].assign(embedding=[None if v is None else np.asarray(v, np.float32) for v in vectors], error=errors)
+                vectors, errors = attempted(model, part[seq].tolist())
+                yield part[columns].assign(embedding=vectors, error=errors)
 
     return df.select(*dict.fromkeys([*columns, seq])).mapInPandas(run, schema)
 

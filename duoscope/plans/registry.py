@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import calibrated, curation, geometry, models, mutations, panels, statistics, stores, summaries
+from . import calibrated, curation, genome, geometry, models, mutations, panels, statistics, stores, summaries
 
-MODULES = (geometry, calibrated, statistics, mutations, curation, stores, panels, summaries, models)
+MODULES = (geometry, calibrated, statistics, mutations, curation, stores, panels, summaries, models, genome)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
