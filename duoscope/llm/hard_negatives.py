@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,161 +16,145 @@ from .common import ROW, numbered, settle
 LEAF, SHRINK = 16, 0.6
 
 
-@dataclass
-class Node:
-    """Points ``lo:hi`` in the tree's order; all of one ``label`` if ``pure``. ``radius`` covers them from the centre."""
-
-    centre: int
-    radius: float
-    lo: int
-    hi: int
-    pure: bool
-    label: int
-    children: list[int]
-
-
 class CoverTree:
     """A cover tree over integer vectors, extended by one coordinate that makes all norms equal.
 
     In that space the inner product with a query (its extra coordinate 0) changes between a node's centre and any
     point below by the query's norm times their distance at most. Each level covers a node's points by centres
     that are more than the level's radius apart and have all points within it; a node keeps the radius measured.
+
+    Node j has points ``lo[j]:hi[j]`` in the tree's order, one of them its ``centre[j]``, and the nodes
+    ``first[j]:last[j]`` below it. ``pure`` nodes have points of one label only, ``of``.
     """
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> None:
         norms = np.einsum("ij,ij->i", x, x)
         most = norms.max() if len(x) else 0.0
         wide = np.column_stack([x, np.sqrt(np.maximum(most - norms, 0.0))])
-        self.nodes: list[Node] = []
-        self.order = np.arange(len(x))
-        if len(x):
-            self._grow(wide, labels, 0, len(x), 0, None)
-        self.x, self.ids, self.rows, self.labels = x[self.order], ids[self.order], rows[self.order], labels[self.order]
-        place = np.empty(len(x), dtype=np.int64)
-        place[self.order] = np.arange(len(x))
-        for n in self.nodes:
-            n.centre = int(place[n.centre])
-        self.centre = np.array([n.centre for n in self.nodes], dtype=np.int64)
-        self.radius = np.array([n.radius for n in self.nodes])
-        self.pure = np.array([n.pure for n in self.nodes], dtype=bool)
-        self.of = np.array([n.label for n in self.nodes], dtype=np.int64)
-        self.single = np.array([n.hi - n.lo == 1 for n in self.nodes], dtype=bool)
-
-    def _grow(self, wide: np.ndarray, labels: np.ndarray, lo: int, hi: int, centre: int, scale: float | None) -> int:
-        """Adds the node of ``order[lo:hi]`` and all below it; an explicit stack keeps deep trees off Python's."""
-        root = len(self.nodes)
-        todo = [(lo, hi, centre, scale, -1)]
-        while todo:
-            lo, hi, centre, scale, parent = todo.pop()
-            at = self.order[lo:hi]
+        order = np.arange(len(x))
+        nodes = [(0, 0, len(x), np.inf)] if len(x) else []
+        radius, pure, of, first, last = [], [], [], [], []
+        # Nodes are split in the order in which they are made, so the nodes below one stand side by side.
+        for centre, lo, hi, scale in nodes:
+            at = order[lo:hi]
             gap = wide[at] - wide[centre]
-            # Integer vectors of equal coordinates have distance 0; rounding of the last one is far below the slack.
-            radius = float(np.sqrt(np.einsum("ij,ij->i", gap, gap).max()))
-            one = labels[at[0]]
-            number = len(self.nodes)
-            self.nodes.append(Node(int(centre), radius, lo, hi, bool((labels[at] == one).all()), int(one), []))
-            if parent >= 0:
-                self.nodes[parent].children.append(number)
-            if hi - lo <= LEAF or radius <= 1e-9:
-                continue
-            scale = min(radius, scale if scale is not None else radius) * SHRINK
-            centres = self._cover(wide, at, centre, scale)
-            while len(centres) == 1:
-                scale *= SHRINK
-                centres = self._cover(wide, at, centre, scale)
-            mine = self._nearest(wide, at, centres)
-            turn = np.argsort(mine, kind="stable")
-            self.order[lo:hi] = at[turn]
-            sizes = np.bincount(mine, minlength=len(centres))
-            ends = lo + np.cumsum(sizes)
-            todo += [(int(e - n), int(e), int(c), scale, number) for e, n, c in zip(ends, sizes, centres, strict=True) if n]
-        return root
-
-    @staticmethod
-    def _cover(wide: np.ndarray, at: np.ndarray, centre: int, scale: float) -> np.ndarray:
-        """Greedy centres from ``at``, the node's own first: apart by more than ``scale``, all points within it of one."""
-        square = np.einsum("ij,ij->i", wide[at], wide[at])
-        centres = [centre]
-        limit = scale * scale
-        for k in range(0, len(at), 256):
-            part = at[k : k + 256]
-            known = wide[centres]
-            d = square[k : k + 256, None] + np.einsum("ij,ij->i", known, known)[None] - 2 * wide[part] @ known.T
-            open_ = np.flatnonzero(d.min(axis=1) > limit)
-            while len(open_):
-                new = part[open_[0]]
-                centres.append(int(new))
-                gap = wide[part[open_]] - wide[new]
-                open_ = open_[np.einsum("ij,ij->i", gap, gap) > limit]
-        return np.array(centres)
-
-    @staticmethod
-    def _nearest(wide: np.ndarray, at: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        known = wide[centres]
-        square = np.einsum("ij,ij->i", known, known)
-        mine = np.empty(len(at), dtype=np.int64)
-        for k in range(0, len(at), 1024):
-            mine[k : k + 1024] = (square[None] - 2 * wide[at[k : k + 1024]] @ known.T).argmin(axis=1)
-        # A centre is nobody else's point, so every level splits and centres nest.
-        where = {int(c): j for j, c in enumerate(centres)}
-        own = np.array([where.get(int(p), -1) for p in at])
-        return np.where(own >= 0, own, mine)
+            radius.append(float(np.sqrt(np.einsum("ij,ij->i", gap, gap).max())))
+            of.append(labels[at[0]])
+            pure.append(bool((labels[at] == of[-1]).all()))
+            first.append(len(nodes))
+            if hi - lo > LEAF and radius[-1] > 1e-9:
+                scale = min(radius[-1], scale) * SHRINK
+                while len(centres := cover(wide, at, centre, scale)) == 1:
+                    scale *= SHRINK
+                mine = nearest(wide, at, centres)
+                order[lo:hi] = at[np.argsort(mine, kind="stable")]
+                ends = lo + np.cumsum(np.bincount(mine, minlength=len(centres)))
+                nodes += [(int(c), int(b), int(e), scale) for c, b, e in zip(centres, [lo, *ends[:-1]], ends, strict=True)]
+            last.append(len(nodes))
+        self.x, self.ids, self.rows, self.labels = x[order], ids[order], rows[order], labels[order]
+        place = np.empty(len(x), dtype=np.int64)
+        place[order] = np.arange(len(x))
+        self.centre = place[np.array([n[0] for n in nodes], dtype=np.int64)]
+        self.lo, self.hi = (np.array([n[k] for n in nodes], dtype=np.int64) for k in (1, 2))
+        self.first, self.last = np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
+        self.radius, self.pure, self.of = np.array(radius), np.array(pure, dtype=bool), np.array(of, dtype=np.int64)
 
     def search(self, q: np.ndarray, row: int, label: int, same: bool, low: np.ndarray, high: np.ndarray, k: int) -> list[np.ndarray]:
         """For each window ``[low, high]`` the places of its first ``k`` points: highest score first, then least id and row.
 
-        Points have the query's label (``same``) or another, and are not the query's own row. Best-first: the node
-        of the highest bound is opened next, nodes outside all windows or below all windows' k-th scores are skipped.
+        Points have the query's label (``same``) or another, and are not the query's own row. Nodes outside all
+        windows, or below all windows' k-th scores so far, are skipped, level by level; centres, which are points too,
+        raise those scores. Leaves are then verified exactly, highest bound first, until no bound reaches a k-th score.
         """
         length = float(np.sqrt(q @ q))
+        floor = low.astype(float)
         best: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(low)
         scores = [np.empty(0)] * len(low)
-        floor = low.astype(float)
+        leaves, bounds = [], []
 
-        def verify(places: np.ndarray, s: np.ndarray) -> None:
-            ok = ((self.labels[places] == label) == same) & (self.rows[places] != row) & (s >= floor.min()) & (s <= high.max())
-            places, s = places[ok], s[ok]
-            for w in range(len(low)):
-                inside = (s >= floor[w]) & (s <= high[w])
-                if not inside.any():
-                    continue
-                p, v = np.concatenate([best[w], places[inside]]), np.concatenate([scores[w], s[inside]])
-                if len(p) > k:
-                    least = -np.partition(-v, k - 1)[k - 1]
-                    p, v = p[v >= least], v[v >= least]
-                first = np.lexsort((self.rows[p], self.ids[p], -v))[:k]
-                best[w], scores[w] = p[first], v[first]
-                if len(first) == k:
-                    floor[w] = v[first[-1]]
-
-        def useful(nodes: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            slack = length * self.radius[nodes] * (1 + 1e-9) + 1e-6
+        def open_to(places: np.ndarray) -> np.ndarray:
+            return ((self.labels[places] == label) == same) & (self.rows[places] != row)
+
+        level = np.arange(min(1, len(self.centre)))
+        while len(level) and len(low):
+            s = self.x[self.centre[level]] @ q
+            slack = length * self.radius[level] * (1 + 1e-9) + 1e-6
             upper, lower = s + slack, s - slack
-            keep = ((upper[:, None] >= floor[None]) & (lower[:, None] <= high[None])).any(axis=1)
-            return keep & ~(self.pure[nodes] & ((self.of[nodes] == label) != same)), upper
-
-        if self.nodes and len(low):
-            heap = [(-np.inf, 0)]
-            while heap:
-                bound, n = heapq.heappop(heap)
-                if -bound < floor.min():
-                    break
-                node = self.nodes[n]
-                if not node.children:
-                    places = np.arange(node.lo, node.hi)
-                    verify(places, self.x[node.lo : node.hi] @ q)
-                    continue
-                below = np.array(node.children)
-                s = self.x[self.centre[below]] @ q
-                keep, upper = useful(below, s)
-                alone = keep & self.single[below]
-                verify(self.centre[below[alone]], s[alone])
-                for j in np.flatnonzero(keep & ~alone):
-                    if upper[j] >= floor.min():
-                        heapq.heappush(heap, (-upper[j], int(below[j])))
+            mine = s[open_to(self.centre[level])]
+            for w in range(len(low)):
+                inside = mine[(mine >= floor[w]) & (mine <= high[w])]
+                if len(inside) >= k:
+                    floor[w] = np.partition(inside, len(inside) - k)[len(inside) - k]
+            keep = ((upper[:, None] >= floor) & (lower[:, None] <= high)).any(axis=1) & ~(self.pure[level] & ((self.of[level] == label) != same))
+            level, upper = level[keep], upper[keep]
+            ends = self.first[level] == self.last[level]
+            leaves.append(level[ends])
+            bounds.append(upper[ends])
+            level = ranges(self.first[level[~ends]], self.last[level[~ends]])
+
+        if leaves:
+            leaf, bound = np.concatenate(leaves), np.concatenate(bounds)
+            turn = np.argsort(-bound, kind="stable")
+            leaf, bound = leaf[turn], bound[turn]
+            size = np.cumsum(self.hi[leaf] - self.lo[leaf])
+            done, batch = 0, 16 * k
+            while done < len(leaf) and bound[done] >= floor.min():
+                upto = int(np.searchsorted(size, (size[done - 1] if done else 0) + batch)) + 1
+                part = leaf[done:upto][bound[done:upto] >= floor.min()]
+                places = ranges(self.lo[part], self.hi[part])
+                s = self.x[places] @ q
+                ok = open_to(places) & (s >= floor.min())
+                places, s = places[ok], s[ok]
+                for w in range(len(low)):
+                    inside = (s >= floor[w]) & (s <= high[w])
+                    p, v = np.concatenate([best[w], places[inside]]), np.concatenate([scores[w], s[inside]])
+                    if len(p) > k:
+                        least = np.partition(v, len(v) - k)[len(v) - k]
+                        p, v = p[v >= least], v[v >= least]
+                    now = np.lexsort((self.rows[p], self.ids[p], -v))[:k]
+                    best[w], scores[w] = p[now], v[now]
+                    if len(now) == k:
+                        floor[w] = max(floor[w], v[now[-1]])
+                done, batch = upto, batch * 4
         return best
 
 
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges ``lo[j]:hi[j]``, one after another."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(lo) else np.empty(0, dtype=np.int64)
+
+
+def cover(wide: np.ndarray, at: np.ndarray, centre: int, scale: float) -> np.ndarray:
+    """Greedy centres from ``at``, the node's own first: apart by more than ``scale``, all points within it of one."""
+    square = np.einsum("ij,ij->i", wide[at], wide[at])
+    centres = [centre]
+    limit = scale * scale
+    for k in range(0, len(at), 256):
+        part = at[k : k + 256]
+        known = wide[centres]
+        d = square[k : k + 256, None] + np.einsum("ij,ij->i", known, known)[None] - 2 * wide[part] @ known.T
+        left = np.flatnonzero(d.min(axis=1) > limit)
+        while len(left):
+            new = part[left[0]]
+            centres.append(int(new))
+            gap = wide[part[left]] - wide[new]
+            left = left[np.einsum("ij,ij->i", gap, gap) > limit]
+    return np.array(centres)
+
+
+def nearest(wide: np.ndarray, at: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of each point's nearest centre; a centre is its own, so every level splits and centres nest."""
+    known = wide[centres]
+    square = np.einsum("ij,ij->i", known, known)
+    mine = np.empty(len(at), dtype=np.int64)
+    for k in range(0, len(at), 1024):
+        mine[k : k + 1024] = (square[None] - 2 * wide[at[k : k + 1024]] @ known.T).argmin(axis=1)
+    where = {int(c): j for j, c in enumerate(centres)}
+    own = np.array([where.get(int(p), -1) for p in at])
+    return np.where(own >= 0, own, mine)
+
+
 def exact_limit(x: np.ndarray) -> None:
     """Scores are at most the largest squared norm; doubles hold whole numbers up to 2^53."""
     if len(x) and np.einsum("ij,ij->i", x, x).max() >= 2.0**53:

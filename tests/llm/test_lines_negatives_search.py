@@ -116,10 +116,14 @@ def test_a_tree_covers_and_skips():
     tree = hn.CoverTree(x, rows, rows, rows % 3)
     norms = (x**2).sum(axis=1)
     wide = np.column_stack([tree.x, np.sqrt(np.maximum(norms.max() - (tree.x**2).sum(axis=1), 0))])
-    for n in tree.nodes:
-        assert np.sqrt(((wide[n.lo : n.hi] - wide[n.centre]) ** 2).sum(axis=1)).max() <= n.radius * (1 + 1e-9) + 1e-6
-        inner = [tree.nodes[c] for c in n.children]
-        assert not inner or (min(c.lo for c in inner), max(c.hi for c in inner), sum(c.hi - c.lo for c in inner)) == (n.lo, n.hi, n.hi - n.lo)
+    for n in range(len(tree.lo)):
+        lo, hi, below = tree.lo[n], tree.hi[n], slice(tree.first[n], tree.last[n])
+        assert lo <= tree.centre[n] < hi
+        assert np.sqrt(((wide[lo:hi] - wide[tree.centre[n]]) ** 2).sum(axis=1)).max() <= tree.radius[n] * (1 + 1e-9) + 1e-6
+        if len(tree.lo[below]):
+            assert (tree.lo[below].min(), tree.hi[below].max(), (tree.hi[below] - tree.lo[below]).sum()) == (lo, hi, hi - lo)
+            gap = np.sqrt(((wide[tree.centre[below]][:, None] - wide[tree.centre[below]][None]) ** 2).sum(axis=2))
+            assert tree.centre[n] in tree.centre[below] and gap[~np.eye(len(gap), dtype=bool)].min() > 0
     looked = []
     inside = tree.x
 
