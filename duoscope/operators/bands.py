@@ -28,3 +28,16 @@ def interval_join(points: DataFrame, blocks: DataFrame, keys: list[str], pos: st
     """Points within half-open intervals; blocks are spread over the bins they cover."""
     spread = blocks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor((F.col(end) - 1) / width))))
     return points.withColumn("_bin", F.floor(F.col(pos) / width)).join(spread, [*keys, "_bin"]).where((F.col(pos) >= F.col(begin)) & (F.col(pos) < F.col(end))).drop("_bin")
+
+
+def combinations(rows: DataFrame, keys: list[str], member: str, most: int | None = None) -> DataFrame:
+    """``keys, member1, member2, unambiguous``: every two members of a group, each pair once; members are distinct.
+
+    Pairs are what is asked for, so their number grows with the squares of the groups; ``most``, if given, leaves out
+    groups with more members. ``unambiguous`` marks groups of two.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    a = rows.join(sizes, keys)
+    a = a.where(F.col("_n") <= most) if most is not None else a
+    b = rows.select(*keys, F.col(member).alias(f"{member}2"))
+    return a.select(*keys, F.col(member).alias(f"{member}1"), (F.col("_n") == 2).alias("unambiguous")).join(b, keys).where(F.col(f"{member}1") < F.col(f"{member}2"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import fixed
+
 
 def gram(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """``keys, i, j, n, s, q``: sums of x_i, and of x_i x_j, over the vectors of each key.
@@ -64,36 +66,17 @@ def shrunk(cells: DataFrame, intensity: DataFrame, keys: list[str], ridge: float
     return s.select(*keys, "i", "j", "n", value.alias("value"))
 
 
-def inverses(cells: DataFrame, keys: list[str]) -> dict[tuple, np.ndarray]:
-    """Inverse matrices on the driver, one d x d matrix per key."""
-    out = {}
-    for key, part in cells.toPandas().groupby(keys, dropna=False):
-        d = int(part["i"].max()) + 1
-        m = np.zeros((d, d))
-        m[part["i"], part["j"]] = part["value"]
-        out[key] = np.linalg.inv(m)
-    return out
-
-
-def mahalanobis(df: DataFrame, keys: list[str], matrices: dict[tuple, np.ndarray], vectors: dict[str, str], id_cols: list[str]) -> DataFrame:
-    """``id_cols`` and a distance for each vector under its key's inverse; null without one or of another length."""
-    held = df.sparkSession.sparkContext.broadcast(matrices)
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in id_cols) + "".join(f", {n} double" for n in vectors)
+def binned_fits(nulls: DataFrame, vector: str, bin_col: str, least: int, ridge: float, whole: int = -1) -> DataFrame:
+    """``use, i, j, n, value``: shrunk covariances of the bins with at least ``least`` vectors, and of all as bin ``whole``.
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, part in b.groupby(keys, dropna=False):
-                out, m = part[id_cols].copy(), held.value.get(key)
-                for name, v in vectors.items():
-                    fits = [m is not None and x is not None and len(x) == len(m) for x in part[v]]
-                    d = np.full(len(part), np.nan)
-                    if any(fits):
-                        x = np.stack([np.asarray(v, float) for v, ok in zip(part[v], fits, strict=True) if ok])
-                        d[np.array(fits)] = np.sqrt(np.maximum(0.0, ((x @ m) * x).sum(axis=1)))
-                    out[name] = pd.array(d, dtype="Float64")
-                yield out
-
-    return df.select(*dict.fromkeys([*id_cols, *keys, *vectors.values()])).mapInPandas(scored, schema)
+    The sums of all vectors are those of the bins, so vectors are multiplied once.
+    """
+    by_bin = fixed(gram(nulls, [bin_col], vector))
+    every = by_bin.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).withColumn("use", F.lit(whole))
+    own = by_bin.where(F.col("n") >= least).withColumnRenamed(bin_col, "use")
+    sums = fixed(own.select("use", "i", "j", "n", "s", "q").unionByName(every))
+    named = nulls.select(vector, F.explode(F.array(F.col(bin_col), F.lit(whole))).alias("use"))
+    return fixed(shrunk(covariance(sums, ["use"], divisor=0), shrinkage(named, sums, ["use"], vector), ["use"], ridge))
 
 
 def square(part: pd.DataFrame) -> np.ndarray:

@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, so that every reader sees the same doubles and ties.
-
-    The folder is that of ``spark.checkpoint.dir``; only a session on one machine may go without one.
-    """
-    context = df.sparkSession.sparkContext
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not base and not context.master.startswith("local"):
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of ``spark.checkpoint.dir``; only one machine may go without one."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
+        base = tempfile.mkdtemp(prefix="spark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return base
+
+
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, for tables that a query writes and reads again."""
+    return f"{shared(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, so that every reader sees the same doubles and ties."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -26,24 +26,38 @@ def chi2_tail(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, strata: list[str]) -> DataFrame:
-    """U of the rows where ``group`` is true, with mid-ranks, tie-corrected z and a 0.5 continuity step."""
-    r = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).withColumn("_r", mid_rank(value, strata))
-    ties = r.groupBy(*strata, value).agg(F.count("*").cast("double").alias("t")).groupBy(*strata).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    s = r.groupBy(*strata).agg(F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.sum(F.when(F.col(group), F.col("_r"))).alias("_s"))
-    s = s.join(ties, strata) if strata else s.join(F.broadcast(ties))
-    n = F.col("n1") + F.col("n2")
-    u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2
-    mean = F.col("n1") * F.col("n2") / 2
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
-    return s.select(*strata, "n1", "n2", u.alias("u"), F.when(sd > 0, (u - mean - 0.5) / sd).alias("z"))
+def mann_whitney(df: DataFrame, value: str, group: str, strata: list[str], weight: str | None = None) -> DataFrame:
+    """U of the rows where ``group`` is true, with mid-ranks, tie-corrected z and a 0.5 continuity step.
+
+    ``z`` is that of the alternative "greater"; ``p_greater, p_less, p_two`` are the normal tails of all three. A row
+    counts ``weight`` times. Values are counted before anything is ranked, so a row per stratum and value is all that
+    is joined and no window holds a stratum.
+    """
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*strata, value, group, w.alias("_w"))
+    t = cumulated(known, value, strata, {"_a": F.when(F.col(group), F.col("_w")).otherwise(0), "_b": F.when(F.col(group), 0).otherwise(F.col("_w"))})
+    n = (F.col("_a") + F.col("_b")).cast("double")
+    s = t.groupBy(*strata).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * (F.col("_b_before") + F.col("_b") / 2.0)).alias("u"), F.sum(n * n * n - n).alias("ties"))
+    n1, n2, u = F.col("n1"), F.col("n2"), F.col("u")
+    whole = n1 + n2
+    mean = n1 * n2 / 2
+    sd = F.sqrt(n1 * n2 / 12 * (whole + 1 - F.coalesce(F.try_divide(F.col("ties"), whole * (whole - 1)), F.lit(0.0))))
+    out = s.select(*strata, "n1", "n2", "u", F.when(sd > 0, (u - mean - 0.5) / sd).alias("z"), F.when(sd > 0, (mean - u - 0.5) / sd).alias("_less"))
+    return out.select(*strata, "n1", "n2", "u", "z", normal_tail(F.col("z")).alias("p_greater"), normal_tail(F.col("_less")).alias("p_less"), F.least(2 * normal_tail(F.greatest("z", "_less")), F.lit(1.0)).alias("p_two"))
+
+
+def mid_ranked(df: DataFrame, value: str, strata: list[str], name: str) -> DataFrame:
+    """Adds the average rank among equals, from 1, from counted values; null where ``value`` is. ``df`` is settled."""
+    t = cumulated(df, value, strata, {"_n": F.lit(1)})
+    return df.join(t.select(*strata, value, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name)), [*strata, value], "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, strata: list[str], given: str | None = None) -> DataFrame:
-    """Rank correlation, partial for a covariate if one is given."""
+    """Rank correlation, partial for a covariate if one is given. Rows that lack a value take no part."""
     names = [x, y] + ([given] if given else [])
+    df = fixed(df.select(*strata, *names).dropna(subset=names))
     for c in names:
-        df = df.withColumn(f"_{c}", mid_rank(c, strata))
+        df = mid_ranked(df, c, strata, f"_{c}")
     r = lambda a, b: F.corr(f"_{a}", f"_{b}")
     aggs = [r(x, y).alias("rho")]
     if given:
@@ -79,6 +93,37 @@ def hypergeometric_tail(df: DataFrame, total: str, marked: str, drawn: str, seen
     return df.withColumn(name, F.least(F.aggregate("_steps", state, more)["total"], F.lit(1.0))).drop("_first", "_steps")
 
 
+def fisher_two_sided(df: DataFrame, a: str, b: str, c: str, d: str, name: str = "p", slack: float = 1e-7) -> DataFrame:
+    """Adds the odds ratio ``odds`` and the two-sided exact p-value of tables ``[[a, b], [c, d]]``.
+
+    All tables with the same margins that are no likelier than the seen one count (up to ``slack``, relatively).
+    Their probabilities come from the seen one's, whose logarithm is exact, by ratios up and down from it, so no term
+    overflows and tables far less likely add nothing. ``odds`` is infinite where b or c is 0, null for 0 / 0.
+    """
+    x = F.col(a).cast("double")
+    m, k = x + F.col(b), x + F.col(c)
+    n = m + F.col(c) + F.col(d)
+    low, high = F.greatest(k + m - n, F.lit(0.0)), F.least(m, k)
+    lf = log_factorial
+    seen = lf(m) - lf(x) - lf(m - x) + lf(n - m) - lf(k - x) - lf(n - m - k + x) - lf(n) + lf(k) + lf(n - k)
+    none = F.array().cast("array<int>")
+    up = F.when(x < high, F.sequence(x.cast("int"), high.cast("int") - 1)).otherwise(none)
+    down = F.when(x > low, F.sequence(x.cast("int"), low.cast("int") + 1, F.lit(-1))).otherwise(none)
+    zero = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("total"))
+
+    def step(s: Column, ratio: Column) -> Column:
+        at = s["log"] + F.log(ratio)
+        return F.struct(at.alias("log"), (s["total"] + F.when(at <= slack, F.exp(at)).otherwise(0.0)).alias("total"))
+
+    rising = F.aggregate("_up", zero, lambda s, j: step(s, (m - j) * (k - j) / ((j + 1) * (n - m - k + j + 1))))
+    falling = F.aggregate("_down", zero, lambda s, j: step(s, j * (n - m - k + j) / ((m - j + 1) * (k - j + 1))))
+    df = df.withColumn("_up", up).withColumn("_down", down)
+    p = F.least(F.exp(seen) * (1 + rising["total"] + falling["total"]), F.lit(1.0))
+    cross = F.col(b).cast("double") * F.col(c)
+    odds = F.when(cross > 0, x * F.col(d) / cross).when(x * F.col(d) > 0, F.lit(float("inf")))
+    return df.withColumn("odds", odds).withColumn(name, p).drop("_up", "_down")
+
+
 def empirical_p(df: DataFrame, score: str, is_null: str, strata: list[str]) -> DataFrame:
     """``(1 + null scores >= s) / (1 + null scores)`` for rows outside the null, null where there is none."""
     df = fixed(df)
@@ -91,11 +136,12 @@ def empirical_p(df: DataFrame, score: str, is_null: str, strata: list[str]) -> D
 
 
 def kolmogorov_smirnov(df: DataFrame, value: str, group: str, strata: list[str]) -> DataFrame:
-    """Largest gap between the two groups' cumulative shares."""
-    upto = Window.partitionBy(*strata).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*strata)
-    share = lambda c: F.try_divide(F.count_if(c).over(upto), F.count_if(c).over(whole))
-    return df.withColumn("_d", F.abs(share(F.col(group)) - share(~F.col(group)))).groupBy(*strata).agg(F.max("_d").alias("d"))
+    """Largest gap between the two groups' cumulative shares, from counted values."""
+    t = cumulated(df.where(F.col(group).isNotNull()), value, strata, {"_a": F.when(F.col(group), 1).otherwise(0), "_b": F.when(F.col(group), 0).otherwise(1)})
+    whole = t.groupBy(*strata).agg(F.sum("_a").alias("_m"), F.sum("_b").alias("_k"))
+    t = t.join(whole, strata) if strata else t.join(F.broadcast(whole))
+    share = lambda c, n: F.try_divide(F.col(f"{c}_before") + F.col(c), F.col(n))
+    return t.groupBy(*strata).agg(F.max(F.abs(share("_a", "_m") - share("_b", "_k"))).alias("d"))
 
 
 def signed_rank(df: DataFrame, a: str, b: str, strata: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,38 +74,6 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.pair_metrics(p, ["pair", "hash", "meta_gene", "meta_bin"]), ["pair", "hash", "meta_gene", "meta_bin"])
 
 
-def spectra(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``dim, dims95, dims99, condition, entropy, mean_partial, sparse`` of each key's covariance cells.
-
-    A key's d x d matrix goes to one task: eigenvalues give the dimensions that hold 95 and 99 per cent, the
-    condition number and the spectral entropy, its inverse the partial correlations (mean size, share under 0.1).
-    """
-    types = dict(cells.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", dim long, dims95 long, dims99 long, condition double, entropy double, mean_partial double, sparse double"
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        d = int(part["i"].max()) + 1
-        m = np.zeros((d, d))
-        m[part["i"], part["j"]] = part["value"]
-        e = np.linalg.eigvalsh(m)[::-1].clip(0)
-        share = np.cumsum(e) / e.sum()
-        p = e[e > 0] / e.sum()
-        inverse = np.linalg.inv(m)
-        scale = np.sqrt(np.diag(inverse))
-        partial = np.abs(inverse / np.outer(scale, scale))[np.triu_indices(d, 1)]
-        row = (*key, d, int((share < 0.95).sum()) + 1, int((share < 0.99).sum()) + 1, e[0] / e[-1] if e[-1] else None, float(-(p * np.log(p)).sum()), float(partial.mean()), float((partial < 0.1).mean()))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return cells.groupBy(*keys).applyInPandas(one, schema)
-
-
-@query()
-def covariance_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effective dimensions and partial correlations of null and signal residuals."""
-    c = calibration.covariance(calibration.gram(residuals(spark, sf_dir), ["is_null"], "residual"), ["is_null"], ridge=1e-3)
-    return spectra(c, ["is_null"])
-
-
 def null_axes(r: DataFrame, k: int) -> DataFrame:
     c = calibration.covariance(calibration.gram(r, ["is_null"], "residual"), ["is_null"])
     return subspaces.components(c, ["is_null"], k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, geometry, ranking
+from ..operators import calibration, geometry, ranking, spectra
 from ..operators.lineage import fixed
 from .standins import PAIRS, pairs, r6, scored, store, table
 
@@ -116,8 +116,10 @@ def null_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diagonal_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = residuals(spark, sf_dir)
     cells = calibration.covariance(calibration.gram(r.where("is_null"), ["model"], "residual"), ["model"], ridge=1e-3).where("i = j")
-    m = calibration.inverses(cells, ["model"])
-    return rounded(calibration.mahalanobis(r, ["model"], m, {"epi_mahal": "residual"}, ["pair"]), ["pair"])
+    # As many numbers as the vectors have.
+    held = cells.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("_var"))
+    d = r.join(F.broadcast(held), "model").withColumn("epi_mahal", F.sqrt(F.aggregate(F.zip_with("residual", "_var", lambda x, v: x * x / v), F.lit(0.0), lambda s, x: s + x)))
+    return rounded(d.select("pair", "epi_mahal"), ["pair"])
 
 
 @query(f"""WITH {RESIDUALS}, k AS (SELECT i, avg(x) AS m FROM r GROUP BY i), c AS (SELECT pair, r.i, x - m AS x FROM r JOIN k USING (i)), n AS (SELECT count(DISTINCT pair) AS n, max(i) + 1 AS dim FROM c),
@@ -137,22 +139,18 @@ def mahalanobis_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     r = residuals(spark, sf_dir)
     vectors = {"epi_mahal": "residual", "mahal_obs": "obs", "mahal_add": "add"}
-
-    def fitted(nulls: DataFrame, key: str) -> dict:
-        g = calibration.gram(nulls, [key], "residual")
-        cells = calibration.covariance(g, [key], divisor=0)
-        return calibration.inverses(calibration.shrunk(cells, calibration.shrinkage(nulls, g, [key], "residual"), [key], 1e-6), [key])
-
-    nulls = r.where("is_null")
-    many = nulls.groupBy("bin").agg(F.count("*").alias("n")).where("n >= 20").select("bin")
-    whole = calibration.mahalanobis(r, ["model"], fitted(nulls, "model"), {f"global_{k}": v for k, v in vectors.items()}, ["pair"])
-    binned = r.join(F.broadcast(many.withColumn("own", F.lit(True))), "bin", "left").withColumn("use", F.coalesce(F.when(F.col("own"), F.col("bin")), F.lit(-1)))
-    m = fitted(nulls.join(many, "bin"), "bin") | {(-1,): fitted(nulls, "model")[("m",)]}
-    part = calibration.mahalanobis(binned, ["use"], m, {f"binned_{k}": v for k, v in vectors.items()}, ["pair", "bin"])
+    cells = calibration.binned_fits(r.where("is_null"), "residual", "bin", 20, 1e-6)
+    own = F.broadcast(cells.select(F.col("use").alias("bin")).distinct().withColumn("own", F.col("bin")))
+    # A row a pair and kind of calibration; both go through the same inverses.
+    both = r.join(own, "bin", "left").select("pair", "bin", *vectors.values(), F.explode(F.create_map(F.lit("global"), F.lit(-1), F.lit("binned"), F.coalesce("own", F.lit(-1)))).alias("kind", "use"))
+    blocks = spectra.inverse(spectra.in_blocks(cells, ["use"]), ["use"])
+    long = spectra.distances(both, ["use"], blocks, vectors, ["pair", "bin", "kind"])
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}")
+    out = long.groupBy("pair", "bin").agg(*[of(k, c) for k in ("global", "binned") for c in vectors])
     eps = 1e-20
-    out = whole.join(part, "pair")
     for kind in ("global", "binned"):
-        out = out.withColumn(f"{kind}_log_mahal_ratio", F.log((F.col(f"{kind}_mahal_obs") + eps) / (F.col(f"{kind}_mahal_add") + eps)))
+        obs, add = F.col(f"{kind}_mahal_obs"), F.col(f"{kind}_mahal_add")
+        out = out.withColumn(f"{kind}_mahal_ratio", obs / (add + eps)).withColumn(f"{kind}_log_mahal_ratio", F.log((obs + eps) / (add + eps)))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.bands import band_join, interval_join, near_join
+from ..operators.bands import band_join, combinations, interval_join, near_join
 from ..operators.ranking import first_per_key
 from ..operators.statistics import hypergeometric_tail
 from .standins import CALLS, calls, r6, table
@@ -182,12 +182,11 @@ def lift_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("chrom", "pos", F.when(F.col("rev"), F.col("shift") + F.col("e") - 1 - (F.col("pos") - F.col("s"))).otherwise(F.col("pos") + F.col("shift")).alias("lifted"))
 
 
-@query(f"WITH {CALLS}, v AS (SELECT DISTINCT gene, pos FROM calls), n AS (SELECT gene, count(*) AS k FROM v GROUP BY gene) SELECT a.gene, a.pos AS pos1, b.pos AS pos2, k = 2 AS unambiguous FROM v a JOIN v b ON a.gene = b.gene AND a.pos < b.pos AND b.pos - a.pos <= 50 JOIN n ON n.gene = a.gene")
+@query(f"WITH {CALLS}, v AS (SELECT DISTINCT gene, chrom, pos FROM calls), n AS (SELECT gene, chrom, count(*) AS k FROM v GROUP BY ALL) SELECT a.gene, a.chrom, a.pos AS pos1, b.pos AS pos2, b.pos - a.pos AS distance, k = 2 AS unambiguous FROM v a JOIN v b ON a.gene = b.gene AND a.chrom = b.chrom AND a.pos < b.pos JOIN n ON n.gene = a.gene AND n.chrom = a.chrom")
 def group_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs within a group at a bounded distance, marked where the group has but two members."""
-    v = calls(spark, sf_dir).select("gene", "pos").distinct()
-    v = v.withColumn("unambiguous", F.count("*").over(Window.partitionBy("gene")) == 2)
-    return band_join(v.withColumnRenamed("pos", "pos1"), v.select("gene", F.col("pos").alias("pos2")), ["gene"], "pos1", "pos2", 50).select("gene", "pos1", "pos2", "unambiguous")
+    """All pairs within a group, here a gene on a chromosome, marked where the group has but two members."""
+    v = calls(spark, sf_dir).select("gene", "chrom", "pos").distinct()
+    return combinations(v, ["gene", "chrom"], "pos").select("gene", "chrom", "pos1", "pos2", (F.col("pos2") - F.col("pos1")).alias("distance"), "unambiguous")
 
 
 @query(f"WITH {CALLS}, v AS (SELECT DISTINCT chrom, gene, pos FROM calls) SELECT a.chrom, a.gene AS gene1, b.gene AS gene2, count(*) AS n FROM v a JOIN v b ON a.chrom = b.chrom AND a.gene < b.gene AND b.pos - a.pos BETWEEN 0 AND 20 GROUP BY 1, 2, 3")

@@ -7,6 +7,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Separators that are told apart, the commonest first.
+SEPARATORS = ("\t", ",", ";", "|", " ")
+
+
+def separators(spark: SparkSession, path: str) -> DataFrame:
+    """``file, header, sep``: the first line of each file under ``path``, and what it is cut by.
+
+    The separator that the header holds most often counts, the earlier of equals; a header without any is one column.
+    Only first lines are gathered, one a file, from the files' first splits; gzipped files are read as they are.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value").where("_at = 0 and value <> ''")
+    heads = lines.withColumn("_id", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "_id").alias("header"))
+    often = F.array(*[F.struct((F.length("header") - F.length(F.replace("header", F.lit(x)))).alias("n"), F.lit(-k).alias("first"), F.lit(x).alias("sep")) for k, x in enumerate(SEPARATORS)])
+    return heads.select("file", "header", F.array_max(often)["sep"].alias("sep"))
+
+
+def read_sniffed(spark: SparkSession, path: str, id_col: str, schema: StructType | str) -> DataFrame:
+    """Delimited files under ``path``, each with a header and a separator of its own, as the columns of ``schema`` in order.
+
+    Files are read once per separator found, of which there are five at most. Columns are found by name, so files may
+    have them in any order, lack some (null) or have more; a file without ``id_col`` is an error.
+    """
+    want = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    found = separators(spark, path)
+    kinds = found.groupBy("header", "sep").agg(F.collect_list("file").alias("files")).collect()
+    parts = []
+    for sep in {r["sep"] for r in kinds}:
+        # Files of one header are read together: a reader takes one header for all its files.
+        for r in [r for r in kinds if r["sep"] == sep]:
+            names = [c.strip().strip('"') for c in r["header"].split(sep)]
+            if id_col not in names:
+                raise ValueError(f"no column {id_col!r} in {r['files'][0]}")
+            raw = spark.read.option("header", True).option("sep", sep).schema(", ".join(f"`{c}` string" for c in names)).csv(r["files"])
+            parts.append(raw.select(*[(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in want.fields]))
+    return union_by_name(parts) if parts else spark.createDataFrame([], want)
+
+
 def read_pairs(spark: SparkSession, path: str, id_col: str, schema: StructType | str | None = None, sep: str = "\t") -> DataFrame:
     """A delimited pair table; gzipped files are read as they are. The id column must be there."""
     reader = spark.read.option("header", True).option("sep", sep)
@@ -22,14 +59,24 @@ def read_metrics(spark: SparkSession, path: str, sources: list[str], columns: li
 
 
 def read_by_chromosome(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A folder of files per chromosome; the chromosome comes from the file's name."""
-    return spark.read.schema(schema).option("header", True).csv(path).withColumn("chrom", F.regexp_extract(F.input_file_name(), r"chr([0-9XYM]+)[^/]*$", 1))
+    """A folder of files or folders per chromosome; the chromosome comes from the name of the file, or of its folder."""
+    return spark.read.schema(schema).option("header", True).csv(path).withColumn("chrom", F.regexp_extract(F.input_file_name(), r"chr([0-9XYM]+)[^/]*(?:/[^/]*)?$", 1))
 
 
 def write_by_source(df: DataFrame, path: str) -> None:
     df.write.partitionBy("source").mode("overwrite").parquet(path)
 
 
+def write_combined(df: DataFrame, path: str, id_col: str, light: list[str]) -> None:
+    """Three tables under ``path``: a folder of TSV per source, all rows as one TSV table, and a light one of ids.
+
+    The light table has ``source``, ``id_col`` and the columns of ``light``.
+    """
+    df.write.partitionBy("source").mode("overwrite").option("header", True).option("sep", "\t").csv(f"{path}/by_source")
+    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("compression", "gzip").csv(f"{path}/combined")
+    df.select("source", id_col, *light).write.mode("overwrite").parquet(f"{path}/ids")
+
+
 def aligned(df: DataFrame, schema: StructType) -> DataFrame:
     """The columns of ``schema`` in order, nulls for what ``df`` lacks."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])

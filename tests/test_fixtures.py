@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duoscope.functions import identifiers as ids
-from duoscope.operators import bands, calibration, embedding, geometry, maps, ranking, statistics
+from duoscope.operators import bands, calibration, embedding, geometry, maps, ranking, spectra, statistics
 from duoscope.sources import tables
 
 
@@ -91,7 +91,7 @@ def test_few_rows_still_invert(spark):
     df = spark.createDataFrame([("m", [1.0, 2.0, 3.0, 4.0]), ("m", [2.0, 1.0, 0.0, 4.0]), ("m", [0.0, 1.0, 5.0, 2.0])], "k string, v array<double>")
     g = calibration.gram(df, ["k"], "v")
     cells = calibration.shrunk(calibration.covariance(g, ["k"], divisor=0), calibration.shrinkage(df, g, ["k"], "v"), ["k"], 1e-6)
-    assert calibration.inverses(cells, ["k"])[("m",)].shape == (4, 4)
+    assert spectra.inverse(spectra.in_blocks(cells, ["k"]), ["k"]).select("h", "w").collect() == [(4, 4)]
 
 
 def test_embedding_store(spark, tmp_path):
@@ -144,19 +144,6 @@ def test_brackets_and_letters(spark):
     assert {tuple(r) for r in bracket_pairs(df, ["id"], "s").collect()} == {(1, 0, 6), (1, 1, 5), (1, 3, 7), (2, 0, 2), (2, 1, 3)}
 
 
-def test_spectra_of_a_known_matrix(spark):
-    import numpy as np
-
-    from duoscope.plans.calibrated import spectra
-
-    m = np.array([[2.0, 0.5, 0.0], [0.5, 1.0, 0.2], [0.0, 0.2, 0.5]])
-    got = spectra(spark.createDataFrame([("a", i, j, float(m[i, j])) for i in range(3) for j in range(3)], "k string, i int, j int, value double"), ["k"]).first()
-    e, v = np.linalg.eigvalsh(m)[::-1], np.linalg.inv(m)
-    p = np.abs(v / np.sqrt(np.outer(np.diag(v), np.diag(v))))[np.triu_indices(3, 1)]
-    assert got.dim == 3 and got.dims95 == 3 and got.condition == pytest.approx(e[0] / e[-1])
-    assert got.mean_partial == pytest.approx(p.mean()) and got.entropy == pytest.approx(-(e / e.sum() * np.log(e / e.sum())).sum())
-
-
 def test_sheets_by_model(spark, tmp_path):
     from duoscope.sources.tables import write_sheets
 
