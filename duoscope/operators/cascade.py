@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .lineage import fixed
-from .statistics import log_rank_counted, mann_whitney, stratified_log_rank
+from .ranking import bh_fdr
+from .statistics import chi2_tail, log_rank_counted, mann_whitney, stratified_log_rank
 
 PAIR = ["gene", "pos1", "pos2"]
 CELL = ["tmb", "project", "duration"]
@@ -33,10 +34,15 @@ def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([tail(v, n) for v, n in zip(x, df, strict=True)], dtype="float64")
 
 
-def carried_pairs(positions: DataFrame, least: int) -> DataFrame:
-    """``gene, pos1, pos2`` with ``pos1 < pos2`` that ``least`` cases or more carry; ``positions`` has distinct ``gene, case_id, pos``."""
-    other = positions.select("gene", "case_id", F.col("pos").alias("pos2"))
-    both = positions.select("gene", "case_id", F.col("pos").alias("pos1")).join(other, ["gene", "case_id"]).where("pos1 < pos2")
+def carried_pairs(positions: DataFrame, least: int, most: int = 20) -> DataFrame:
+    """``gene, pos1, pos2`` with ``pos1 < pos2`` that ``least`` cases or more carry; ``positions`` has distinct ``gene, case_id, pos``.
+
+    Cases with more than ``most`` positions in a gene name no pairs of it, so a case gives 190 rows a gene at most.
+    """
+    few = positions.groupBy("gene", "case_id").agg(F.count("*").alias("_k")).where(F.col("_k").between(2, most))
+    held = positions.join(few.select("gene", "case_id"), ["gene", "case_id"])
+    other = held.select("gene", "case_id", F.col("pos").alias("pos2"))
+    both = held.select("gene", "case_id", F.col("pos").alias("pos1")).join(other, ["gene", "case_id"]).where("pos1 < pos2")
     return both.groupBy(*PAIR).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*PAIR)
 
 
@@ -85,10 +91,11 @@ def compared(rows: DataFrame, keys: list[str], least: int = 2, controls: int = 3
     return sizes.join(log_rank_counted(rows, keys), keys)
 
 
-def pair_tests(rows: DataFrame) -> DataFrame:
+def pair_tests(rows: DataFrame, values: bool = False) -> DataFrame:
     """Over all projects and within each: carriers against controls of level 1, with direction and most frequent projects.
 
-    ``rows``: what ``cohorts`` gives. ``top`` has a pair's three projects with the most carriers, ties by name.
+    ``rows``: what ``cohorts`` gives. ``top`` has a pair's three projects with the most carriers, ties by name. With
+    ``values`` each test has its ``p``, and ``q`` among the tests of its project (or of all projects together).
     """
     one = rows.where("level = 1")
     every = compared(one, PAIR).withColumn("project", F.lit("ALL"))
@@ -99,7 +106,8 @@ def pair_tests(rows: DataFrame) -> DataFrame:
     often = often.agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "project"))), 1, 3).alias("t"))
     named = often.select(*PAIR, F.array_join(F.transform("t", lambda x: F.concat(x["project"], F.lit("("), (-x["k"]).cast("string"), F.lit(")"))), "; ").alias("top"))
     out = both.join(named, PAIR).withColumn("top", F.when(F.col("project") == "ALL", F.col("top")).otherwise(F.col("project")))
-    return out.withColumn("direction", F.when(F.col("target_median") < F.col("control_median"), "worse").otherwise("better"))
+    out = out.withColumn("direction", F.when(F.col("target_median") < F.col("control_median"), "worse").otherwise("better"))
+    return bh_fdr(out.withColumn("p", chi2_tail(F.col("chi2"))), "p", ["project"], PAIR) if values else out
 
 
 def cascade(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -113,8 +121,8 @@ def cascade(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
     out = level(0).where("chi2_0 is not null").join(level(1), PAIR, "left").join(level(2), PAIR, "left")
     two = rows.where("level = 2")
     strata = stratified_log_rank(log_rank_counted(two, [*PAIR, "project"]), PAIR).withColumnsRenamed({"chi2": "chi2_3", "df": "df_3"})
-    cases = two.select(*PAIR, (F.col("grp") == 1).alias("carries"), "tmb", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("_k"))
-    balance = mann_whitney(cases, "tmb", "carries", PAIR).where("n1 >= 2 and n2 >= 2").select(*PAIR, F.col("u").alias("tmb_u"))
+    cases = two.select(*PAIR, (F.col("grp") == 1).alias("carries"), "tmb", "c")
+    balance = mann_whitney(cases, "tmb", "carries", PAIR, "c").where("n1 >= 2 and n2 >= 2").select(*PAIR, F.col("u").alias("tmb_u"))
     out = out.join(strata, PAIR, "left").join(balance, PAIR, "left")
     tested = F.col("chi2_2").isNotNull()
     out = out.withColumn("chi2_3", F.when(tested, F.col("chi2_3"))).withColumn("df_3", F.when(tested, F.col("df_3")))

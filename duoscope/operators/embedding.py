@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a model's answer that are sent on at a time.
+SLICE = 1 << 16
 STORE = "id string, role string, dim int, embedding array<float>"
 
 
@@ -74,10 +76,12 @@ def long_results(df: DataFrame, load: Callable[[], Callable[[pd.Series], pd.Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for b in batches:
-            parts = [model(row).assign(**{c: row[c] for c in columns}) for _, row in b.iterrows()]
-            if parts:
-                out = pd.concat(parts, ignore_index=True)
-                yield out[[*columns, *[c for c in out.columns if c not in columns]]]
+            # A row's answer goes on as it is, cut where it is long: no batch's answers are held together.
+            for _, row in b.iterrows():
+                out = model(row).assign(**{c: row[c] for c in columns})
+                out = out[[*columns, *[c for c in out.columns if c not in columns]]]
+                for lo in range(0, len(out), SLICE):
+                    yield out.iloc[lo : lo + SLICE]
 
     return df.mapInPandas(run, schema)
 

@@ -124,6 +124,21 @@ def fisher_two_sided(df: DataFrame, a: str, b: str, c: str, d: str, name: str =
     return df.withColumn("odds", odds).withColumn(name, p).drop("_up", "_down")
 
 
+def tails(s: DataFrame, down: str, mine: str, key: str, shares: list[int]) -> DataFrame:
+    """``pct, n_top, a, b, c, d, odds, p``: rows of ``mine`` and others within and past the least values of ``down``."""
+    s = fixed(s)
+    t = cumulated(s, down, [], {"_m": F.col(mine).cast("long"), "_n": F.lit(1)})
+    whole = s.agg(F.count("*").alias("n"), F.count_if(mine).alias("m"))
+    cut = whole.withColumn("pct", F.explode(F.array(*[F.lit(x) for x in shares]))).withColumn("n_top", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("pct") / 100)).cast("long"))
+    # A row per share; all values meet these few.
+    at = t.join(F.broadcast(cut), (F.col("_n_before") < F.col("n_top")) & (F.col("_n_before") + F.col("_n") >= F.col("n_top")))
+    edge = s.join(F.broadcast(at.select("pct", F.col(down).alias("_v"), (F.col("n_top") - F.col("_n_before")).alias("_room"))), F.col(down) == F.col("_v"))
+    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy("pct").orderBy(key))).groupBy("pct").agg(F.count_if((F.col("_r") <= F.col("_room")) & F.col(mine)).alias("_part"))
+    four = at.join(F.broadcast(edge), "pct").withColumn("a", F.col("_m_before") + F.col("_part"))
+    four = four.select("pct", "n_top", "a", (F.col("n_top") - F.col("a")).alias("b"), (F.col("m") - F.col("a")).alias("c"), (F.col("n") - F.col("n_top") - F.col("m") + F.col("a")).alias("d"))
+    return fisher_two_sided(four, "a", "b", "c", "d")
+
+
 def empirical_p(df: DataFrame, score: str, is_null: str, strata: list[str]) -> DataFrame:
     """``(1 + null scores >= s) / (1 + null scores)`` for rows outside the null, null where there is none."""
     df = fixed(df)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import calibration, cascade, embedding, maps, subspaces
 from ..operators import statistics as st
 from .curation import sequences
+from .genome import LETTERS, LOWER, UPPER
 from .geometry import residuals
 from .standins import CALLS, CLINICAL, calls, clinical, scored, table
 from .statistics import LOGRANK
@@ -83,33 +84,50 @@ def coded(seq: Column) -> Column:
     return F.transform(F.split(F.concat(F.lit("N"), seq, F.lit("N")), ""), code)
 
 
-MOVES = """sq AS (SELECT doc_id AS id, substr(translate(md5(doc_id::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12) AS s FROM documents), po AS (SELECT unnest(range(0, 12))::INT AS pos), nu AS (SELECT unnest(['A', 'C', 'G', 'T']) AS alt),
-al AS (SELECT id, NULL AS pos_i, NULL AS alt, s FROM sq UNION ALL SELECT id, pos, alt, substr(s, 1, pos) || alt || substr(s, pos + 2) FROM sq, po, nu WHERE alt <> substr(s, pos + 1, 1)),
-co AS (SELECT *, [0] || list_transform(string_split(s, ''), lambda c: strpos('ACGT', c)) || [0] AS c FROM al), tk AS (SELECT id, pos_i, alt, c, list_sum(c)/14.0 AS m, unnest(range(1, 13)) AS t FROM co),
-ve AS (SELECT id, pos_i, alt, (t - 1)::INT AS pos_j, c[t + 1] AS x, (coalesce(c[t], 0) + coalesce(c[t + 2], 0))/2.0 AS y, m FROM tk), di AS (SELECT a.id, a.pos_i, a.pos_j, max(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.m - b.m, 2))) AS s FROM ve a JOIN ve b ON a.id = b.id AND a.pos_j = b.pos_j AND a.pos_i IS NOT NULL AND b.pos_i IS NULL WHERE a.pos_i <> a.pos_j GROUP BY ALL)"""
+def spelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the items' texts as a sequence of bases: ASCII letters become bases, everything else parts words."""
+    letters = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(letters, "[^a-z]+")).alias("k", "w")).where("w <> ''")
+    return words.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("k").cast("string")).alias("id"), (F.col("k") % 3).alias("lead"), F.translate("w", LOWER, LETTERS).alias("seq"))
 
 
-def moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokens of sequences of 12 bases, of all their single substitutions, and the offset of the first base's token."""
-    s = sequences(spark, sf_dir).select("id", F.substring("seq", 1, 12).alias("seq"))
-    changed = maps.single_substitutions(s, ["id", "seq"], "seq").withColumn("seq", maps.substituted(F.col("seq"), F.col("pos"), F.col("alt")))
+WORDS = f"ws AS (SELECT item_id, string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z]+') AS w FROM benchmark), wk AS (SELECT item_id, unnest(w) AS w, unnest(range(0, len(w))) AS k FROM ws), wo AS (SELECT item_id || ':' || k AS id, k % 3 AS lead, translate(w, '{LOWER}', '{LETTERS}') AS seq FROM wk WHERE w <> '')"
+
+
+def moved(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens of sequences ``id, seq``, of all their single substitutions, and the offset of the first base's token."""
+    changed = maps.single_substitutions(s.select("id", "seq"), ["id", "seq"], "seq").withColumn("seq", maps.substituted(F.col("seq"), F.col("pos"), F.col("alt")))
     mutant = tokens(changed.withColumnRenamed("pos", "pos_i"), ["id", "pos_i", "alt"], "seq")
-    first = s.withColumn("seq", F.concat(F.when(F.col("seq").startswith("C"), "A").otherwise("C"), F.substring("seq", 2, 11)))
-    whole = tokens(s, ["id"], "seq")
-    return whole, mutant, maps.token_offset(whole, tokens(first, ["id"], "seq"), ["id"], F.lit(12))
+    return tokens(s, ["id"], "seq"), mutant, first_base(s.withColumn("lead", F.lit(0)))
+
+
+def first_base(s: DataFrame) -> DataFrame:
+    """``id, offset``: the token that a change of the first base moves most, behind ``lead`` unknown bases and a first token."""
+    led = lambda seq: F.concat(F.repeat(F.lit("N"), F.col("lead").cast("int")), seq)
+    probe = F.concat(F.when(F.col("seq").startswith("C"), "A").otherwise("C"), F.substring("seq", F.lit(2), F.length("seq")))
+    whole = tokens(s.withColumn("seq", led(F.col("seq"))), ["id"], "seq")
+    # As many tokens must follow as the shortest sequence has bases.
+    return maps.token_offset(whole, tokens(s.withColumn("seq", led(probe)), ["id"], "seq"), ["id"], F.lit(1))
 
 
-@query("SELECT doc_id AS id, 1 AS \"offset\" FROM documents")
+@query(f"WITH {WORDS} SELECT id, (1 + lead)::INT AS \"offset\" FROM wo")
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token of the first base, behind the one that starts each sequence."""
-    return moved(spark, sf_dir)[2].select("id", F.col("offset").cast("int").alias("offset"))
+    """The token of the first base of each word, behind one that starts each sequence and up to two unknown bases."""
+    return first_base(spelled_words(spark, sf_dir)).select("id", F.col("offset").cast("int").alias("offset"))
 
 
-@query(f"WITH {MOVES} SELECT a.id, a.pos_i, a.pos_j, round(greatest(a.s, b.s), 6) AS score FROM di a JOIN di b ON a.id = b.id AND a.pos_i = b.pos_j AND a.pos_j = b.pos_i")
+@query(f"""WITH {WORDS}, ps AS (SELECT id, len(seq) AS n, substr(seq, p, 1) AS ref, (p - 1)::INT AS pos FROM (SELECT id, seq, unnest(range(1, len(seq) + 1)) AS p FROM wo)),
+mv AS (SELECT id, n, pos, max(abs(strpos('ACGT', alt) - strpos('ACGT', ref))) AS d FROM ps, (SELECT unnest(['A', 'C', 'G', 'T']) AS alt) WHERE ref <> 'N' AND alt <> ref GROUP BY ALL),
+di AS (SELECT mv.id, mv.pos AS pos_i, ps.pos AS pos_j, sqrt(power(CASE WHEN abs(mv.pos - ps.pos) = 1 THEN d/2.0 ELSE 0 END, 2) + power(d/(mv.n + 2.0), 2)) AS s FROM mv JOIN ps ON ps.id = mv.id AND ps.pos <> mv.pos)
+SELECT a.id, a.pos_i, a.pos_j, round(greatest(a.s, coalesce(b.s, a.s)), 6) AS score FROM di a LEFT JOIN di b ON a.id = b.id AND a.pos_i = b.pos_j AND a.pos_j = b.pos_i""")
 def perturbation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far tokens move under each mutation, the larger of both ways."""
-    whole, mutant, offsets = moved(spark, sf_dir)
-    out = maps.perturbation_map(whole, mutant, offsets.withColumn("length", F.lit(12)), ["id"])
+    """How far tokens of a word move under each mutation of its bases, the larger of both ways.
+
+    The SQL knows that a mutation moves a token by half its code next door and by its share of the mean elsewhere.
+    """
+    s = spelled_words(spark, sf_dir)
+    whole, mutant, offsets = moved(s)
+    out = maps.perturbation_map(whole, mutant, offsets.join(s.select("id", F.length("seq").alias("length")), "id"), ["id"])
     return out.select("id", "pos_i", "pos_j", F.round("score", 6).alias("score"))
 
 
@@ -137,7 +155,7 @@ def ridge_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MATCHED = f"""{CALLS}, {CLINICAL}, pl AS (SELECT DISTINCT gene, case_id, pos FROM calls), nm AS (SELECT gene, case_id, count(*) AS n FROM pl GROUP BY ALL), tm AS (SELECT case_id, count(*) AS tmb FROM calls GROUP BY case_id),
 pe AS (SELECT gene, case_id, n, tmb, duration, event, project FROM nm JOIN tm USING (case_id) JOIN clinical USING (case_id)),
-tg AS (SELECT a.gene, a.pos AS pos1, b.pos AS pos2, a.case_id FROM pl a JOIN pl b ON a.gene = b.gene AND a.case_id = b.case_id AND a.pos < b.pos QUALIFY count(*) OVER (PARTITION BY a.gene, a.pos, b.pos) >= 3), pr AS (SELECT DISTINCT gene, pos1, pos2 FROM tg),
+pf AS (SELECT * FROM pl QUALIFY count(*) OVER (PARTITION BY gene, case_id) <= 20), pr AS (SELECT a.gene, a.pos AS pos1, b.pos AS pos2 FROM pf a JOIN pf b ON a.gene = b.gene AND a.case_id = b.case_id AND a.pos < b.pos GROUP BY ALL HAVING count(*) >= 3), tg AS (SELECT pr.*, a.case_id FROM pr JOIN pl a ON a.gene = pr.gene AND a.pos = pos1 JOIN pl b ON b.gene = pr.gene AND b.pos = pos2 AND b.case_id = a.case_id),
 tn AS (SELECT gene, pos1, pos2, n, count(*) AS k FROM tg JOIN pe USING (gene, case_id) GROUP BY ALL), sz AS (SELECT gene, n, count(*) AS m FROM pe GROUP BY ALL), le AS (SELECT DISTINCT gene, pos1, pos2, unnest(CASE WHEN m - k < 3 THEN [n - 1, n, n + 1] ELSE [n] END) AS n FROM tn JOIN sz USING (gene, n)),
 c0 AS (SELECT DISTINCT pr.gene, pos1, pos2, pl.case_id FROM pr JOIN pl ON pl.gene = pr.gene AND (pl.pos = pos1 OR pl.pos = pos2) WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.gene = pr.gene AND tg.pos1 = pr.pos1 AND tg.pos2 = pr.pos2 AND tg.case_id = pl.case_id)),
 c1 AS (SELECT le.gene, pos1, pos2, case_id FROM le JOIN pe USING (gene, n) WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.gene = le.gene AND tg.pos1 = le.pos1 AND tg.pos2 = le.pos2 AND tg.case_id = pe.case_id)),
@@ -179,6 +197,12 @@ def survival_cascade_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.cascade(matched(spark, sf_dir))
 
 
+@query()
+def survival_by_pair_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next query's tests with p-values, and q-values within each project and over all."""
+    return cascade.pair_tests(matched(spark, sf_dir), True).select("gene", "pos1", "pos2", "project", "n_target", "n_control", "direction", "chi2", "p", "q")
+
+
 @query(f"""WITH {MATCHED}, co AS (SELECT gene, pos1, pos2, grp, duration, event, unnest(['ALL', project]) AS project FROM ev WHERE level = 1){LOGRANK.format(k='gene, pos1, pos2, project')},
 s AS (SELECT gene, pos1, pos2, project, sum(grp)::BIGINT AS n_target, (count(*) - sum(grp))::BIGINT AS n_control, quantile_cont(duration, 0.5) FILTER (grp = 1) AS a, quantile_cont(duration, 0.5) FILTER (grp = 0) AS b FROM co GROUP BY ALL HAVING sum(grp) >= 2 AND count(*) - sum(grp) >= 3),
 k AS (SELECT gene, pos1, pos2, project, count(*) AS k, row_number() OVER (PARTITION BY gene, pos1, pos2 ORDER BY count(*) DESC, project) AS r FROM ev WHERE level = 1 AND grp = 1 GROUP BY gene, pos1, pos2, project), tp AS (SELECT gene, pos1, pos2, string_agg(project || '(' || k || ')', '; ' ORDER BY r) AS top FROM k WHERE r <= 3 GROUP BY ALL)

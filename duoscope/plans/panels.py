@@ -221,13 +221,10 @@ def directional_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tail_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source among the highest tenth against the rest, as a table of four and its odds ratio.
 
-    The cut is the score of the tenth's last pair, so only counts are gathered.
+    Values are counted, the tenth ends at a value, and of the rows of that value the first by id fall in.
     """
-    s = scored(spark, sf_dir).select("pair", "epi_R_raw", (F.col("label") == 1).alias("mine"))
-    n = s.count() // 10
-    top = s.orderBy(F.desc("epi_R_raw"), "pair").limit(n).select("pair", F.lit(True).alias("top"))
-    k = s.join(top, "pair", "left").withColumn("top", F.coalesce("top", F.lit(False)))
-    c = k.agg(*[F.count_if((F.col("mine") == m) & (F.col("top") == t)).alias(x) for x, m, t in (("a", True, True), ("b", False, True), ("c", True, False), ("d", False, False))])
+    s = scored(spark, sf_dir).select("pair", (-F.col("epi_R_raw")).alias("down"), (F.col("label") == 1).alias("mine"))
+    c = st.tails(s, "down", "mine", "pair", [10]).select("a", "b", "c", "d")
     odds = (F.col("a") + 0.5) * (F.col("d") + 0.5) / ((F.col("b") + 0.5) * (F.col("c") + 0.5))
     return c.select("*", F.round(odds, 6).alias("odds"))
 
