@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import EPS, as_double, cosine_of, dot, minus, norm, plus
+from ..functions.vectors import EPS, as_double, cosine_distance, cosine_of, dot, minus, norm, plus
 
 ROLES = ("WT", "M1", "M2", "M12")
 
@@ -97,6 +97,34 @@ def single_coords(df: DataFrame, keys: list[str], wt: str = "WT", mut: str = "M1
     return df.select(*keys, length.alias("v_l2"), along.alias("v_par"), across.alias("v_perp"), at["rho"].alias("radius"), at["theta"].alias("angle"))
 
 
+def annotate_singles(df: DataFrame, keys: list[str], mut: str = "M1", prefix: str = "", axis: str | None = None, wt: str = "WT") -> DataFrame:
+    """``keys`` and all coordinates of single variants, their names led by ``prefix``; null unless both vectors (and the axis) are there.
+
+    ``v_l2, v_diff`` (cosine distance of mutant and wild type), ``v_par, v_perp`` along and across the effect's own or a
+    given ``axis``, the point ``x, y`` of that in units of the length, ``radius, angle, angle_over_pi``.
+    """
+    whole = F.col(wt).isNotNull() & F.col(mut).isNotNull() & (F.size(wt) == F.size(mut))
+    whole = whole & F.col(axis).isNotNull() & (F.size(axis) == F.size(mut)) if axis else whole
+    part = df.withColumn("_whole", F.coalesce(whole, F.lit(False)))
+    part = part.withColumn("_wt", F.when(F.col("_whole"), as_double(F.col(wt)))).withColumn("_mut", F.when(F.col("_whole"), as_double(F.col(mut))))
+    part = part.withColumn("_axis", F.when(F.col("_whole"), as_double(F.col(axis))) if axis else minus(F.col("_mut"), F.col("_wt")))
+    v = minus(F.col("_mut"), F.col("_wt"))
+    part = part.withColumn("_v", v).withColumn("_l", norm(F.col("_v"))).withColumn("_n", norm(F.col("_axis")))
+    along = F.when(F.col("_n") > EPS, dot(F.col("_v"), F.col("_axis")) / F.col("_n")).otherwise(F.when(F.col("_whole"), 0.0))
+    part = part.withColumn("_par", along).withColumn("_perp", F.when(F.col("_whole"), F.sqrt(F.greatest(F.col("_l") * F.col("_l") - F.col("_par") * F.col("_par"), F.lit(0.0)))))
+    scale = F.when(F.col("_whole"), F.greatest(F.col("_l"), F.lit(EPS)))
+    at = polar(F.col("_par") / scale, F.col("_perp") / scale)
+    names = {"v_l2": F.col("_l"), "v_diff": cosine_distance(F.col("_mut"), F.col("_wt")), "v_par": F.col("_par"), "v_perp": F.col("_perp"), "x": at["x_obs"], "y": at["y_obs"], "radius": at["rho"], "angle": at["theta"], "angle_over_pi": at["theta_over_pi"]}
+    return part.select(*keys, *[F.when(F.col("_whole"), c).alias(prefix + n) for n, c in names.items()])
+
+
+def feature_columns(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, all pair metrics, and the norms of the effect vectors."""
+    m = pair_metrics(pairs, keys)
+    names = {"norm_delta_a": "len_WT_M1", "norm_delta_b": "len_WT_M2", "norm_delta_add": "len_WT_M12_exp", "norm_delta_obs": "len_WT_M12", "norm_residual": "epi_R_raw"}
+    return m.withColumns({n: F.col(c) for n, c in names.items()})
+
+
 def sanity(pairs: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
     """Per pair: whether metrics ignore the order of the singles, and an additive double leaves no residual."""
     m = pair_metrics(pairs, keys)

@@ -130,3 +130,24 @@ def best_of_alleles(scores: DataFrame, keys: list[str], i: str, j: str, value: s
     """Position map of the largest value over allele combinations, mirrored."""
     m = scores.groupBy(*keys, F.col(i).alias("pos_i"), F.col(j).alias("pos_j")).agg(F.max(value).alias("score"))
     return m.unionByName(m.select(*keys, F.col("pos_j").alias("pos_i"), F.col("pos_i").alias("pos_j"), "score"))
+
+
+def pair_windows(df: DataFrame, keys: list[str], pad: int, most: int, context: int) -> DataFrame:
+    """``keys, part, lo, hi, pos, is_site``: windows around places ``pos1, pos2`` of sequences of ``length``, and their places.
+
+    A window goes ``pad`` beyond both places and is cut at the sequence's ends. If it has more than ``context`` bases, each
+    place has a window of its own instead, half of ``context`` to either side. Within a window (``lo`` to ``hi``, outside)
+    every ``step``-th place is looked at, ``step`` being its length by ``most``, rounded down, 1 at least, and the places
+    themselves always; ``pos`` counts from the window's first base. ``part`` is ``pair``, ``first`` or ``second``.
+    """
+    a, b, n = F.least("pos1", "pos2"), F.greatest("pos1", "pos2"), F.col("length")
+    lo, hi = F.greatest(F.lit(0), a - pad), F.least(n, b + pad + 1)
+    of = lambda part, lo, hi, sites: F.struct(F.lit(part).alias("part"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.transform(sites, lambda x: x.cast("int")).alias("sites"))
+    half = context // 2
+    alone = lambda part, p: of(part, F.greatest(F.lit(0), F.col(p) - half), F.least(n, F.col(p) + half), F.array(p))
+    parts = F.when(hi - lo <= context, F.array(of("pair", lo, hi, F.array("pos1", "pos2")))).otherwise(F.array(alone("first", "pos1"), alone("second", "pos2")))
+    w = df.select(*keys, F.explode(parts).alias("_w")).select(*keys, "_w.*")
+    step = F.greatest(F.lit(1), F.floor((F.col("hi") - F.col("lo")) / most).cast("int"))
+    w = w.withColumn("_s", F.transform("sites", lambda x: x - F.col("lo")))
+    grid = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("hi") - F.col("lo") - 1, step), F.col("_s")))
+    return w.select(*keys, "part", "lo", "hi", "_s", F.explode(grid).alias("pos")).withColumn("is_site", F.array_contains("_s", F.col("pos"))).drop("_s")

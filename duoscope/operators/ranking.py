@@ -122,3 +122,26 @@ def distance_normalise(cells: DataFrame, i: str, j: str, score: str, keys: list[
     """Score less the mean of its diagonal; the main diagonal 0."""
     mean = F.avg(score).over(Window.partitionBy(*keys, F.abs(F.col(i) - F.col(j))))
     return cells.withColumn("normalised", F.when(F.col(i) == F.col(j), 0.0).otherwise(F.col(score) - mean))
+
+
+def selected(df: DataFrame, count: str, share: str, least: int, most: int, bound: float) -> DataFrame:
+    """Rows whose ``count`` lies from ``least`` to ``most`` and whose ``share`` is ``bound`` or more, highest shares first."""
+    return df.where(F.col(count).between(least, most) & (F.col(share) >= bound)).orderBy(F.desc(share), F.desc(count))
+
+
+def annotation(calls: DataFrame, keys: list[str], cls: str, protein: str, order: list[str], width: int = 20) -> DataFrame:
+    """``keys, class, protein, ref, alt, chrom``: commonest class and protein change, the rest from the first row by ``order``.
+
+    The lowest of equally common ones counts; a protein change is cut to ``width``; ``?`` where there is none.
+    """
+    first = F.min(F.struct(*order, "ref", "alt", "chrom")).alias("_f")
+    g = calls.groupBy(*keys).agg(F.mode(cls, True).alias("_c"), F.mode(protein, True).alias("_p"), first)
+    return g.select(*keys, F.coalesce("_c", F.lit("?")).alias("class"), F.coalesce(F.substring("_p", 1, width), F.lit("?")).alias("protein"), "_f.ref", "_f.alt", F.regexp_replace("_f.chrom", "^chr", "").alias("chrom"))
+
+
+def best_of_two(df: DataFrame, keys: list[str], a: tuple[str, str, str], b: tuple[str, str, str]) -> DataFrame:
+    """``keys, best_r, best_p, metric`` of the larger of two statistics ``(name, r, p)``; the first wins ties, a null or NaN never."""
+    r = [F.nanvl(F.col(x[1]), F.lit(None).cast("double")) for x in (a, b)]
+    one = r[1].isNull() | (r[0].isNotNull() & (r[0] >= r[1]))
+    pick = lambda x, y: F.when(one, x).otherwise(y)
+    return df.select(*keys, pick(r[0], r[1]).alias("best_r"), pick(F.col(a[2]), F.col(b[2])).alias("best_p"), pick(F.lit(a[0]), F.lit(b[0])).alias("metric"))

@@ -279,3 +279,13 @@ def cox(cohort: DataFrame, features: list[str], steps: int = 25, enough: float =
     found = [(c, float(b), float(e), float(b / e) if e > 0 else None) for c, b, e in zip(features, beta, error, strict=True)]
     t = rows.sparkSession.createDataFrame(found, "feature string, coefficient double, error double, z double")
     return t.withColumn("p", 2 * normal_tail(F.abs("z")))
+
+
+def follow_up(cases: DataFrame, times: list[str], death: str, least: float = 0.0, years: bool = True) -> DataFrame:
+    """Adds ``duration``, the last of ``times`` (days, absent ones passed over), and ``event``, whether ``death`` is 0 or more.
+
+    In years of 365 days unless told otherwise; cases under ``least``, or without any time, are left out.
+    """
+    last = F.greatest(*times) if len(times) > 1 else F.col(times[0])
+    out = cases.withColumn("duration", last / 365.0 if years else last.cast("double"))
+    return out.withColumn("event", F.coalesce(F.col(death) >= 0, F.lit(False)).cast("int")).where(F.col("duration") >= least)
