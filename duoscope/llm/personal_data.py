@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -123,31 +124,117 @@ def digits_of(r: np.random.Generator, n: int) -> str:
     return "".join(r.choice(list("0123456789"), n))
 
 
+def word_of(r: np.random.Generator, low: int = 2, high: int = 9) -> str:
+    return "".join(r.choice(list("abcdefghijklmnoprstuvwz"), int(r.integers(low, high))))
+
+
 def name_of(r: np.random.Generator) -> str:
-    return "".join(r.choice(list("abcdefghilmnoprstuv"), int(r.integers(3, 9))))
+    """The name before an @: one to three parts with dots, dashes, capitals or figures."""
+    parts = [word_of(r, 1 if k else 2, 9) for k in range(int(r.integers(1, 4)))]
+    if r.random() < 0.4:
+        parts = [x.capitalize() for x in parts]
+    return ["", ".", "_", "-"][int(r.integers(1, 4))].join(parts) + (digits_of(r, int(r.integers(1, 4))) if r.random() < 0.3 else "")
+
+
+def host_of(r: np.random.Generator) -> tuple[str, str]:
+    return "-".join(word_of(r, 3, 9) for _ in range(int(r.integers(1, 3)))), ["com", "org", "net", "de", "fr", "es", "io", "edu", "co", word_of(r, 2, 4)][int(r.integers(10))]
+
+
+def card_of(r: np.random.Generator) -> list[str]:
+    """Four groups of digits that pass the Luhn rule together."""
+    while True:
+        d = digits_of(r, 15)
+        for c in "0123456789":
+            if luhn(d + c):
+                return [(d + c)[k : k + 4] for k in range(0, 16, 4)]
+
+
+def six(r: np.random.Generator) -> str:
+    """An address of version 6, whole or with a run of zeros left out."""
+    words = [f"{r.integers(1, 65536):x}" for _ in range(8)]
+    if r.random() < 0.4:
+        return ":".join(words)
+    k = int(r.integers(1, 5))
+    return ":".join(words[:k]) + "::" + ":".join(words[k : int(r.integers(k + 1, 8))])
 
 
 def missed(r: np.random.Generator) -> tuple[str, str]:
-    """``(kind, text)`` of a form that the fixed patterns miss: spaced, spelled out, mistyped or in another notation."""
+    """``(kind, text)`` of personal data that the fixed patterns miss: spaced, spelled out, or in another notation."""
     d = lambda n: digits_of(r, n)
+    pick = lambda *x: x[int(r.integers(len(x)))]
     kind = KINDS[int(r.integers(4))]
     if kind == "phone":
-        return kind, [f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)}/{d(6)}", f"({d(3)}) {d(7)}"][int(r.integers(6))]
+        n = lambda k: str(r.integers(1, 10)) + d(k - 1)
+        return kind, pick(f"({d(3)}) {d(3)}-{d(4)}", f"{n(3)}-{d(3)}-{d(4)}", f"{n(3)}-{d(3)}-{d(4)}", f"{n(3)}-{d(3)}-{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"{n(3)}.{d(3)}.{d(4)}", f"0{d(3)}/{d(6)}", f"0{d(2)}/{d(8)}", f"({d(3)}) {d(7)}", f"{n(3)} {d(3)} {d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"0{d(3)}-{d(4)}-{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"(0{d(2)}) {d(4)} {d(4)}")
     if kind == "card":
-        quad = [d(4) for _ in range(4)]
-        return kind, ["".join(quad), " ".join(quad), "-".join(quad), ".".join(quad), "/".join(quad), "".join(quad)][int(r.integers(6))]
+        return kind, pick(".", "/", "_", "  ", " - ", "--").join(card_of(r))
     if kind == "ip":
-        part = lambda: str(r.integers(256))
-        word = lambda: f"{r.integers(1, 65536):x}"
-        return kind, [f"{part()}. {part()}. {part()}. {part()}", ":".join(word() for _ in range(8)), f"{word()}:{word()}::{word()}:{word()}", f"{part()}[.]{part()}[.]{part()}[.]{part()}"][int(r.integers(4))]
-    name, host, end = name_of(r), name_of(r), ["com", "org", "net", "de"][int(r.integers(4))]
-    return kind, [f"{name}@{host}", f"{name} @ {host}.{end}", f"{name} at {host} dot {end}", f"{name}[at]{host}.{end}", f"{name} (at) {host}.{end}", f"{name}(at){host}[dot]{end}"][int(r.integers(6))]
+        dot = pick(". ", "[.]", "(.)", " . ", " dot ")
+        return kind, pick(six(r), dot.join(str(r.integers(256)) for _ in range(4)))
+    name, (host, end) = name_of(r), host_of(r)
+    at = pick(" at ", " at ", " at ", " AT ", " AT ", "[at]", " [at] ", "(at)", " (at) ", " {at} ", " @ ", " @ ", "@ ", " @")
+    dot = (" DOT " if "AT" in at else pick(" dot ", " dot ", "[dot]", " [dot] ", "(dot)", " (dot) ")) if r.random() < 0.7 and "@" not in at else "."
+    return kind, f"{name}@{host}" if r.random() < 0.06 else f"{name}{at}{host}{dot}{end}"
 
 
 def harmless(r: np.random.Generator) -> str:
-    """Digits that are nobody's: dates, times, prices, versions, quantities, hexadecimal keys."""
+    """What looks like personal data and is none: dates, prices, order numbers, keys, addresses of machines' cards."""
     d = lambda n: digits_of(r, n)
-    return [f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}/{d(2)}/19{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)},{d(3)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}", d(int(r.integers(1, 7))), f"{d(4)}-{d(4)}", f"#{d(5)}", f"{d(2)}%", "".join(r.choice(list("0123456789abcdef"), 40)), f"at {d(2)}.{d(2)}", f"{d(3)} {d(3)}"][int(r.integers(13))]
+    pick = lambda *x: x[int(r.integers(len(x)))]
+    h = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
+    quad = [d(4) for _ in range(4)]
+    while luhn("".join(quad)):
+        quad[3] = d(4)
+    return pick(
+        f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}/{d(2)}/19{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)},{d(3)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}", d(int(r.integers(1, 7))), f"{d(4)}-{d(4)}", f"#{d(5)}", f"{d(2)}%",
+        h(40), h(32), h(64), f"{h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}", ":".join(h(2) for _ in range(6)), f"at {d(2)}.{d(2)}", f"{d(3)} {d(3)}", "".join(quad), "".join(quad), pick("-", " ", ".").join(quad), f"order {d(12)}", f"no. {d(10)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
+        f"{d(2)}.{d(4)}, {d(2)}.{d(4)}", f"SN{d(3)}-{d(3)}-{d(2)}", f"19{d(2)}-20{d(2)}", f"{word_of(r)} at {word_of(r)}. {word_of(r)}", f"{word_of(r)} at the dot", f"@{word_of(r)}", f"0x{h(8)}",
+    )
+
+
+AT = re.compile(r"\s*(?:[\[({<]\s*at\s*[\])}>]|\bat\b|@)\s*", re.IGNORECASE)
+DOT = re.compile(r"\s*(?:[\[({<]\s*(?:dot|\.)\s*[\])}>]|\bdot\b|\.)\s*", re.IGNORECASE)
+DATE = re.compile(r"(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|978.*)\Z")
+
+
+def plausible(kind: str, s: str) -> bool:
+    """The exact check of a decoded span's text: what the kind must satisfy in whatever notation."""
+    d = digits(s)
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d) and not re.search(r"[^0-9 ./_\-]", s)
+    if kind == "phone":
+        return 7 <= len(d) <= 15 and not re.search(r"[^0-9 ()./+\-]", s) and not DATE.match(s) and len(d) < len(s)
+    if kind == "ip":
+        four = DOT.sub(".", s)
+        if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", four):
+            return all(len(p) <= 3 and int(p) <= 255 for p in four.split("."))
+        try:
+            return ":" in s and bool(ipaddress.IPv6Address(s))
+        except ValueError:
+            return False
+    # Only a tight name@host may do without a dot.
+    least = "*" if re.fullmatch(r"[^\s@]+@[^\s@]+", s) else "+"
+    return bool(re.fullmatch(rf"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+){least}", DOT.sub(".", AT.sub("@", s, count=1)))) and not s.startswith("@")
+
+
+def whole_span(kind: str, text: str, a: int, z: int) -> tuple[int, int] | None:
+    """The plausible span of whole words nearest to a decoded one; None if there is none.
+
+    A tagger's ends may be off by a few characters, so ends of words near them are tried, for an address up to two words
+    to either side; a piece of a longer key is judged as that key, since words are never cut.
+    """
+    inner = r"[A-Za-z0-9._%+-]" if kind == "email" else r"[0-9A-Za-z:]" if kind == "ip" and ":" in text[a:z] else r"[A-Za-z0-9]"
+    low, high = max(0, a - 64), min(len(text), z + 64)
+    words = [(low + m.start(), low + m.end()) for m in re.finditer(f"{inner}+", text[low:high])]
+    first = next((k for k, w in enumerate(words) if w[1] > a), len(words))
+    last = max((k for k, w in enumerate(words) if w[0] < z), default=-1)
+    more = (2, 2) if kind == "email" else (0, 0)
+    starts = [w[0] for w in words[max(0, first - more[0]) : last + 1]]
+    if kind == "phone":
+        starts = [p for x in starts for p in ((x - 1, x) if x and text[x - 1] in "(+" else (x,))]
+    ends = [e for w in words[first : last + 1 + more[1]] for e in {w[1], low + len(text[low : w[1]].rstrip(".-"))}]
+    near = sorted(((abs(x - a) + abs(y - z), x, y) for x in starts for y in ends if x < y))
+    return next(((x, y) for _, x, y in near if text[x:y].count("(") == text[x:y].count(")") and plausible(kind, text[x:y])), None)
 
 
 def variants(r: np.random.Generator, count: int, hosts: list[str]) -> tuple[list[str], list[list[Span]]]:
@@ -155,7 +242,7 @@ def variants(r: np.random.Generator, count: int, hosts: list[str]) -> tuple[list
     texts, spans = [], []
     for k in range(count):
         host = hosts[int(r.integers(len(hosts)))]
-        kind, s = missed(r) if k % 2 == 0 else ("", harmless(r))
+        kind, s = missed(r) if k % 5 < 3 else ("", harmless(r))
         words = [w for w in re.sub(r"\S*[0-9@]\S*", "", host).split() if len(w) < 24] or [""]
         at = int(r.integers(len(words) + 1))
         left, right = " ".join(words[:at])[-int(r.integers(1, 24)) :], " ".join(words[at:])[:20]
@@ -171,7 +258,7 @@ def train(rows: list[tuple[str, list[Span]]], steps: int = 900, seed: int = 0) -
     x, y = [], []
     if not rows:
         return None
-    extra = variants(np.random.default_rng(seed), 3000, [t for t, _ in rows])
+    extra = variants(np.random.default_rng(seed), 4500, [t for t, _ in rows])
     for text, spans in [*rows, *zip(*extra, strict=True)]:
         for at in tiles(text):
             x.append(symbols(text[at : at + LENGTH], LENGTH))
@@ -193,27 +280,30 @@ def reconcile(found: list[tuple[float, str, int, int]], base: list[Span]) -> lis
 
 
 def decoded(model: Tagger, parts: list[tuple[int, int, str]], sure: float) -> list[tuple[int, float, str, int, int]]:
-    """``(row, probability, kind, start, end)`` of the spans in stretches ``(row, offset, text)``."""
-    tile = [(row, base + at, text[at : at + LENGTH], at + LENGTH < len(text), at > 0) for row, base, text in parts for at in tiles(text)]
+    """``(row, probability, kind, start, end)`` of the spans in stretches ``(row, offset, text)`` that pass their kind's check."""
+    tile = [(j, at) for j, (_, _, text) in enumerate(parts) for at in tiles(text)]
     out = []
     for k in range(0, len(tile), 2048):
         some = tile[k : k + 2048]
-        path, p = model.decode(np.array([symbols(w, LENGTH) for _, _, w, _, _ in some]))
-        for j in np.flatnonzero((path > 0).any(axis=1)):
-            row, base, w, more, less = some[j]
-            n, at = len(w), 0
+        path, p = model.decode(np.array([symbols(parts[j][2][at : at + LENGTH], LENGTH) for j, at in some]))
+        for t in np.flatnonzero((path > 0).any(axis=1)):
+            j, begin = some[t]
+            row, base, text = parts[j]
+            n, at = len(text[begin : begin + LENGTH]), 0
             while at < n:
-                tag = int(path[j, at])
+                tag = int(path[t, at])
                 if not tag:
                     at += 1
                     continue
                 z = at + 1
-                while z < n and path[j, z] == (tag + 1 if tag % 2 else tag):
+                while z < n and path[t, z] == (tag + 1 if tag % 2 else tag):
                     z += 1
-                kind, mean = KINDS[(tag - 1) // 2], float(p[j, at:z].min())
+                kind, mean = KINDS[(tag - 1) // 2], float(p[t, at:z].mean())
                 # A span cut by a window's edge is whole in the window beside it.
-                if tag % 2 and mean >= sure and not (z == n and more) and not (at == 0 and less):
-                    out.append((row, mean, kind, base + at, base + z))
+                if mean >= sure and not (z == n and begin + LENGTH < len(text)) and not (at == 0 and begin > 0):
+                    found = whole_span(kind, text, begin + at, begin + z)
+                    if found:
+                        out.append((row, mean, kind, base + found[0], base + found[1]))
                 at = z
     return out
 
@@ -237,9 +327,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
     The counts and ``base_sha256`` are of the fixed patterns; ``spans`` has theirs and those that the
-    tagger adds, as ``kind:start:end`` in code points. The tagger reads stretches around digits, @ and
+    tagger adds and that pass their kind's exact check (``plausible``: the Luhn rule for cards, a valid address for ip,
+    whole words only), as ``kind:start:end`` in code points. The tagger reads stretches around digits, @ and
     spelled-out addresses. It is trained on ``sample`` windows of ``LENGTH`` characters, those with the
-    smallest hash, labelled by the patterns, and on variants of what the patterns miss set into them. Null
+    smallest hash, labelled by the patterns, and on 4500 variants of what the patterns miss, and of harmless forms, set into them. Null
     and empty texts have no spans; the whole of any text is read. Equal texts get equal spans, repeated rows
     their own rows, an empty table none. Other columns are not looked at.
     """
