@@ -77,7 +77,7 @@ def vectors(seed, n, d=6, copies=0):
     return made + [(n + k, int(rng.integers(0, 4)), made[0][2]) for k in range(copies)]
 
 
-@pytest.mark.parametrize("per_shard, wave_bytes", [(8192, 16 << 20), (40, 700)])
+@pytest.mark.parametrize("per_shard, wave_bytes", [(8192, 16 << 20), (60, 5000)])
 def test_negatives_as_by_hand(spark, per_shard, wave_bytes):
     rows = vectors(1, 300, copies=150)
     rows += [(900, None, [0.0] * 6), (901, 1, None), (902, 1, [0.0, None, 0.0, 0.0, 0.0, 0.0]), (903, 1, [math.nan] * 6), (904, 2, [math.inf] + [0.0] * 5), (None, 1, [1.0] * 6)]
