@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .calibration import covariance, gram
 from .lineage import fixed
+from .spectra import eigenpairs
 from .statistics import mann_whitney
 
 
@@ -64,7 +64,7 @@ def template_axes(df: DataFrame, vector: str, score: str, k: int, top: float = 0
     """The ``k`` leading axes of the vectors whose absolute ``score`` reaches its ``top`` quantile."""
     bound = df.agg(F.percentile(F.abs(score), top).alias("_bound"))
     best = df.join(F.broadcast(bound)).where(F.abs(score) >= F.col("_bound")).select(vector, F.lit(0).alias("_key"))
-    return components(covariance(gram(best, ["_key"], vector), ["_key"]), ["_key"], k)
+    return eigenpairs(best, ["_key"], vector, k)
 
 
 def template_contrast(df: DataFrame, axes: DataFrame, vector: str, score: str, top: float = 0.9, bottom: float = 0.5) -> DataFrame:

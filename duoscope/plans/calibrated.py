@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, geometry, subspaces
+from ..operators import calibration, geometry, spectra, subspaces
 from .geometry import METRICS, residuals, rounded
 from .standins import PAIRS, pairs, r6, store
 
@@ -75,8 +75,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_axes(r: DataFrame, k: int) -> DataFrame:
-    c = calibration.covariance(calibration.gram(r, ["is_null"], "residual"), ["is_null"])
-    return subspaces.components(c, ["is_null"], k)
+    return spectra.eigenpairs(r, ["is_null"], "residual", k)
 
 
 @query()
