@@ -96,8 +96,8 @@ def segment_row(part: int, segment: int, docs: list[int | None], ids: list[np.nd
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int | None = None, per_segment: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents' ids in ascending order of id, each followed by ``end_id``.
 
-    Documents are range-partitioned by id before they are encoded, so each task writes the segments of
-    one range. A segment is closed at ``per_segment`` ids; a longer document is a segment of its own.
+    Documents are range-partitioned by id, then by a hash of the text, before they are encoded, so each task writes the
+    segments of one range, and rows of one id or of none are not all one task's. A segment is closed at ``per_segment`` ids; a longer document is a segment of its own.
     ``width`` is the bytes of an id, 2 for vocabularies up to 65,536 and else 4 unless given; an id that
     does not fit is an error.
     """
@@ -125,7 +125,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wi
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     # Equal ids are told apart by their text, so that reruns write the same bytes.
-    given = given.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    given = given.repartitionByRange(*order).sortWithinPartitions(*order)
     given.mapInPandas(segments, SEGMENT).write.parquet(path)
 
 
