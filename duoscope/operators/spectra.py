@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import fixed
@@ -153,8 +153,8 @@ def effective_dimensions(pairs: DataFrame, keys: list[str]) -> DataFrame:
     share; the other measures are of all values only where ``n_values`` is the dimension.
     """
     v = pairs.where("value > 0 and share > 1e-12")
-    upto = F.sum("share").over(_over(keys))
-    v = v.withColumn("_upto", upto).withColumn("_p", F.col("value") / F.sum("value").over(_all(keys)))
+    whole = Window.partitionBy(*keys)
+    v = v.withColumn("_upto", F.sum("share").over(whole.orderBy("rank"))).withColumn("_p", F.col("value") / F.sum("value").over(whole))
     reach = lambda s: F.min(F.when(F.col("_upto") >= s - 1e-12, F.col("rank")))
     return v.groupBy(*keys).agg(
         F.max("dim").alias("dim"), F.count("*").alias("n_values"), (F.pow(F.sum("value"), 2) / F.sum(F.col("value") * F.col("value"))).alias("participation_ratio"),
@@ -163,18 +163,6 @@ def effective_dimensions(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _over(keys: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("rank")
-
-
-def _all(keys: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 def curve_correlations(pairs: DataFrame, key: str, points: int = 200) -> DataFrame:
     """``key_a, key_b, r``: correlation of two keys' cumulated shares of variance over the share of their dimensions.
 

@@ -346,3 +346,52 @@ def test_model_embeddings(spark):
         want = sum((weights[code[s[i]] + 4 * code[s[i + 1]] + 16 * code[s[i + 2]]] for i in range(len(s) - 2)), np.zeros(16))
         assert got[s] == pytest.approx(want.tolist(), abs=1e-5)
     assert embed(spark.createDataFrame([], "s string"), "s", kmer_model, ["s"]).select(F.col("s")).count() == 0
+
+
+def test_annotated_singles(spark):
+    from duoscope.operators.geometry import annotate_singles
+
+    rows = [(1, [1.0, 0.0], [1.0, 2.0], [3.0, 0.0]), (2, None, [1.0, 2.0], [1.0, 0.0]), (3, [1.0, 0.0], None, [1.0, 0.0]), (4, [1.0, 0.0], [1.0], [1.0, 0.0]), (5, [1.0, 0.0], [1.0, 0.0], [0.0, 0.0]), (6, [1.0, 0.0], [2.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "id int, WT array<float>, M1 array<float>, axis array<float>")
+    got = {r.id: r for r in annotate_singles(df, ["id"], prefix="x_", axis="axis").collect()}
+    assert [got[k].x_v_l2 for k in (2, 3, 4, 6)] == [None] * 4 and got[3].x_angle is None
+    assert (got[1].x_v_l2, got[1].x_v_par, got[1].x_v_perp, got[1].x_x, got[1].x_y, got[1].x_angle_over_pi) == pytest.approx((2, 0, 2, 0, 1, 0.5))
+    assert got[1].x_v_diff == pytest.approx(1 - 1 / math.sqrt(5)) and (got[5].x_v_l2, got[5].x_v_par, got[5].x_radius) == (0, 0, 0)
+    own = {r.id: r for r in annotate_singles(df, ["id"]).collect()}
+    assert (own[6].v_par, own[6].v_perp, own[6].angle) == pytest.approx((math.sqrt(2), 0, 0), abs=1e-6)
+
+
+def test_choices_and_follow_up(spark):
+    from duoscope.operators import ranking
+
+    nan = math.nan
+    df = spark.createDataFrame([(1, 0.2, 0.1, 0.3, 0.2), (2, 0.3, 0.1, 0.3, 0.2), (3, nan, 0.1, -0.3, 0.2), (4, 0.1, 0.1, nan, 0.2), (5, None, 0.1, None, 0.2)], "id int, a double, pa double, b double, pb double")
+    got = {r.id: (r.best_r, r.best_p, r.metric) for r in ranking.best_of_two(df, ["id"], ("x", "a", "pa"), ("y", "b", "pb")).collect()}
+    assert got == {1: (0.3, 0.2, "y"), 2: (0.3, 0.1, "x"), 3: (-0.3, 0.2, "y"), 4: (0.1, 0.1, "x"), 5: (None, 0.1, "x")}
+    cases = spark.createDataFrame([(1, 730, None, 365), (2, 10, 400, None), (3, None, None, None), (4, 100, -1, None), (5, 365, None, None)], "case_id int, seen int, died int, other int")
+    got = {r.case_id: (r.duration, r.event) for r in statistics.follow_up(cases, ["seen", "died", "other"], "died", 0.5).collect()}
+    assert got == {1: (2.0, 0), 2: (pytest.approx(400 / 365), 1), 5: (1.0, 0)}
+    days = {r.case_id: r.duration for r in statistics.follow_up(cases, ["seen"], "died", years=False).collect()}
+    assert days == {1: 730, 2: 10, 4: 100, 5: 365}
+    some = spark.createDataFrame([("a", n, s) for n, s in [(2, 0.9), (3, 0.8), (50, 0.8), (51, 0.9), (10, 0.79), (4, 0.95)]], "id string, n int, s double")
+    assert [(r.n, r.s) for r in ranking.selected(some, "n", "s", 3, 50, 0.8).collect()] == [(4, 0.95), (50, 0.8), (3, 0.8)]
+    calls = spark.createDataFrame([("g", 5, "B", None, 2, "A", "C", "chr1"), ("g", 5, "A", "p." + "x" * 40, 1, "A", "G", "chr1"), ("g", 6, None, None, 1, "T", "G", "X")], "gene string, pos int, cls string, protein string, case_id int, ref string, alt string, chrom string")
+    got = {r.pos: tuple(r)[2:] for r in ranking.annotation(calls, ["gene", "pos"], "cls", "protein", ["case_id"]).collect()}
+    assert got == {5: ("A", "p." + "x" * 18, "A", "G", "1"), 6: ("?", "?", "T", "G", "X")}
+
+
+def test_pair_windows(spark):
+    from duoscope.operators.maps import pair_windows
+
+    rows = [(1, 1000, 500, 520), (2, 30, 29, 0), (3, 5000, 4900, 100), (4, 1, 0, 0)]
+    got = {}
+    for r in pair_windows(spark.createDataFrame(rows, "id int, length int, pos1 int, pos2 int"), ["id"], 50, 40, 200).collect():
+        got.setdefault((r.id, r.part), []).append(r)
+    assert set(got) == {(1, "pair"), (2, "pair"), (3, "first"), (3, "second"), (4, "pair")}
+    for (k, part), rs in got.items():
+        _, n, p, q = rows[k - 1]
+        lo, hi = (max(0, min(p, q) - 50), min(n, max(p, q) + 51)) if part == "pair" else (max(0, {"first": p, "second": q}[part] - 100), min(n, {"first": p, "second": q}[part] + 100))
+        sites = {p - lo, q - lo} if part == "pair" else {{"first": p, "second": q}[part] - lo}
+        step = max(1, (hi - lo) // 40)
+        assert {(r.lo, r.hi) for r in rs} == {(lo, hi)} and sorted(r.pos for r in rs) == sorted(set(range(0, hi - lo, step)) | sites)
+        assert {r.pos for r in rs if r.is_site} == sites
