@@ -43,16 +43,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables settled after the first ``since``. What was read from them must be written or done with."""
-    for path in SETTLED[since:]:
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete settled tables by their paths. What was read from them must be written or done with."""
+    for path in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del SETTLED[since:]
+    SETTLED[:] = [p for p in SETTLED if p not in set(paths)]
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables settled after the first ``since``."""
+    discard(spark, SETTLED[since:])
 
 
 def numbered(docs: DataFrame, name: str = ROW) -> DataFrame:
-    """``docs`` with a number of its own for each row, settled, so that equal and null ids are told apart for good."""
+    """``docs`` with a number of its own for each row, settled, so that equal and null ids are told apart for good.
+
+    A column of that name in ``docs`` is overwritten.
+    """
     return settle(docs.withColumn(name, F.monotonically_increasing_id()))
 
 
