@@ -49,13 +49,13 @@ def feature_table_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["pair", "meta_gene", "meta_bin"])
 
 
-@query(f"WITH {CALLS}, g AS (SELECT gene, count(DISTINCT case_id) AS n_gene FROM calls GROUP BY gene), b AS (SELECT gene, chrom, count(DISTINCT case_id) AS n_both FROM calls GROUP BY 1, 2) SELECT gene, chrom, n_both, round(n_both/n_gene::DOUBLE, 6) AS cond FROM b JOIN g USING (gene) WHERE n_both BETWEEN 3 AND 50 AND n_both/n_gene::DOUBLE >= 0.01")
+@query(f"WITH {CALLS}, g AS (SELECT gene, count(DISTINCT case_id) AS n_gene FROM calls GROUP BY gene), b AS (SELECT gene, pos, count(DISTINCT case_id) AS n_both FROM calls GROUP BY 1, 2) SELECT gene, pos, n_both, round(n_both/n_gene::DOUBLE, 6) AS cond FROM b JOIN g USING (gene) WHERE n_both BETWEEN 3 AND 50 AND n_both/n_gene::DOUBLE >= 0.01")
 def selected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups shared by 3 to 50 cases with a conditional share of at least the bound."""
-    c = calls(spark, sf_dir).select("gene", "chrom", "case_id").distinct()
+    """Positions shared by 3 to 50 cases with a share of the gene's cases of at least the bound."""
+    c = calls(spark, sf_dir).select("gene", "pos", "case_id").distinct()
     g = c.groupBy("gene").agg(F.countDistinct("case_id").alias("n_gene"))
-    b = c.groupBy("gene", "chrom").agg(F.count("*").alias("n_both")).join(g, "gene").withColumn("cond", F.col("n_both") / F.col("n_gene"))
-    return ranking.selected(b, "n_both", "cond", 3, 50, 0.01).select("gene", "chrom", "n_both", F.round("cond", 6).alias("cond"))
+    b = c.groupBy("gene", "pos").agg(F.count("*").alias("n_both")).join(g, "gene").withColumn("cond", F.col("n_both") / F.col("n_gene"))
+    return ranking.selected(b, "n_both", "cond", 3, 50, 0.01).select("gene", "pos", "n_both", F.round("cond", 6).alias("cond"))
 
 
 @query(f"""WITH {CALLS}, h AS (SELECT *, CASE WHEN case_id % 3 > 0 THEN 'p.' || repeat(ref, 1 + (case_id % 2)::INT * 20) || pos || alt END AS protein FROM calls), k AS (SELECT gene, pos, cls, count(*) AS n FROM h WHERE cls IS NOT NULL GROUP BY ALL), m AS (SELECT gene, pos, cls FROM k QUALIFY row_number() OVER (PARTITION BY gene, pos ORDER BY n DESC, cls) = 1),

@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB."""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -26,14 +27,26 @@ def con(sf):
     return c
 
 
+@pytest.fixture(scope="module")
+def answers(request, spark, sf):
+    """Columns and rows of the queries asked for, some at a time: most of a small query's time is planning."""
+
+    def run(name):
+        df = registry.QUERIES[name](spark, sf)
+        return sorted(df.columns), [tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()]
+
+    asked = [i.callspec.params["name"] for i in request.session.items if i.module is request.module and hasattr(i, "callspec")]
+    with ThreadPoolExecutor(4) as pool:
+        yield {name: pool.submit(run, name) for name in asked}
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query(name, spark, sf, con):
-    df = registry.QUERIES[name](spark, sf)
-    rows = [tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()]
+def test_query(name, answers, con):
+    columns, rows = answers[name].result()
     assert rows
     if name in registry.SQL:
         rel = con.sql(registry.SQL[name])
-        assert sorted(rel.columns) == sorted(df.columns)
+        assert sorted(rel.columns) == columns
         at = [rel.columns.index(c) for c in sorted(rel.columns)]
         assert sorted(map(repr, rows)) == sorted(repr(tuple(plain(r[k]) for k in at)) for r in rel.fetchall())
 
