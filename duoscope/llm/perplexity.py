@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import filter_keys, settle, text_of
+from .common import SETTLED, filter_keys, scratch, settle, text_of
 
 #: Symbols are bytes, with one more for the begin of a text.
 SYMBOLS = 257
@@ -52,17 +56,44 @@ def tally(texts: Iterable[str], order: int, most: int = 1 << 22) -> tuple[np.nda
     return g, np.bincount(at, np.concatenate(counts), len(g)).astype(np.int64)
 
 
+def blocks_of(texts: DataFrame, bytes_of_block: int = 16 << 20) -> DataFrame:
+    """``texts`` with the number of their ``block``, written once to the shared folder, bucketed by block.
+
+    A task numbers its rows' blocks by the bytes it has seen, so a block holds ``bytes_of_block`` and one text
+    at most, whatever ids and texts are equal. The table is written where its rows are, without a shuffle,
+    and later meets other rows by block without one.
+    """
+    from pyspark import TaskContext
+
+    spark, schema = texts.sparkSession, StructType([*texts.schema, StructField("block", LongType())])
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seen = TaskContext.get().partitionId() << 24, 0
+        for b in batches:
+            upto = seen + np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + upto // bytes_of_block)], [*b.schema.names, "block"])
+            seen = int(upto[-1]) if len(upto) else seen
+
+    path, name = scratch(spark), f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts.mapInArrow(laid, schema).write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    SETTLED.append(path)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are not the catalog's
+    return table
+
+
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """``model, g, c, t``: every gram of ``order`` bytes of each model's texts, its count in the ``trained`` ones (0 in none) and in all."""
+    """``block, model, g, c, t``: the distinct grams of ``order`` bytes of runs of a block's texts of a model, with their counts in the
+    ``trained`` ones (0 in none) and in all. A gram comes once a run, so more than once a block."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for (model, trained), part in b.groupby(["model", "trained"]):
+            for (block, model, trained), part in b.groupby(["block", "model", "trained"]):
                 g, n = tally(part["text"], order)
-                yield pd.DataFrame({"model": model, "g": g, "c": n if trained else 0, "t": n})
+                yield pd.DataFrame({"block": block, "model": model, "g": g, "c": n if trained else 0, "t": n})
 
-    given = texts.select("model", "trained", "text").mapInPandas(counted, "model string, g long, c long, t long")
-    return given.groupBy("model", "g").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    return texts.select("block", "model", "trained", "text").mapInPandas(counted, "block long, model string, g long, c long, t long")
 
 
 def discount(c: Column) -> Column:
@@ -106,53 +137,37 @@ def gram_scores(grams: DataFrame, order: int) -> DataFrame:
     return df
 
 
-def text_scores(texts: DataFrame, scores: DataFrame, frequent: DataFrame, order: int) -> DataFrame:
-    """``doc_id, lang, n_bytes, logp`` for rows of ``doc_id, lang, model, text``: the sum of the scores of a text's grams.
+def text_scores(texts: DataFrame, asked: DataFrame, scores: DataFrame, order: int) -> DataFrame:
+    """``doc_id, lang, n_bytes, logp`` for rows of ``block, doc_id, lang, model, text``: the sum of the scores of a text's grams.
 
-    Tasks hold the scores of the ``frequent`` grams, a table of bounded size. Of the others each text
-    sends a row a distinct gram, with its count; those are joined with the scores by gram and summed by
-    text. A gram that is not frequent has few rows, so no key is hot.
+    ``asked`` has the ``block, model, g`` that the blocks hold. They are joined with the scores by gram, which
+    a gram enters about once a block, so no key is hot, and meet their block's texts in one task, which holds
+    a block and its scores at most.
     """
-    from pyspark import TaskContext
-
-    held = frequent.select("model", "g", "logp").toArrow().to_pandas()
-    table = {}
-    for model, part in held.groupby("model"):
-        part = part.sort_values("g")
-        table[model] = part["g"].to_numpy(), part["logp"].to_numpy()
-    known = texts.sparkSession.sparkContext.broadcast(table)
-    none = np.empty(0, np.int64), np.empty(0)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            for k in range(0, len(b), 512):
-                heads, rest = [], []
-                part = b.iloc[k : k + 512]
-                for doc, lang, model, text in zip(part["doc_id"], part["lang"], part["model"], part["text"], strict=True):
-                    data, total = text.encode(), 0.0
-                    g, logp = known.value.get(model, none)
-                    for keys in key_runs(data, order):
-                        at = np.minimum(np.searchsorted(g, keys), max(len(g) - 1, 0))
-                        found = g[at] == keys if len(g) else np.zeros(len(keys), bool)
-                        total += float(logp[at[found]].sum())
-                        if not found.all():
-                            rare, n = np.unique(keys[~found], return_counts=True)
-                            rest.append(pd.DataFrame({"row": row, "model": model, "g": rare, "n": n}))
-                    heads.append((row, doc, lang, len(data), total))
-                    row += 1
-                yield pd.concat([pd.DataFrame(heads, columns=["row", "doc_id", "lang", "n_bytes", "logp"]), *rest]).reindex(columns=names).astype({"doc_id": "Int64", "n_bytes": "Int64", "g": "Int64", "n": "Int64", "logp": "Float64", "lang": object, "model": object})
-
-    schema = "row long, doc_id long, lang string, n_bytes long, logp double, model string, g long, n long"
-    names = [c.split()[0] for c in schema.split(", ")]
-    rows = settle(texts.select("doc_id", "lang", "model", "text").mapInPandas(scored, schema))
-    known.destroy()
-    sums = rows.where("g is not null").select("row", "model", "g", "n").join(scores, ["model", "g"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("more"))
-    whole = rows.where("g is null").select("row", "doc_id", "lang", "n_bytes", "logp").join(sums, "row", "left")
-    return whole.select("doc_id", "lang", "n_bytes", (F.col("logp") + F.coalesce("more", F.lit(0.0))).alias("logp"))
-
-
-def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, held: int = 1 << 18) -> DataFrame:
+    given = asked.join(scores, ["model", "g"]).select("block", "model", "g", "logp")
+
+    def scored(part: pa.Table, known: pa.Table) -> pa.Table:
+        held, sizes, totals = {}, [], []
+        rows = known.select(["model", "g", "logp"]).to_pandas()
+        for model, of in rows.drop_duplicates(["model", "g"]).sort_values("g").groupby("model"):
+            held[model] = of["g"].to_numpy(), of["logp"].to_numpy()
+        for model, text in zip(part["model"].to_pylist(), part["text"], strict=True):
+            data, total = text.as_py().encode(), 0.0
+            for keys in key_runs(data, order):
+                g, logp = held[model]
+                at = np.searchsorted(g, keys)
+                if at.max() == len(g) or (g[at] != keys).any():
+                    raise ValueError("a text holds a gram without a score")
+                total += float(logp[at].sum())
+            sizes.append(len(data))
+            totals.append(total)
+        return pa.table([part["doc_id"], part["lang"], pa.array(sizes, pa.int64()), pa.array(totals, pa.float64())], ["doc_id", "lang", "n_bytes", "logp"])
+
+    near = texts.select("block", "doc_id", "lang", "model", "text").groupBy("block").cogroup(given.groupBy("block"))
+    return near.applyInArrow(scored, "doc_id long, lang string, n_bytes long, logp double")
+
+
+def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, bytes_of_block: int = 16 << 20) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_bytes, perplexity, threshold, kept``.
 
     Models are trained on the whole texts of all trusted documents (label 1) but one in ``held_out`` by
@@ -160,8 +175,7 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     where a language has none or is null. The threshold of a language is ``margin`` times the larger of
     two ``quantile``s of perplexity: that of its held-out trusted documents and that of all its trusted
     ones; a language without trusted documents takes that of all languages. Documents at or under it
-    stay. ``held`` is how many of the corpus's most frequent grams each task keeps the scores of; it sets what
-    is shuffled, not what is computed. Null and empty texts have no perplexity and do not stay; where no
+    stay. ``bytes_of_block`` is how much text is scored at a time; it sets what is shuffled, not what is computed. Null and empty texts have no perplexity and do not stay; where no
     document is trusted nothing is known, and all others stay. Equal rows get equal results; an empty
     table gives none. Other columns are not looked at.
     """
@@ -172,13 +186,13 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     langs = settle(known.where("lang is not null").select("lang").distinct().withColumn("model", F.concat(F.lit("="), "lang")))
     given = filter_keys(given, langs, ["lang"], "left").withColumn("model", F.coalesce("model", F.lit(POOLED)))
     marked = filter_keys(given, trusted, ["doc_id"], "left").withColumn("trained", F.coalesce("trained", F.lit(False)))
-    grams = settle(count_grams(marked, order))
+    marked = blocks_of(marked.select("doc_id", "lang", "model", "trained", "text"), bytes_of_block)
+    found = settle(count_grams(marked, order))
+    grams = settle(found.groupBy("model", "g").agg(F.sum("c").alias("c")))
     if not grams.where(F.col("model") == POOLED).isEmpty():
-        shared = grams.where("c > 0").where(F.col("model") != POOLED).withColumn("model", F.lit(POOLED)).withColumn("t", F.lit(0).cast("long"))
-        grams = settle(grams.unionByName(shared).groupBy("model", "g").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
-    scores = gram_scores(grams.drop("t"), order)
-    frequent = grams.where("t > 0").orderBy(F.desc("t"), "model", "g").limit(held).select("model", "g")
-    scored = settle(text_scores(given, scores, scores.join(frequent, ["model", "g"]), order))
+        shared = grams.where("c > 0").where(F.col("model") != POOLED).withColumn("model", F.lit(POOLED))
+        grams = settle(grams.unionByName(shared).groupBy("model", "g").agg(F.sum("c").alias("c")))
+    scored = settle(text_scores(marked, found.select("block", "model", "g"), gram_scores(grams, order), order))
     rows = scored.select("doc_id", "lang", "n_bytes", F.exp(-F.try_divide("logp", "n_bytes")).alias("perplexity"))
     judged = settle(filter_keys(rows.select("doc_id", "lang", "perplexity"), trusted, ["doc_id"], "inner"))
     level = lambda w: F.percentile_approx(F.when(w, F.col("perplexity")), quantile, 100_000)

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on the small tables and on awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -262,9 +263,9 @@ def test_perplexity_of_awkward_rows(spark, docs):
     assert all(r.kept == (r.n_bytes > 0) for r in got)
 
 
-def test_perplexity_of_grams_not_held(spark, docs):
+def test_perplexity_of_many_blocks(spark, docs):
     labels = docs.select("doc_id").distinct().withColumn("quality", F.lit(1))
-    one, many = (sorted(rows(perplexity.perplexity_filter(docs, labels, held=n)), key=str) for n in (1 << 22, 1_000))
+    one, many = (sorted(rows(perplexity.perplexity_filter(docs, labels, bytes_of_block=n)), key=str) for n in (1 << 24, 100))
     assert [(r.doc_id, r.lang, r.n_bytes, r.kept) for r in one] == [(r.doc_id, r.lang, r.n_bytes, r.kept) for r in many]
     assert [r.perplexity for r in one] == pytest.approx([r.perplexity for r in many])
 
@@ -300,13 +301,44 @@ def test_kneser_ney(spark):
     told, asked = ["abracadabra abacus", "banana bandana cabana", "a cab, a band; abba aa aaa"], ["abandon zebra ab"]
     every = [bytes((97, 98, c)) for c in range(256)]
     df = spark.createDataFrame([("m", t, True) for t in told] + [("m", t, False) for t in asked], "model string, text string, trained boolean")
-    counted = perplexity.count_grams(df, 3).drop("t").unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
+    counted = perplexity.count_grams(df.withColumn("block", F.lit(0).cast("long")), 3).drop("block", "t").unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
     got = {r.g.to_bytes(3, "big"): np.exp(r.logp) for r in perplexity.gram_scores(counted.groupBy("model", "g").agg(F.sum("c").alias("c")), 3).collect()}
     want = kneser_ney([g for t in told for g in grams(t)], {g for t in told + asked for g in grams(t)} | set(every), 3)
     assert got == pytest.approx(want)
     assert sum(got[g] for g in every) == pytest.approx(1, abs=0.01)
 
 
+def test_perplexity_by_brute_force(spark):
+    """Perplexities, thresholds and verdicts of whole documents from dictionaries of grams, a language at a time."""
+    words = "ab ba abba cab bad dab a b".split()
+    rng = np.random.default_rng(3)
+    given = [(i, ("en", "de", None)[i % 3], " ".join(rng.choice(words, 6)) if i % 5 else "zqx" * (i % 4)) for i in range(45)]
+    good = {i for i, lang, t in given if i % 5 and lang}
+    labels = spark.createDataFrame([(i, int(i in good)) for i, *_ in given], "doc_id long, quality int")
+    df = spark.createDataFrame(given, "doc_id long, lang string, text string").repartition(3)
+    got = {r.doc_id: r for r in rows(perplexity.perplexity_filter(df, labels, order=3, held_out=4, quantile=0.9, bytes_of_block=50))}
+    trained = {r.doc_id for r in spark.range(45).withColumnRenamed("id", "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0).collect()} & good
+
+    def grams(t):
+        data = b"\0\0" + t.encode()
+        return [data[i : i + 3] for i in range(len(data) - 2)]
+
+    want = {}
+    for lang in ("en", "de", None):
+        told = [g for i, x, t in given if i in trained and (lang is None or x == lang) for g in grams(t)]
+        p = kneser_ney(told, {g for _, x, t in given if x == lang for g in grams(t)}, 3)
+        want |= {i: float(np.exp(-np.mean([np.log(p[g]) for g in grams(t)]))) for i, x, t in given if x == lang and t}
+    assert {i: r.perplexity for i, r in got.items() if r.n_bytes} == pytest.approx(want)
+    for lang in ("en", "de", None):
+        mine = [i for i in good if i in want and (lang is None or given[i][1] == lang)]
+        level = lambda ids: sorted(want[i] for i in ids)[math.ceil(0.9 * len(ids)) - 1]
+        limit = 1.05 * max(level([i for i in mine if i not in trained]), level(mine))
+        for i, x, t in given:
+            if x == lang:
+                assert got[i].threshold == pytest.approx(limit)
+                assert got[i].kept == (bool(t) and want[i] <= limit)
+
+
 def test_gram_tally():
     data = ["abcab", "", "é" * 300, "xyz" * 50]
     g, c = perplexity.tally(data, 3, most=64)
