@@ -56,12 +56,21 @@ def tally(texts: Iterable[str], order: int, most: int = 1 << 22) -> tuple[np.nda
     return g, np.bincount(at, np.concatenate(counts), len(g)).astype(np.int64)
 
 
-def blocks_of(texts: DataFrame, bytes_of_block: int = 16 << 20) -> DataFrame:
+def summed(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of two tallies with their counts added."""
+    if a is None:
+        return b
+    g, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return g, np.bincount(at, np.concatenate([a[1], b[1]]), len(g)).astype(np.int64)
+
+
+def blocks_of(texts: DataFrame, bytes_of_block: int = 64 << 20) -> DataFrame:
     """``texts`` with the number of their ``block``, written once to the shared folder, bucketed by block.
 
     A task numbers its rows' blocks by the bytes it has seen, so a block holds ``bytes_of_block`` and one text
-    at most, whatever ids and texts are equal. The table is written where its rows are, without a shuffle,
-    and later meets other rows by block without one.
+    at most, whatever ids and texts are equal. Small partitions are coalesced up to that size first, since
+    larger blocks repeat fewer grams. The table is written where its rows are, without a shuffle, and later
+    meets other rows by block without one.
     """
     from pyspark import TaskContext
 
@@ -74,6 +83,8 @@ def blocks_of(texts: DataFrame, bytes_of_block: int = 16 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + upto // bytes_of_block)], [*b.schema.names, "block"])
             seen = int(upto[-1]) if len(upto) else seen
 
+    whole = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, -(-whole // bytes_of_block)))
     path, name = scratch(spark), f"blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.mapInArrow(laid, schema).write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
@@ -84,16 +95,31 @@ def blocks_of(texts: DataFrame, bytes_of_block: int = 16 << 20) -> DataFrame:
 
 
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """``block, model, g, c, t``: the distinct grams of ``order`` bytes of runs of a block's texts of a model, with their counts in the
-    ``trained`` ones (0 in none) and in all. A gram comes once a run, so more than once a block."""
+    """``block, model, g, c``: the distinct grams of ``order`` bytes of a block's texts of a model, with their counts in the ``trained`` ones.
+
+    A task keeps the grams of one block at a time, at most as many as the block has bytes. Where a block's rows are read
+    by several tasks a gram comes once in each.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = {}, None
+
+        def close() -> Iterator[pd.DataFrame]:
+            for model, (g, c) in held.items():
+                yield pd.DataFrame({"block": at, "model": model, "g": g, "c": c})
+            held.clear()
+
         for b in batches:
-            for (block, model, trained), part in b.groupby(["block", "model", "trained"]):
-                g, n = tally(part["text"], order)
-                yield pd.DataFrame({"block": block, "model": model, "g": g, "c": n if trained else 0, "t": n})
+            for block, rows in b.groupby("block"):
+                if block != at:
+                    yield from close()
+                    at = block
+                for (model, trained), part in rows.groupby(["model", "trained"]):
+                    g, n = tally(part["text"], order)
+                    held[model] = summed(held.get(model), (g, n if trained else np.zeros_like(n)))
+        yield from close()
 
-    return texts.select("block", "model", "trained", "text").mapInPandas(counted, "block long, model string, g long, c long, t long")
+    return texts.select("block", "model", "trained", "text").mapInPandas(counted, "block long, model string, g long, c long")
 
 
 def discount(c: Column) -> Column:
@@ -167,7 +193,7 @@ def text_scores(texts: DataFrame, asked: DataFrame, scores: DataFrame, order: in
     return near.applyInArrow(scored, "doc_id long, lang string, n_bytes long, logp double")
 
 
-def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, bytes_of_block: int = 16 << 20) -> DataFrame:
+def perplexity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, held_out: int = 8, quantile: float = 0.999, margin: float = 1.05, bytes_of_block: int = 64 << 20) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_bytes, perplexity, threshold, kept``.
 
     Models are trained on the whole texts of all trusted documents (label 1) but one in ``held_out`` by

@@ -301,7 +301,7 @@ def test_kneser_ney(spark):
     told, asked = ["abracadabra abacus", "banana bandana cabana", "a cab, a band; abba aa aaa"], ["abandon zebra ab"]
     every = [bytes((97, 98, c)) for c in range(256)]
     df = spark.createDataFrame([("m", t, True) for t in told] + [("m", t, False) for t in asked], "model string, text string, trained boolean")
-    counted = perplexity.count_grams(df.withColumn("block", F.lit(0).cast("long")), 3).drop("block", "t").unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
+    counted = perplexity.count_grams(df.withColumn("block", F.lit(0).cast("long")), 3).drop("block").unionByName(spark.createDataFrame([("m", int.from_bytes(g, "big"), 0) for g in every], "model string, g long, c long"))
     got = {r.g.to_bytes(3, "big"): np.exp(r.logp) for r in perplexity.gram_scores(counted.groupBy("model", "g").agg(F.sum("c").alias("c")), 3).collect()}
     want = kneser_ney([g for t in told for g in grams(t)], {g for t in told + asked for g in grams(t)} | set(every), 3)
     assert got == pytest.approx(want)
