@@ -34,11 +34,47 @@ def cumulated(df: DataFrame, value: str, strata: list[str], sums: dict[str, Colu
     return t.select(*strata, value, *sums, *[(F.col(f"{n}_before") + F.col(f"_{n}")).alias(f"{n}_before") for n in sums])
 
 
+def ordinal(df: DataFrame, value: str, key: str, strata: list[str], name: str = "rank") -> DataFrame:
+    """Adds each row's place in its stratum, from 1, by ``value`` and then by ``key``, which tells equal values apart.
 
-def mid_rank(value: str, strata: list[str]) -> Column:
-    """Average rank among equals, from 1."""
-    w = Window.partitionBy(*strata)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*strata, value)) - 1) / 2
+    Places of values come from counts; only keys of values that more than one row has are counted in turn. Rows
+    with a null value are left out. Rows of equal value and key share the first of their places.
+    """
+    df = fixed(df)
+    t = cumulated(df, value, strata, {"_n": F.lit(1)})
+    tied = df.join(t.where("_n > 1").select(*strata, value), [*strata, value]).select(*strata, value, key)
+    within = cumulated(tied, key, [*strata, value], {"_k": F.lit(1)}).select(*strata, value, key, "_k_before")
+    rows = df.join(t.select(*strata, value, "_n_before"), [*strata, value]).join(within, [*strata, value, key], "left")
+    return rows.withColumn(name, F.col("_n_before") + F.coalesce("_k_before", F.lit(0)) + 1).select(*df.columns, name)
+
+
+def rank_bins(df: DataFrame, value: str, key: str, flag: str, strata: list[str], bins: int = 20) -> DataFrame:
+    """``strata, bin, n, marked``: bins of equal counts by ``value`` and then ``key``, the remainder in the last, and the rows with ``flag``.
+
+    A value that lies in one bin adds its counts to it; rows are looked at only where a value lies in several.
+    ``key`` differs among rows of a value. Rows with a null value are left out.
+    """
+    df = fixed(df.where(F.col(value).isNotNull()).select(*strata, value, key, F.coalesce(F.col(flag).cast("boolean"), F.lit(False)).cast("long").alias("_f")))
+    t = cumulated(df, value, strata, {"_n": F.lit(1), "_m": F.col("_f")})
+    whole = df.groupBy(*strata).agg(F.greatest(F.floor(F.count("*") / bins), F.lit(1)).alias("_width"))
+    t = t.join(whole, strata) if strata else t.join(F.broadcast(whole))
+    at = lambda r: F.least(F.floor(r / F.col("_width")), F.lit(bins - 1))
+    t = fixed(t.withColumn("bin", at(F.col("_n_before"))).withColumn("_last", at(F.col("_n_before") + F.col("_n") - 1)))
+    inner = t.where("bin = _last").select(*strata, "bin", "_n", "_m")
+    edge = t.where("bin < _last").select(*strata, value, F.col("_n_before").alias("_base"), "_width")
+    rows = cumulated(df.join(edge.select(*strata, value), [*strata, value]), key, [*strata, value], {"_n": F.lit(1), "_m": F.col("_f")})
+    rows = rows.join(edge, [*strata, value]).select(*strata, at(F.col("_base") + F.col("_n_before")).alias("bin"), "_n", "_m")
+    return inner.unionByName(rows).groupBy(*strata, "bin").agg(F.sum("_n").alias("n"), F.sum("_m").alias("marked"))
+
+
+def minmax(df: DataFrame, value: str, strata: list[str], name: str = "scaled") -> DataFrame:
+    """Adds ``value`` scaled to 0..1 within its stratum, 0 where all its values are equal; rows need a stratum.
+
+    Only a row per stratum is shuffled, not the rows.
+    """
+    ends = df.groupBy(*strata).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    df = df.join(ends, strata) if strata else df.join(F.broadcast(ends))
+    return df.withColumn(name, F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
 
 
 def half_open_bin(c: Column, edges: list[float]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .lineage import fixed
-from .ranking import cumulated, mid_rank
+from .ranking import cumulated
 
 
 @F.pandas_udf(DoubleType())
@@ -160,12 +160,12 @@ def kolmogorov_smirnov(df: DataFrame, value: str, group: str, strata: list[str])
 
 
 def signed_rank(df: DataFrame, a: str, b: str, strata: list[str]) -> DataFrame:
-    """Wilcoxon's W+ on paired differences, zeros left out."""
-    d = df.withColumn("_d", F.round(F.col(a) - F.col(b), 12)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    d = d.withColumn("_r", mid_rank("_a", strata))
-    n = F.count("*")
-    w = F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0))
-    return d.groupBy(*strata).agg(n.alias("n"), w.alias("w"), ((w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
+    """Wilcoxon's W+ on paired differences, zeros and nulls left out, from counted sizes of differences."""
+    d = df.withColumn("_d", F.round(F.col(a) - F.col(b), 12)).where("_d <> 0").withColumn("_size", F.abs("_d"))
+    t = cumulated(d, "_size", strata, {"_n": F.lit(1), "_up": (F.col("_d") > 0).cast("long")})
+    n = F.sum("_n")
+    w = F.sum(F.col("_up") * (F.col("_n_before") + (F.col("_n") + 1) / 2))
+    return t.groupBy(*strata).agg(n.alias("n"), w.alias("w"), ((w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
 
 
 def permutation_test(df: DataFrame, value: str, group: str, bin_col: str, key: str, times: int, strata: list[str]) -> DataFrame:

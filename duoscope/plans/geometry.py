@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import calibration, geometry, ranking, spectra
-from ..operators.lineage import fixed
 from .standins import PAIRS, pairs, r6, scored, store, table
 
 QUERIES, SQL = {}, {}
@@ -198,9 +197,8 @@ def distance_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS}, t AS (SELECT bin, min(epi_r_raw) AS lo, max(epi_r_raw) AS hi FROM q GROUP BY bin) SELECT pair, bin, round(CASE WHEN hi > lo THEN (epi_r_raw - lo)/(hi - lo) ELSE 0 END, 6) AS scaled FROM q JOIN t USING (bin)")
 def minmax_by_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("bin")
-    lo, hi = F.min("epi_R_raw").over(w), F.max("epi_R_raw").over(w)
-    return scored(spark, sf_dir).select("pair", "bin", F.round(F.when(hi > lo, (F.col("epi_R_raw") - lo) / (hi - lo)).otherwise(0.0), 6).alias("scaled"))
+    df = ranking.minmax(scored(spark, sf_dir), "epi_R_raw", ["bin"])
+    return df.select("pair", "bin", F.round("scaled", 6).alias("scaled"))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT pair, 100.0*(row_number() OVER (ORDER BY epi_r_raw, pair) - 1)/count(*) OVER () AS a, 100.0*(row_number() OVER (ORDER BY lmr, pair) - 1)/count(*) OVER () AS b FROM q) SELECT pair, round((a + b)/2, 6) AS mean_percentile FROM m")
@@ -208,14 +206,9 @@ def ensemble_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile ranks under two scores, averaged over pairs that both have."""
     s = scored(spark, sf_dir)
     long = s.select("pair", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("v")) for m in ("epi_R_raw", "log_magnitude_ratio")])).alias("x")).select("pair", "x.*")
-    # Equal values of a model go by pair, so the two together are the value that is ranked.
-    long = fixed(long.withColumn("at", F.struct("v", "pair")))
-    edges = long.groupBy("model").agg(F.array_sort(F.percentile_approx("v", F.array(*[F.lit(k / 256) for k in range(1, 256)]), 10_000)).alias("edges"), F.count("*").alias("n"))
-    long = long.join(edges, "model").withColumn("block", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
-    blocks = long.groupBy("model", "block").agg(F.count("*").alias("own"))
-    blocks = blocks.select("model", "block", (F.sum("own").over(Window.partitionBy("model").orderBy("block")) - F.col("own")).alias("before"))
-    long = long.withColumn("r", F.row_number().over(Window.partitionBy("model", "block").orderBy("at"))).join(blocks, ["model", "block"])
-    p = long.withColumn("p", 100.0 * (F.col("before") + F.col("r") - 1) / F.col("n"))
+    long = ranking.ordinal(long, "v", "pair", ["model"], "r")
+    size = long.groupBy("model").agg(F.count("*").alias("n"))
+    p = long.join(size, "model").withColumn("p", 100.0 * (F.col("r") - 1) / F.col("n"))
     return p.groupBy("pair").agg(F.countDistinct("model").alias("k"), F.avg("p").alias("m")).where("k = 2").select("pair", F.round("m", 6).alias("mean_percentile"))
 
 
@@ -231,9 +224,9 @@ def target_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY epi_r_raw DESC, pair) AS r, count(*) OVER (PARTITION BY bin) AS n FROM q) SELECT pair, bin, r AS rank FROM k WHERE r <= greatest(1, floor(n*0.1))")
 def top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top tenth of each distance bin, at least one."""
-    w = Window.partitionBy("bin")
-    s = scored(spark, sf_dir).withColumn("rank", F.row_number().over(w.orderBy(F.desc("epi_R_raw"), "pair")).cast("long")).withColumn("n", F.count("*").over(w))
-    return s.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))).select("pair", "bin", "rank")
+    s = ranking.ordinal(scored(spark, sf_dir).select("pair", "bin", (-F.col("epi_R_raw")).alias("down")), "down", "pair", ["bin"])
+    size = s.groupBy("bin").agg(F.count("*").alias("n"))
+    return s.join(size, "bin").where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))).select("pair", "bin", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {PAIRS}, t AS (SELECT v.i, vo - v1 - v2 AS x FROM v WHERE pair = 3), s AS (SELECT v.pair, abs(sum((vo - v1 - v2)*x)/(sqrt(sum(power(vo - v1 - v2, 2)))*sqrt(sum(x*x)))) AS c FROM v JOIN t USING (i) GROUP BY v.pair) SELECT pair, round(c, 6) AS similarity FROM s WHERE pair <> 3 ORDER BY c DESC LIMIT 10")

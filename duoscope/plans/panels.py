@@ -101,10 +101,8 @@ def model_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRADED}, k AS (SELECT lang, good, row_number() OVER (PARTITION BY lang ORDER BY value, doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM graded) SELECT lang, least(r // greatest(n // 20, 1), 19) AS bin, count(*) AS n, round(avg(good::INT), 6) AS share FROM k GROUP BY 1, 2")
 def rank_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty bins of equal count by rank, the remainder in the last, and the share of a flag in each."""
-    w = Window.partitionBy("lang")
-    k = graded(spark, sf_dir).select("lang", "good", (F.row_number().over(w.orderBy("value", "doc_id")) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    size = F.greatest(F.floor(F.col("n") / 20), F.lit(1))
-    return k.groupBy("lang", F.least(F.floor(F.col("r") / size), F.lit(19)).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("good").cast("int")), 6).alias("share"))
+    t = ranking.rank_bins(graded(spark, sf_dir), "value", "doc_id", "good", ["lang"])
+    return t.select("lang", "bin", "n", F.round(F.col("marked") / F.col("n"), 6).alias("share"))
 
 
 CELLS = "c AS (SELECT l_linenumber AS i, l_quantity::INT % 9 + 1 AS j, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)"
