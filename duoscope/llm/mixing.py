@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, running, settle, text_of, words_of
+from .common import ROW, filter_keys, numbered, running, settle, text_of, words_of
 
 SPANS = "__spans__"
 #: Rounds of the index permutations.
@@ -52,19 +52,21 @@ def slots(spark: SparkSession, sources: DataFrame, seed: int, per_shard: int) ->
     multinomial. Draws beyond a source's quota fall out; slots that no draw reached fill last shards.
     """
     held = settle(sources.where("quota > 0").select("s", "quota", "n_blocks", "len"))
-    # As many numbers as there are sources, whatever their sizes are.
-    share = F.sum("quota").over(Window.orderBy("s"))
-    upto = sorted((r["upto"], r["s"]) for r in held.select("s", share.alias("upto")).collect())
-    total = upto[-1][0] if upto else 0
-    table = F.array(*[F.struct(F.lit(u / total).alias("upto"), F.lit(s).alias("s")) for u, s in upto]) if upto else F.lit(None).cast("array<struct<upto:double,s:int>>")
+    total, n = held.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    cells = max(64, n)
+    # A source's part of [0, 1), once for each cell of a grid that it reaches: at most a row a source and one a cell.
+    upto = F.sum("quota").over(Window.orderBy("s"))
+    parts = held.withColumn("upto", upto).select("s", ((F.col("upto") - F.col("quota")) / total).alias("lo"), (F.col("upto") / total).alias("hi"))
+    parts = settle(parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells)))))
     drawn = spark.range(total).select("id", F.floor(F.col("id") / per_shard).alias("shard"), unit(F.lit(seed), F.col("id")).alias("u"))
-    found = F.get(table, F.least(F.size(F.filter(table, lambda x: x["upto"] <= F.col("u"))), F.lit(len(upto) - 1)))["s"]
-    drawn = settle(drawn.select("id", "shard", found.alias("s")))
+    drawn = filter_keys(drawn.withColumn("cell", F.floor(F.col("u") * cells)), parts, ["cell"], "inner").where("u >= lo and u < hi")
+    drawn = settle(drawn.select("id", "shard", "s"))
     counts = drawn.groupBy("s", "shard").agg(F.count("*").alias("n"))
     base = running(counts, ["s"], "shard", "n", "base").select("s", "shard", "base")
     # Within a shard the slots of a source go by their id: a shard is small, so its window is too.
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("s", "shard").orderBy("id")) - 1)
-    ranked = ranked.join(base, ["s", "shard"]).select("shard", "s", (F.col("base") + F.col("r")).alias("k")).join(F.broadcast(held), "s").where("k < quota")
+    ranked = ranked.join(base, ["s", "shard"]).select("shard", "s", (F.col("base") + F.col("r")).alias("k"))
+    ranked = filter_keys(ranked, held, ["s"], "inner").where("k < quota")
     short = held.join(counts.groupBy("s").agg(F.sum("n").alias("n")), "s", "left").where("coalesce(n, 0) < quota")
     short = short.select(F.explode(F.sequence(F.coalesce("n", F.lit(0)).cast("long"), F.col("quota") - 1)).alias("k"), "s", "quota", "n_blocks", "len")
     last = short.withColumn("shard", F.ceil(F.lit(total) / per_shard) + F.floor(F.col("k") / per_shard))
@@ -102,14 +104,15 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sources = settle(sources)
     named = targets(sources.drop("chunks"), weights, most).withColumnRenamed("source", "named")
     sources = settle(blocks_of(sources.select("source", "chunks").join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named"), block))
-    # Chunks hold some per_chunk rows of one source each; a row per source is broadcast.
-    info = F.broadcast(sources.select(F.col("source").alias("of"), "s", "chunks"))
-    laid = rows.join(info, F.col("source").eqNullSafe(F.col("of"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.col("chunks")))
+    # Chunks hold some per_chunk rows of one source each. Null is told from text by a column of its own.
+    named = [F.col("source").isNull().alias("unnamed"), F.coalesce("source", F.lit("")).alias("name")]
+    info = settle(sources.select(*named, "s", "chunks"))
+    laid = filter_keys(rows.select("*", *named), info, ["unnamed", "name"], "inner").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.col("chunks")))
     part = settle(laid.groupBy("s", "chunk").agg(F.sum("size").alias("part")))
     begins = running(part, ["s"], "chunk", "part", "begin").select("s", "chunk", "begin")
     within = F.sum("size").over(Window.partitionBy("s", "chunk").orderBy("doc_id", "tie", "size", "row").rowsBetween(Window.unboundedPreceding, -1))
     laid = laid.withColumn("within", F.coalesce(within, F.lit(0))).join(begins, ["s", "chunk"])
-    laid = laid.join(F.broadcast(sources.select("s", "source_size", "target", "len")), "s")
+    laid = filter_keys(laid, sources.select("s", "source_size", "target", "len"), ["s"], "inner")
     laid = laid.select("doc_id", "row", "source", "size", "source_size", "target", "s", "len", (F.col("begin") + F.col("within")).alias("off"))
     block_of = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("off") / F.col("len")), F.floor((F.col("off") + F.col("size") - 1) / F.col("len"))))
     cut = laid.withColumn("block", F.explode_outer(block_of))
