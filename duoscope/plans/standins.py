@@ -58,11 +58,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_metrics(pairs(spark, sf_dir), keys).select(*keys, "epi_R_raw", "log_magnitude_ratio")
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutation calls: case, gene, position, project, chromosome, class, depth and alternate count."""
+def calls(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Mutation calls: case, gene, position, project, chromosome, class, depth and alternate count.
+
+    The small tables meet first, so lines move once by order and once by part. With ``most`` a task joins about so many
+    lines, whatever the tables' size.
+    """
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     part, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
-    df = li.join(o, li.l_orderkey == o.o_orderkey).join(part, li.l_partkey == part.p_partkey).join(c, o.o_custkey == c.c_custkey)
+    spread = lambda df, key: df.repartition(li.count() // most + 1, key) if most else df
+    of = o.join(c, o.o_custkey == c.c_custkey)
+    df = spread(spread(li, "l_orderkey").join(of, li.l_orderkey == o.o_orderkey), "l_partkey").join(part, F.col("l_partkey") == part.p_partkey)
     bases = F.lit("ACGT")
     return df.select(
         F.col("o_custkey").alias("case_id"), F.col("p_brand").alias("gene"), F.col("l_partkey").alias("pos"), F.col("c_mktsegment").alias("project"),

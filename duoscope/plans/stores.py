@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as ids
 from ..operators.bands import band_join, near_join
 from ..operators.embedding import latest, missing
+from ..operators.lineage import fixed
 from .standins import CALLS, calls, r6, store, table
 
 QUERIES, SQL = {}, {}
@@ -145,9 +146,9 @@ def groups_seen_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CALLS} SELECT pos, count(*) AS n FROM calls GROUP BY pos HAVING count(DISTINCT project) = (SELECT count(DISTINCT project) FROM calls)")
 def ids_of_all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions that every project has."""
-    c = calls(spark, sf_dir)
+    c = fixed(calls(spark, sf_dir, 1 << 18).groupBy("pos", "project").agg(F.count("*").alias("n")))
     total = c.agg(F.countDistinct("project").alias("total"))
-    return c.groupBy("pos").agg(F.count("*").alias("n"), F.countDistinct("project").alias("k")).join(F.broadcast(total)).where("k = total").select("pos", "n")
+    return c.groupBy("pos").agg(F.sum("n").alias("n"), F.count("project").alias("k")).join(F.broadcast(total)).where("k = total").select("pos", "n")
 
 
 @query("SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY 1")
