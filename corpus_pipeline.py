@@ -85,7 +85,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by five-word shingles at similarity 0.8 or more the row of the smallest id stays.
 
-    Null, empty and blank texts form one group; a null id stays only where its group has no other. An
+    SimHash fingerprints within 4 bits name candidates, and so do min-hash bands, for pairs that differ in more bits. Null, empty and blank texts form one group; a null id stays only where its group has no other. An
     empty table stays empty.
     """
     mark = len(SETTLED)

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: min-hash bands name candidates, every link is verified."""
+"""Near-duplicates by the Jaccard similarity of shingle sets: SimHash and min-hash bands name candidates, every link is verified."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, filter_keys, settle, text_of
 from .components import connected_components
+from .simhash import fingerprint, linked
 
 #: Bands of min-hashes and hashes in a band: of pairs at similarity 0.8, 1 - (1 - 0.8^5)^30 meet, all but 7 in a million.
 BANDS, DEEP = 30, 5
@@ -93,10 +94,20 @@ def links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """``f, root``: components of the sets ``f`` that share a ``key``; sets that share none are left out."""
+def by_fingerprint(prints: DataFrame) -> DataFrame:
+    """``a, b``: sets ``f`` whose SimHash fingerprints ``p`` lie within 4 bits, held together by one set a fingerprint."""
+    first = settle(prints.groupBy("p").agg(F.min("f").alias("m"), F.count("*").alias("group_size")))
+    same = attach(prints, first, "p", prints.count()).where("m <> f").select(F.col("f").alias("a"), F.col("m").alias("b"))
+    one, two = (first.select(F.col("p").alias(c), F.col("m").alias(f"_{c}")) for c in ("a", "b"))
+    apart = linked(first.select(F.col("p").alias("f"))).join(one, "a").join(two, "b")
+    return same.unionByName(apart.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def candidates(keys: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """``f, root``: components of the sets ``f`` that share a ``key`` or have near fingerprints; all others are left out."""
     shared = settle(keys.groupBy("key").agg(F.count("*").alias("group_size"), F.min("f").alias("m")).where("group_size > 1"))
-    met = attach(keys, shared, "key", keys.count()).where("m <> f").select(F.col("f").alias("a"), F.col("m").alias("b")).distinct()
+    met = attach(keys, shared, "key", keys.count()).where("m <> f").select(F.col("f").alias("a"), F.col("m").alias("b"))
+    met = (met if prints is None else met.unionByName(by_fingerprint(prints))).distinct()
     return settle(connected_components(settle(met)).withColumnRenamed("node", "f"))
 
 
@@ -136,9 +147,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``doc_id, component_id``, the smallest id reachable by similar texts.
 
     Texts are similar if their sets of ``shingle``-word shingles (A-Z lowered) have Jaccard similarity
-    ``similarity`` or more. Sets that share a band of min-hashes are gathered, and all pairs among those
-    gathered are held against the similarity itself, so no link is false; a pair is missed only if it
-    shares no band, by itself or through others. Null, empty and blank texts are similar to each other.
+    ``similarity`` or more. Sets whose SimHash fingerprints (of four-word shingles, as in ``op3``) lie within 4 bits
+    are gathered with those that share a band of min-hashes, since fingerprints near similarity 0.8 mostly differ in
+    more bits. All pairs among those gathered are held against the similarity itself, so no link is false; a pair is
+    missed only if it shares neither, by itself or through others. Null, empty and blank texts are similar to each other.
     Repeated rows get rows of their own; null ids take part and never name a component that has another
     id. An empty table gives none. Other columns are not looked at.
     """
@@ -147,11 +159,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t, shingle) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "f": [name_of(x) for x in sets], "keys": [band_keys(x) if len(x) else np.empty(0, np.int64) for x in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "f": [name_of(x) for x in sets], "p": np.array([fingerprint(t, 4) for t in b["text"]], dtype=np.uint64).view(np.int64), "keys": [band_keys(x) if len(x) else np.empty(0, np.int64) for x in sets]})
 
-    rows = settle(given.mapInPandas(banded, "doc_id long, h long, f long, keys array<long>"))
+    rows = settle(given.mapInPandas(banded, "doc_id long, h long, f long, p long, keys array<long>"))
     groups = settle(rows.groupBy("f").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size"), F.min("h").alias("h"), F.first("keys").alias("keys")))
-    near = candidates(settle(groups.select(F.explode("keys").alias("key"), "f")))
+    near = candidates(settle(groups.select(F.explode("keys").alias("key"), "f")), settle(rows.select("f", "p").distinct()))
     asked = settle(groups.select("f", "h").join(near, "f"))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -53,3 +53,12 @@ def test_the_near_stage_drops_every_similar_copy(spark):
     assert len(similar(rows)) > 100
     kept = {r.doc_id for r in cp.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert kept == {root for _, root in components(rows)}
+
+
+def test_near_fingerprints_name_candidates_that_no_band_names(spark):
+    from duoscope.llm.near_sets import candidates
+
+    keys = spark.createDataFrame([(k, k) for k in range(1, 7)], "key long, f long")
+    # 1 and 2 differ in 4 bits, 2 and 3 in none, 4 and 5 in 5, 6 in half of all.
+    prints = spark.createDataFrame([(1, 0), (2, 15), (3, 15), (4, 31 << 20), (5, 1023 << 20), (6, 0x0F0F0F0F0F0F0F0F)], "f long, p long")
+    assert sorted(map(tuple, candidates(keys, prints).select("f", "root").collect())) == [(1, 1), (2, 1), (3, 1)]
