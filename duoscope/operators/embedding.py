@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a model's answer that are sent on at a time.
 SLICE = 1 << 16
+#: Rows of short answers that are gathered before they are sent on.
+HELD = 1 << 13
 STORE = "id string, role string, dim int, embedding array<float>"
 
 
@@ -86,6 +88,43 @@ def long_results(df: DataFrame, load: Callable[[], Callable[[pd.Series], pd.Data
     return df.mapInPandas(run, schema)
 
 
+def long_arrays(df: DataFrame, load: Callable[[], Callable[[dict], dict[str, np.ndarray]]], columns: list[str], made: str) -> DataFrame:
+    """As ``long_results``, of a model that takes a row as a dict and returns arrays of one length by name.
+
+    Answers of several rows go on as one frame of some ``HELD`` rows, so a short one costs no frame of its own.
+    """
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", " + made
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+
+        def joined(b: pd.DataFrame, at: list[int], parts: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
+            n = [len(next(iter(p.values()))) for p in parts]
+            own = {c: b[c].iloc[np.repeat(at, n)].reset_index(drop=True) for c in columns}
+            out = pd.DataFrame(own | {c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+            for lo in range(0, len(out), SLICE):
+                yield out.iloc[lo : lo + SLICE]
+
+        for b in batches:
+            at, parts, held = [], [], 0
+            for k, row in enumerate(b.to_dict("records")):
+                answer = model(row)
+                n = len(next(iter(answer.values())))
+                if not n:
+                    continue
+                at.append(k)
+                parts.append(answer)
+                held += n
+                if held >= HELD:
+                    yield from joined(b, at, parts)
+                    at, parts, held = [], [], 0
+            if parts:
+                yield from joined(b, at, parts)
+
+    return df.mapInPandas(run, schema)
+
+
 def nucleotides(df: DataFrame, seq: str, load: Callable[[], Callable[[str], np.ndarray]], columns: list[str], slack: float = 1e-6) -> DataFrame:
     """``columns, pos, nuc, p``: a user model's probabilities of A, C, G, T at every place of a sequence.
 
@@ -93,34 +132,35 @@ def nucleotides(df: DataFrame, seq: str, load: Callable[[], Callable[[str], np.n
     an error.
     """
 
-    def rows() -> Callable[[pd.Series], pd.DataFrame]:
+    def rows() -> Callable[[dict], dict[str, np.ndarray]]:
         model = load()
+        bases = np.array(list("ACGT"), dtype=object)
 
-        def one(row: pd.Series) -> pd.DataFrame:
+        def one(row: dict) -> dict[str, np.ndarray]:
             p = np.asarray(model(row[seq]), dtype=float).reshape(-1, 4)
             if len(p) and np.abs(p.sum(axis=1) - 1).max() > slack:
                 raise ValueError("probabilities of a place must sum to one")
-            return pd.DataFrame({"pos": np.repeat(np.arange(len(p)), 4), "nuc": np.tile(list("ACGT"), len(p)), "p": p.ravel()})
+            return {"pos": np.repeat(np.arange(len(p)), 4), "nuc": np.tile(bases, len(p)), "p": p.ravel()}
 
         return one
 
-    return long_results(df, rows, columns, "pos int, nuc string, p double")
+    return long_arrays(df, rows, columns, "pos int, nuc string, p double")
 
 
 def tracks(df: DataFrame, seq: str, load: Callable[[], Callable[[str], tuple[np.ndarray, np.ndarray]]], columns: list[str]) -> DataFrame:
     """``columns, track, pos, value`` of a user model that returns ``(tracks, positions)``: a row per track, a column per position."""
 
-    def rows() -> Callable[[pd.Series], pd.DataFrame]:
+    def rows() -> Callable[[dict], dict[str, np.ndarray]]:
         model = load()
 
-        def one(row: pd.Series) -> pd.DataFrame:
+        def one(row: dict) -> dict[str, np.ndarray]:
             values, at = model(row[seq])
             values = np.asarray(values, dtype=float).reshape(-1, len(at))
-            return pd.DataFrame({"track": np.repeat(np.arange(len(values)), len(at)), "pos": np.tile(at, len(values)), "value": values.ravel()})
+            return {"track": np.repeat(np.arange(len(values)), len(at)), "pos": np.tile(at, len(values)), "value": values.ravel()}
 
         return one
 
-    return long_results(df, rows, columns, "track int, pos int, value double")
+    return long_arrays(df, rows, columns, "track int, pos int, value double")
 
 
 def window_predictor(width: int = 2) -> Callable[[str], np.ndarray]:

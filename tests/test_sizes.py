@@ -18,3 +18,22 @@ def test_calls_by_bounded_tasks_are_the_same_calls(spark, sf):
     few = standins.calls(spark, sf, 5000)
     assert few.exceptAll(standins.calls(spark, sf)).isEmpty() and few.count() == standins.calls(spark, sf).count()
     assert few.rdd.getNumPartitions() > 8
+
+
+def test_short_answers_of_a_model_share_frames(spark):
+    from duoscope.operators import embedding
+
+    df = spark.createDataFrame([(k, "ACGT" * (k % 3)) for k in range(90)], "id long, seq string").coalesce(1)
+    got = embedding.long_arrays(df, lambda: lambda r: {"n": [len(r["seq"])] * (r["id"] % 4)}, ["id"], "n int")
+    assert sorted(map(tuple, got.collect())) == [(k, len("ACGT" * (k % 3))) for k in range(90) for _ in range(k % 4)]
+
+
+def test_texts_are_spelled_once_a_read_and_by_ascii_letters_alone(spark, tmp_path):
+    from duoscope.plans import genome
+
+    rows = [(1, "aZKİ z-Bﬁc"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    s = genome.spelled(spark, str(tmp_path))
+    assert {r.doc_id: r.seq for r in s.collect()} == {1: "ANNCG", 2: "", 3: ""}
+    plan = s.where(F.length("seq") > 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("spelling(") == 1
