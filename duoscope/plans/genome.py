@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,21 @@ def query(sql: str | None = None):
     return add
 
 
+@F.pandas_udf("string")
+def spelling(text: pd.Series) -> pd.Series:
+    """Bases of the ASCII letters of each text, by one table of bytes; null is empty."""
+    drop = bytes(k for k in range(256) if not chr(k).isascii() or not chr(k).isalpha())
+    to = bytes.maketrans((UPPER + LOWER).encode(), (LETTERS * 2).encode())
+    return text.map(lambda t: "" if t is None else t.encode().translate(to, drop).decode())
+
+
 def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as sequences: ASCII letters become bases, everything else falls out. Each is a chromosome."""
-    letters = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), "[^a-z]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chrom"), F.translate(letters, LOWER, LETTERS).alias("seq"))
+    """Whole texts as sequences: ASCII letters become bases, everything else falls out. Each is a chromosome.
+
+    Filters on the sequence stay above the function, so a text is spelled once wherever it is read.
+    """
+    seq = spelling.asNondeterministic()("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chrom"), seq.alias("seq"))
 
 
 SPELLED = f"sq AS (SELECT doc_id, doc_id::VARCHAR AS chrom, translate(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z]', '', 'g'), '{LOWER}', '{LETTERS}') AS seq FROM documents)"
