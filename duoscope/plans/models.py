@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration, cascade, embedding, maps, subspaces
 from ..operators import statistics as st
+from ..operators.lineage import fixed
 from .curation import sequences
 from .genome import LETTERS, LOWER, UPPER
 from .geometry import residuals
@@ -166,10 +167,11 @@ ev AS (SELECT gene, pos1, pos2, level, grp, duration, event, project, tmb FROM a
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = calls(spark, sf_dir)
-    positions = c.select("gene", "case_id", "pos").distinct()
-    people = positions.groupBy("gene", "case_id").agg(F.count("*").alias("n")).join(c.groupBy("case_id").agg(F.count("*").alias("tmb")), "case_id").join(clinical(spark, sf_dir), "case_id")
-    return cascade.cohorts(cascade.carried_pairs(positions, 3), positions, people)
+    # Both are read many times; lines meet orders and parts once.
+    counted = fixed(calls(spark, sf_dir).groupBy("gene", "case_id", "pos").agg(F.count("*").alias("k")))
+    positions = counted.select("gene", "case_id", "pos")
+    people = positions.groupBy("gene", "case_id").agg(F.count("*").alias("n")).join(counted.groupBy("case_id").agg(F.sum("k").alias("tmb")), "case_id").join(clinical(spark, sf_dir), "case_id")
+    return cascade.cohorts(fixed(cascade.carried_pairs(positions, 3)), positions, fixed(people))
 
 
 @query(f"""WITH {MATCHED}, co AS (SELECT * FROM ev){LOGRANK.format(k='gene, pos1, pos2, level')}, s AS (SELECT gene, pos1, pos2, level, sum(grp) AS t, count(*) - sum(grp) AS c FROM co GROUP BY ALL),
