@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators import genome, substitution
 from .standins import r6, table
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def spelling(text: pd.Series) -> pd.Series:
     """Bases of the ASCII letters of each text, by one table of bytes; null is empty."""
     drop = bytes(k for k in range(256) if not chr(k).isascii() or not chr(k).isalpha())
