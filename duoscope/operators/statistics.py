@@ -13,6 +13,9 @@ from pyspark.sql.types import DoubleType
 from .lineage import fixed
 from .ranking import cumulated
 
+#: Shuffled rows that a task makes, and bins times shuffles up to which facts of bins are broadcast.
+SHUFFLED, BROADCAST = 1 << 22, 1 << 18
+
 
 @F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
@@ -173,14 +176,47 @@ def permutation_test(df: DataFrame, value: str, group: str, bin_col: str, key: s
 
     Shuffles rank rows by md5 of permutation and key, so any engine repeats them. ``z`` and
     ``p = (k + 1) / (times + 1)`` for k permuted differences as large as the observed one.
+
+    Rows of a shuffle are counted and added up by the first digits of their md5, about as many cells to a bin as rows
+    to a cell. A cell lies within the labels or past them, but for the one where they end: only its rows are ranked.
     """
     by = [*strata, bin_col]
-    df = df.withColumn("_v", F.col(value) - F.avg(value).over(Window.partitionBy(*by))).withColumn("_n", F.count_if(F.col(group)).over(Window.partitionBy(*by)))
-    diff = lambda g: F.avg(F.when(g, F.col("_v"))) - F.avg(F.when(~g, F.col("_v")))
-    seen = df.groupBy(*strata).agg(diff(F.col(group)).alias("observed"))
-    many = df.select(*by, key, "_v", "_n", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("perm"))
-    order = Window.partitionBy(*by, "perm").orderBy(F.md5(F.concat_ws(":", "perm", F.col(key).cast("string"))))
-    runs = many.withColumn("_g", F.row_number().over(order) <= F.col("_n")).groupBy(*strata, "perm").agg(diff(F.col("_g")).alias("d"))
+    rows = fixed(df.select(*by, key, F.col(value).cast("double").alias("_x"), F.col(group).alias("_g")))
+    # The logarithm of the root of a bin's rows, in hexadecimal digits.
+    digits = F.round(F.log2(F.count("*").cast("double")) / 8).cast("int")
+    bins = rows.groupBy(*by).agg(F.avg("_x").alias("_mean"), F.count_if("_g").alias("_n"), digits.alias("_digits"), F.count("*").alias("_rows"))
+    size = bins.agg(F.count("*").alias("bins"), F.sum("_rows").alias("rows")).first()
+    small = F.broadcast if size.bins * times <= BROADCAST else lambda t: t
+
+    def of_bin(t: DataFrame, facts: DataFrame) -> DataFrame:
+        facts = small(facts.select(*[F.col(c).alias(f"_of_{k}") for k, c in enumerate(by)], *[c for c in facts.columns if c not in by]))
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{k}")) for k, c in enumerate(by)]
+        return t.join(facts, same).drop(*[f"_of_{k}" for k in range(len(by))])
+
+    held = of_bin(rows, bins.drop("_rows")).withColumn("_v", F.col("_x") - F.col("_mean")).drop("_x", "_mean")
+    seen = held.groupBy(*strata).agg((F.avg(F.when(F.col("_g"), F.col("_v"))) - F.avg(F.when(~F.col("_g"), F.col("_v")))).alias("observed"))
+    # A count that Spark does not merge: a task makes so many shuffled rows, whatever the bins' sizes.
+    held = held.drop("_g").repartition((size.rows or 0) * times // SHUFFLED + 1, key)
+    digest = F.md5(F.concat_ws(":", "perm", F.col(key).cast("string")))
+
+    many = held.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("_cell", F.substring(digest, F.lit(1), F.col("_digits")))
+    cells = many.groupBy(*by, "perm", "_cell").agg(F.max("_n").alias("_n"), F.count("*").alias("_c"), F.count("_v").alias("_k"), F.sum("_v").alias("_s"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "perm").orderBy("_cell"))
+    cells = cells.withColumn("_left", F.col("_n") - upto + F.col("_c"))
+    inside, past = F.col("_left") >= F.col("_c"), F.col("_left") <= 0
+    ends = ~inside & ~past
+
+    def halves(one: Column, other: Column, k: Column, s: Column) -> list[Column]:
+        return [F.sum(F.when(c, x)).alias(n) for n, c, x in (("_k1", one, k), ("_s1", one, s), ("_k2", other, k), ("_s2", other, s))]
+
+    whole = fixed(cells.groupBy(*by, "perm").agg(*halves(inside, past, F.col("_k"), F.col("_s")), F.max(F.when(ends, F.col("_cell"))).alias("_cell"), F.max(F.when(ends, F.col("_left"))).alias("_left")))
+    cuts = whole.where("_cell is not null").groupBy(*by).agg(F.collect_list(F.struct("perm", "_cell", "_left")).alias("_cuts"))
+    near = of_bin(held.select(*by, key, "_v"), cuts).select(*by, key, "_v", F.inline("_cuts")).withColumn("_md5", digest).where(F.col("_md5").startswith(F.col("_cell")))
+    ranked = near.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "perm").orderBy("_md5", "_v")) <= F.col("_left"))
+    rest = ranked.groupBy(*by, "perm").agg(*halves(F.col("_in"), ~F.col("_in"), F.when(F.col("_v").isNotNull(), 1).otherwise(0), F.col("_v")))
+    parts = ["_k1", "_s1", "_k2", "_s2"]
+    runs = whole.select(*strata, "perm", *parts).unionByName(rest.select(*strata, "perm", *parts)).groupBy(*strata, "perm").agg(*[F.sum(c).alias(c) for c in parts])
+    runs = runs.select(*strata, (F.try_divide("_s1", "_k1") - F.try_divide("_s2", "_k2")).alias("d"))
     both = runs.join(seen, strata) if strata else runs.join(F.broadcast(seen))
     return both.groupBy(*strata, "observed").agg(F.try_divide(F.col("observed") - F.avg("d"), F.stddev("d")).alias("z"), ((F.count_if(F.col("d") >= F.col("observed")) + 1) / (times + 1)).alias("p"))
 

@@ -37,3 +37,59 @@ def test_texts_are_spelled_once_a_read_and_by_ascii_letters_alone(spark, tmp_pat
     assert {r.doc_id: r.seq for r in s.collect()} == {1: "ANNCG", 2: "", 3: ""}
     plan = s.where(F.length("seq") > 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("spelling(") == 1
+
+
+def shuffled_values(spark):
+    """Two strata of uneven bins, among them null bins, values and labels."""
+    rows = [("s" if k % 7 else "t", None if k % 11 == 0 else int(k % 5 == 0), k, None if k % 13 == 0 else float(k * k % 101), None if k % 17 == 0 else k % 3 == 0) for k in range(900)]
+    return rows, spark.createDataFrame(rows, "s string, b int, k long, v double, g boolean")
+
+
+def test_shuffles_of_a_bin_are_not_sorted_in_its_task(spark):
+    from duoscope.operators import statistics as st
+
+    plan = st.permutation_test(shuffled_values(spark)[1], "v", "g", "b", "k", 20, ["s"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    made = [k for k, line in enumerate(plan) if line.lstrip(" :+-").startswith("Generate")]
+    assert made
+    for k in made:
+        above = []
+        for line in plan[k::-1]:
+            if not above or depth(line) < depth(above[-1]):
+                above.append(line)
+        # What is made of a row is cut or added up before a window sees it, and rows are dealt by number.
+        assert "Filter" in above[1] + above[2] or "Aggregate" in above[1] + above[2]
+        assert any("RepartitionByExpression" in line for line in plan[k:])
+
+
+def test_shuffles_within_bins_match_brute_force(spark):
+    import statistics
+    from hashlib import md5
+
+    from duoscope.operators import statistics as st
+
+    rows, df = shuffled_values(spark)
+    got = {r.s: r for r in st.permutation_test(df, "v", "g", "b", "k", 40, ["s"]).collect()}
+
+    def gap(pairs):
+        one, two = [v for v, g in pairs if g and v is not None], [v for v, g in pairs if g is False and v is not None]
+        return sum(one) / len(one) - sum(two) / len(two)
+
+    for s in ("s", "t"):
+        bins = {}
+        for r in rows:
+            if r[0] == s:
+                bins.setdefault(r[1], []).append(r)
+        mean = {b: statistics.fmean(r[3] for r in m if r[3] is not None) for b, m in bins.items()}
+        off = lambda r: None if r[3] is None else r[3] - mean[r[1]]
+        seen, runs = gap([(off(r), r[4]) for m in bins.values() for r in m]), []
+        for p in range(1, 41):
+            shuffled = []
+            for m in bins.values():
+                n = sum(r[4] is True for r in m)
+                order = sorted(m, key=lambda r: md5(f"{p}:{r[2]}".encode()).hexdigest())
+                shuffled += [(off(r), k < n) for k, r in enumerate(order)]
+            runs.append(gap(shuffled))
+        assert abs(got[s].observed - seen) < 1e-9
+        assert abs(got[s].z - (seen - statistics.fmean(runs)) / statistics.stdev(runs)) < 1e-9
+        assert got[s].p == (sum(d >= seen for d in runs) + 1) / 41
