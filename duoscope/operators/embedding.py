@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +41,17 @@ def embed(df: DataFrame, seq: str, load: Callable[[], Callable[[list[str]], np.n
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", embedding array<float>, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for b in batches:
             for k in range(0, len(b), batch):
-                part = b.iloc[k : k + batch]
-                vectors, errors = attempted(model, part[seq].tolist())
-                yield part[columns].assign(embedding=vectors, error=errors)
+                # Texts are made of a few rows at a time: what Spark sends at once is held as bytes alone.
+                part = b.slice(k, batch)
+                vectors, errors = attempted(model, part[seq].to_pylist())
+                made = [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in columns], *made], [*columns, "embedding", "error"])
 
-    return df.select(*dict.fromkeys([*columns, seq])).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*columns, seq])).mapInArrow(run, schema)
 
 
 def kmer_model(k: int = 3, dim: int = 16) -> Callable[[list[str]], np.ndarray]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -29,12 +28,18 @@ def query(sql: str | None = None):
     return add
 
 
-@F.pandas_udf(StringType())
-def spelling(text: pd.Series) -> pd.Series:
-    """Bases of the ASCII letters of each text, by one table of bytes; null is empty."""
-    drop = bytes(k for k in range(256) if not chr(k).isascii() or not chr(k).isalpha())
-    to = bytes.maketrans((UPPER + LOWER).encode(), (LETTERS * 2).encode())
-    return text.map(lambda t: "" if t is None else t.encode().translate(to, drop).decode())
+#: A table of bytes, and the bytes that fall out.
+TO = bytes.maketrans((UPPER + LOWER).encode(), (LETTERS * 2).encode())
+DROP = bytes(k for k in range(256) if not chr(k).isascii() or not chr(k).isalpha())
+
+
+@F.udf(StringType(), useArrow=False)
+def spelling(text: str | None) -> str:
+    """Bases of the ASCII letters of a text, by one table of bytes; null is empty.
+
+    Rows come a hundred at a time, as they do without Arrow, so a task holds few texts, however many it reads.
+    """
+    return "" if text is None else text.encode().translate(TO, DROP).decode()
 
 
 def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,23 @@ def test_shuffles_within_bins_match_brute_force(spark):
         assert abs(got[s].observed - seen) < 1e-9
         assert abs(got[s].z - (seen - statistics.fmean(runs)) / statistics.stdev(runs)) < 1e-9
         assert got[s].p == (sum(d >= seen for d in runs) + 1) / 41
+
+
+def test_texts_are_spelled_and_embedded_a_few_at_a_time(spark, tmp_path):
+    import tracemalloc
+
+    from duoscope.operators import embedding
+    from duoscope.plans import genome
+
+    def load():
+        tracemalloc.start()
+        return lambda texts: [[tracemalloc.get_traced_memory()[1] / 2**20] for _ in texts]
+
+    df = spark.range(6000).coalesce(1).select("id", F.repeat(F.concat(F.lit("ACGT"), F.col("id").cast("string")), 500).alias("seq"))
+    got = embedding.embed(df, "seq", load, ["id"]).agg(F.count("embedding").alias("n"), F.max(F.element_at("embedding", 1)).alias("most")).first()
+    size = df.agg(F.sum(F.length("seq"))).first()[0] / 2**20
+    # What Spark sends at once is held as bytes, once.
+    assert got.n == 6000 and got.most < 1.3 * size
+    df.select(F.col("id").alias("doc_id"), F.col("seq").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = genome.spelled(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
