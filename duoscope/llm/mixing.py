@@ -117,6 +117,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     block_of = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("off") / F.col("len")), F.floor((F.col("off") + F.col("size") - 1) / F.col("len"))))
     cut = laid.withColumn("block", F.explode_outer(block_of))
     taken = slots(spark, sources, seed, per_shard).select("shard", "s", permuted(F.col("k"), F.col("s"), F.col("n_blocks"), seed).alias("block"), F.floor(F.col("k") / F.col("n_blocks")).alias("turn"))
+    # Written, so that neither plan holds the other's windows and joins: the driver plans them anew after every stage.
+    taken = settle(taken)
     lo = F.greatest(F.col("block") * F.col("len") - F.col("off"), F.lit(0))
     hi = F.least((F.col("block") + 1) * F.col("len") - F.col("off"), F.col("size"))
     out = cut.join(taken, ["s", "block"], "left")

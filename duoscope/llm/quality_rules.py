@@ -98,25 +98,29 @@ def centres(rows: DataFrame, n_rows: int, steps: int, share: float, settled: flo
     """
     keys = ["key", "begun"]
     sizes = settle(rows.groupBy("key").agg(F.count("*").alias("group_size"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(X)]))
-    off = attach(rows, sizes, "key", n_rows).groupBy("key", "group_size", "m0", "m1", "m2", "m3")
+    n_keys = sizes.count()
+    off = attach(rows, sizes, "key", n_rows, n_groups=n_keys).groupBy("key", "group_size", "m0", "m1", "m2", "m3")
     off = off.agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(X)])
     spread = [(F.pow(F.lit(1.4826) * F.col(f"a{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
     robust = factored(off.select("key", F.lit(0).alias("begun"), "group_size", F.col("group_size").alias("n"), *[f"m{i}" for i in range(P)], *spread))
     plain = estimate(rows.groupBy("key").agg(F.count("*").alias("group_size"), *sums()).withColumn("begun", F.lit(1)), keys)
     now = settle(robust.unionByName(plain))
+    # The last determinant goes with its key, so that a step needs no join to tell how far it moved.
+    held = [*keys, "group_size", "last"]
     upto = Window.partitionBy(*keys).orderBy("bin")
     for _ in range(steps):
-        binned = attach(rows, now, "key", n_rows).withColumn("d2", distance()).groupBy(*keys, "group_size", distance_bin().alias("bin")).agg(*sums())
+        binned = attach(rows, now.withColumnRenamed("logdet", "last"), "key", n_rows, n_groups=n_keys).withColumn("d2", distance()).groupBy(*held, distance_bin().alias("bin")).agg(*sums())
         near = binned.withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < F.col("group_size") * share)
         added = [F.expr(f"sum({c}) AS {c}") for c in ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in CELLS]]]
-        last, now = now, settle(estimate(near.groupBy(*keys, "group_size").agg(*added), keys))
-        moved = now.join(last.select(*keys, F.col("logdet").alias("last")), keys).agg(F.max(F.abs(F.col("logdet") - F.col("last")))).first()[0]
+        now = settle(estimate(near.groupBy(*held).agg(*added), [*keys, "last"]))
+        moved = now.agg(F.max(F.abs(F.col("logdet") - F.col("last")))).first()[0]
+        now = now.drop("last")
         if moved is None or moved < settled:
             break
     best = now.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "begun"))).where("r = 1").drop("r")
     best = settle(best)
     # The median distance under the winner puts it on the scale of a chi-square variable.
-    middle = attach(rows, best, "key", n_rows).withColumn("d2", distance()).groupBy("key", "group_size", distance_bin().alias("bin")).agg(F.count("*").alias("n"))
+    middle = attach(rows, best, "key", n_rows, n_groups=n_keys).withColumn("d2", distance()).groupBy("key", "group_size", distance_bin().alias("bin")).agg(F.count("*").alias("n"))
     middle = middle.withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("bin"))).where(F.col("upto") * 2 >= F.col("group_size"))
     scale = middle.groupBy("key").agg(F.greatest(F.lit(1.0), F.expm1((F.min("bin") + 1) / 64) / MEDIAN).alias("scale"))
     return best.join(scale, "key")
@@ -161,7 +165,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     langs = settle(shrunk(langs, found.where("key = 'all'"), "whole", weight))
     pairs = found.join(sound.groupBy(F.col("pair_key").alias("key"), "lang_key").agg(F.count("*").alias("_n")), "key")
     pairs = factored(shrunk(pairs, langs, "lang_key", weight).withColumnRenamed("key", "pair_key")).select("pair_key", "group_size", *[f"m{i}" for i in range(P)], *[f"v{i}{j}" for i, j in CELLS])
-    judged = attach(rows, settle(pairs), "pair_key", base.count()).withColumn("d", F.when(~F.col("base_failed"), distance()))
+    pairs = settle(pairs)
+    judged = attach(rows, pairs, "pair_key", base.count(), n_groups=pairs.count()).withColumn("d", F.when(~F.col("base_failed"), distance()))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d").alias("outlier_distance"), (~F.col("base_failed") & (F.col("d") <= CUTOFF)).alias("kept"))
 
 
