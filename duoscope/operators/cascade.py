@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .bands import combinations
 from .lineage import fixed
 from .ranking import bh_fdr
 from .statistics import chi2_tail, log_rank_counted, mann_whitney, stratified_log_rank
@@ -34,15 +35,22 @@ def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([tail(v, n) for v, n in zip(x, df, strict=True)], dtype="float64")
 
 
-def carried_pairs(positions: DataFrame, least: int, most: int = 20) -> DataFrame:
+def carried_pairs(positions: DataFrame, least: int, block: int = 2048) -> DataFrame:
     """``gene, pos1, pos2`` with ``pos1 < pos2`` that ``least`` cases or more carry; ``positions`` has distinct ``gene, case_id, pos``.
 
-    Cases with more than ``most`` positions in a gene name no pairs of it, so a case gives 190 rows a gene at most.
+    Every case names all pairs of its positions in a gene. Those of a case with over ``block`` are made in blocks over
+    tasks, without positions that fewer than ``least`` cases carry, as these are in no such pair.
     """
-    few = positions.groupBy("gene", "case_id").agg(F.count("*").alias("_k")).where(F.col("_k").between(2, most))
-    held = positions.join(few.select("gene", "case_id"), ["gene", "case_id"])
-    other = held.select("gene", "case_id", F.col("pos").alias("pos2"))
-    both = held.select("gene", "case_id", F.col("pos").alias("pos1")).join(other, ["gene", "case_id"]).where("pos1 < pos2")
+    of = ["gene", "case_id"]
+    crowded = fixed(positions.groupBy(*of).agg(F.count("*").alias("_k")).where(F.col("_k") > block).select(*of))
+    some = not crowded.isEmpty()
+    held = positions.join(crowded, of, "left_anti") if some else positions
+    other = held.select(*of, F.col("pos").alias("pos2"))
+    both = held.select(*of, F.col("pos").alias("pos1")).join(other, of).where("pos1 < pos2").select(*PAIR)
+    if some:
+        often = positions.groupBy("gene", "pos").agg(F.count("*").alias("_c")).where(F.col("_c") >= least)
+        many = positions.join(crowded, of, "left_semi").join(often, ["gene", "pos"], "left_semi")
+        both = both.unionByName(combinations(many, of, "pos", block=block).select(*PAIR))
     return both.groupBy(*PAIR).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*PAIR)
 
 

@@ -156,7 +156,7 @@ def ridge_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MATCHED = f"""{CALLS}, {CLINICAL}, pl AS (SELECT DISTINCT gene, case_id, pos FROM calls), nm AS (SELECT gene, case_id, count(*) AS n FROM pl GROUP BY ALL), tm AS (SELECT case_id, count(*) AS tmb FROM calls GROUP BY case_id),
 pe AS (SELECT gene, case_id, n, tmb, duration, event, project FROM nm JOIN tm USING (case_id) JOIN clinical USING (case_id)),
-pf AS (SELECT * FROM pl QUALIFY count(*) OVER (PARTITION BY gene, case_id) <= 20), pr AS (SELECT a.gene, a.pos AS pos1, b.pos AS pos2 FROM pf a JOIN pf b ON a.gene = b.gene AND a.case_id = b.case_id AND a.pos < b.pos GROUP BY ALL HAVING count(*) >= 3), tg AS (SELECT pr.*, a.case_id FROM pr JOIN pl a ON a.gene = pr.gene AND a.pos = pos1 JOIN pl b ON b.gene = pr.gene AND b.pos = pos2 AND b.case_id = a.case_id),
+pr AS (SELECT a.gene, a.pos AS pos1, b.pos AS pos2 FROM pl a JOIN pl b ON a.gene = b.gene AND a.case_id = b.case_id AND a.pos < b.pos GROUP BY ALL HAVING count(*) >= 3), tg AS (SELECT pr.*, a.case_id FROM pr JOIN pl a ON a.gene = pr.gene AND a.pos = pos1 JOIN pl b ON b.gene = pr.gene AND b.pos = pos2 AND b.case_id = a.case_id),
 tn AS (SELECT gene, pos1, pos2, n, count(*) AS k FROM tg JOIN pe USING (gene, case_id) GROUP BY ALL), sz AS (SELECT gene, n, count(*) AS m FROM pe GROUP BY ALL), le AS (SELECT DISTINCT gene, pos1, pos2, unnest(CASE WHEN m - k < 3 THEN [n - 1, n, n + 1] ELSE [n] END) AS n FROM tn JOIN sz USING (gene, n)),
 c0 AS (SELECT DISTINCT pr.gene, pos1, pos2, pl.case_id FROM pr JOIN pl ON pl.gene = pr.gene AND (pl.pos = pos1 OR pl.pos = pos2) WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.gene = pr.gene AND tg.pos1 = pr.pos1 AND tg.pos2 = pr.pos2 AND tg.case_id = pl.case_id)),
 c1 AS (SELECT le.gene, pos1, pos2, case_id FROM le JOIN pe USING (gene, n) WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.gene = le.gene AND tg.pos1 = le.pos1 AND tg.pos2 = le.pos2 AND tg.case_id = pe.case_id)),

@@ -1,5 +1,8 @@
 """Fits that SQL does not state, against numpy on small tables."""
 
+import itertools
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -122,6 +125,45 @@ def test_matched_controls_and_verdicts(spark):
     assert cascade.cascade(cascade.cohorts(pairs.limit(0), positions, table)).count() == 0
 
 
+def test_cases_with_many_positions_name_all_their_pairs(spark, tmp_path):
+    import duckdb
+
+    from duoscope.plans import models
+
+    # Cases 1 to 3 have 30 positions, 25 of them in common; the others have 3 or one, some in common with them.
+    own = {c: set(range(25)) | {100 * c + k for k in range(5)} for c in (1, 2, 3)} | {4: {0, 1, 2}, 5: {0, 101, 102}, 6: {101, 102, 7}, 7: {5}}
+    positions = spark.createDataFrame([("g", c, p) for c, s in own.items() for p in s], "gene string, case_id long, pos long")
+    seen = Counter(pair for s in own.values() for pair in itertools.combinations(sorted(s), 2))
+    want = {("g", *pair) for pair, n in seen.items() if n >= 3}
+    assert len(want) == 25 * 24 // 2 + 1
+    for block in (2048, 7):
+        got = [tuple(r) for r in cascade.carried_pairs(positions, 3, block).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+    # The same cases as tables, each with two orders, and controls: two cases for each position, four with 30 of their own.
+    own |= {8 + c: {c % 25} for c in range(50)} | {60 + c: {1000 * (c + 1) + k for k in range(30)} for c in range(4)}
+    lines = [(c, p) for c, s in own.items() for p in s]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE own (c BIGINT, p BIGINT)")
+    db.executemany("INSERT INTO own VALUES (?, ?)", lines)
+    tables = {
+        "lineitem": "SELECT c AS l_orderkey, p AS l_partkey, 'N' AS l_returnflag, 1.0::DOUBLE AS l_quantity, 0.1::DOUBLE AS l_discount FROM own",
+        "orders": "SELECT c + 1000 * k AS o_orderkey, c AS o_custkey, DATE '2020-01-01' + (k * (c * 37 % 50))::INT AS o_orderdate FROM (SELECT DISTINCT c FROM own), range(2) AS r(k)",
+        "part": "SELECT DISTINCT p AS p_partkey, 'g' AS p_brand, 't' AS p_type FROM own",
+        "customer": "SELECT DISTINCT c AS c_custkey, CASE WHEN c % 2 = 0 THEN 'a' ELSE 'b' END AS c_mktsegment, (CASE WHEN c % 3 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS c_acctbal FROM own",
+    }
+    for name, sql in tables.items():
+        db.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    for name in ("survival_cascade", "survival_cascade_by_project", "survival_by_pair"):
+        got = models.QUERIES[name](spark, str(tmp_path))
+        sql = db.execute(f"SELECT {', '.join(got.columns)} FROM ({models.SQL[name]})").fetchall()
+        rows = lambda t: sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in t), key=str)
+        assert rows(map(tuple, got.collect())) == rows(sql) and len({r[1:3] for r in sql}) >= 300
+    for name in ("survival_cascade_verdicts", "survival_by_pair_p"):
+        assert models.QUERIES[name](spark, str(tmp_path)).select("pos1", "pos2").distinct().count() >= 300
+
+
 def test_template_axes_and_stability(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 4)) * [1, 1, 1, 0.5]
