@@ -133,6 +133,5 @@ mx AS (SELECT doc_id, pos_i, pos_j, round(max(s), 6) + 0.0 AS score, count(*) AS
 SELECT doc_id, pos_i, pos_j, score, n FROM mx UNION ALL SELECT doc_id, pos_j, pos_i, score, n FROM mx""")
 def epistasis_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest epistasis of all substitutions at four places of every text, each genotype of the whole text embedded once."""
-    s = substitution.epistasis_scores(spelled(spark, sf_dir).select("doc_id", "seq"), ["doc_id"], "seq", substitution.composition_model, positions=PLACES)
-    m = substitution.epistasis_map(s, ["doc_id"])
+    m = substitution.epistasis_maps(spelled(spark, sf_dir).select("doc_id", "seq"), ["doc_id"], "seq", substitution.composition_model, positions=PLACES)
     return m.select("doc_id", "pos_i", "pos_j", r6(F.col("score")).alias("score"), "n")

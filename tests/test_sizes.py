@@ -113,3 +113,60 @@ def test_texts_are_spelled_and_embedded_a_few_at_a_time(spark, tmp_path):
     df.select(F.col("id").alias("doc_id"), F.col("seq").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
     plan = genome.spelled(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_genotypes_of_few_places_share_batches_and_do_not_move(spark):
+    import numpy as np
+
+    from duoscope.operators import substitution
+
+    seqs = ["".join("ACGTN"[(k // 5**p) % 5] for p in range(5)) for k in range(300)]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(seqs + seqs[:40])], "id long, seq string")
+    texts, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def load():
+        inner = substitution.composition_model()
+
+        def model(batch):
+            if any("NNA" in t for t in batch):
+                raise ValueError("a base is missing")
+            texts.add(len(batch))
+            calls.add(1)
+            return inner(batch)
+
+        return model
+
+    def scores(whole, batch):
+        s = substitution.epistasis_scores(df, ["id"], "seq", load, batch=batch, positions=[0, 2, 3, 9], whole=whole)
+        return {tuple(r)[:5]: r.score for r in s.collect()}
+
+    one = scores(3, 50)
+    singles = [sum(3 + (s[p] == "N") for p in (0, 2, 3)) for s in seqs]
+    doubles = [sum((3 + (s[p] == "N")) * (3 + (s[q] == "N")) for p, q in ((0, 2), (0, 3), (2, 3))) for s in seqs]
+    assert len(one) == sum(doubles) + sum(doubles[:40]) and {k[:3] for k in one} == {(k, i, j) for k in range(340) for i, j in ((0, 2), (0, 3), (2, 3))}
+    # Sequences of more places than that are spread, with the same scores, also where the model fails.
+    many = scores(2, 50)
+    assert many.keys() == one.keys() and None in one.values()
+    assert all((one[k] is None) == (many[k] is None) and (one[k] is None or abs(one[k] - many[k]) < 1e-12) for k in one)
+    # A model without failures gets full batches, and each genotype once.
+    load_all = substitution.composition_model
+
+    def counted():
+        inner = load_all()
+
+        def model(batch):
+            texts.add(len(batch))
+            calls.add(1)
+            return inner(batch)
+
+        return model
+
+    texts.value = calls.value = 0
+    s = substitution.epistasis_scores(df, ["id"], "seq", counted, batch=500, positions=[0, 2, 3, 9])
+    assert s.count() == len(one)
+    assert texts.value == len(seqs) + sum(singles) + sum(doubles) and calls.value <= texts.value / 500 + 2 * 8
+    assert s._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    m = {(r.id, r.pos_i, r.pos_j): (r.score, r.n) for r in substitution.epistasis_maps(df, ["id"], "seq", counted, positions=[0, 2, 3, 9]).collect()}
+    assert m == {(r.id, r.pos_i, r.pos_j): (r.score, r.n) for r in substitution.epistasis_map(s, ["id"]).collect()} and len(m) == 340 * 6
+    got = load_all()(["", "ACGTN", "é", "GG"])
+    assert np.allclose(got, [[0, 0, 0, 0], [1, 1, 0.25, 0.25], [0, 0, 0, 0], [0, 0, 2, 0]])
